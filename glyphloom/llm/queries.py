@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .mixing import op6_mixing
+from .secret_scan import op8_secret_scan
+from .simhash import op5_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_exact_dedup, op6_mixing)}
+    return {f.__name__: f for f in (op4_exact_dedup, op5_simhash, op6_mixing, op8_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
