@@ -6,16 +6,32 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import op7_chat_formatting
+from .decontamination import op9_decontamination
 from .exact_dedup import OP4_SQL, op4_exact_dedup
+from .language_id import op1_language_id
+from .license_scan import op10_license_scan
 from .mixing import op6_mixing
 from .secret_scan import op8_secret_scan
 from .simhash import op5_simhash
+from .token_counts import op3_token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_exact_dedup, op5_simhash, op6_mixing, op8_secret_scan)}
+    each = (
+        op1_language_id,
+        op3_token_counts,
+        op4_exact_dedup,
+        op5_simhash,
+        op6_mixing,
+        op7_chat_formatting,
+        op8_secret_scan,
+        op9_decontamination,
+        op10_license_scan,
+    )
+    return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
