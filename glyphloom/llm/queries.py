@@ -11,6 +11,7 @@ from .decontamination import op9_decontamination
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op1_language_id
 from .license_scan import op10_license_scan
+from .lm_scoring import op2_lm_scoring
 from .mixing import op6_mixing
 from .secret_scan import op8_secret_scan
 from .simhash import op5_simhash
@@ -22,6 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     each = (
         op1_language_id,
+        op2_lm_scoring,
         op3_token_counts,
         op4_exact_dedup,
         op5_simhash,
