@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.codec import let
 from ..functions.normalize import normalized
 from . import detectors
 
@@ -45,17 +46,24 @@ def run_all(df: DataFrame, column: str, families: tuple[str, ...] | None = None)
             found[name] = detectors.homoglyph_confusable(s, F.col("_target"), forms["NFC"])
         elif name != "sourceDisplayDivergence":
             found[name] = detectors.FAMILIES[name][1](s)
-    each = base.select(*df.columns, "_target", "_NFC", *[v.alias(f"_v_{n}") for n, v in found.items()])
-    columns = {n: F.col(f"_v_{n}") for n in found}
-    if "sourceDisplayDivergence" in wanted:
-        parts = dict(columns)
-        parts.setdefault("homoglyphConfusable", detectors.homoglyph_confusable(s, F.col("_target"), F.col("_NFC")))
-        columns["sourceDisplayDivergence"] = detectors.source_display_divergence(s, parts)
-    rows = [
-        F.struct(F.lit(n).alias("family"), F.lit(detectors.FAMILIES[n][0]).alias("layer"), columns[n]["tag"].alias("tag"), columns[n]["positions"].alias("positions"))
-        for n in wanted
-    ]
-    return each.select(*df.columns, F.array(*rows).alias("verdicts"))
+    # each verdict appears once in the plan; the compound one reads the others from their array
+    row = lambda n, v: F.struct(F.lit(n).alias("family"), F.lit(detectors.FAMILIES[n][0]).alias("layer"), v.alias("v"))
+    order = list(found)
+    verdicts = F.array(*[row(n, found[n]) for n in order])
+
+    def finish(all_rows: Column) -> Column:
+        at = {n: F.get(all_rows, F.lit(i)) for i, n in enumerate(order)}
+        parts = {n: x["v"] for n, x in at.items()}
+        rows = []
+        for n in wanted:
+            if n == "sourceDisplayDivergence":
+                display = detectors.source_display_divergence(s, parts if "homoglyphConfusable" in parts else parts | {"homoglyphConfusable": homoglyph})
+                at[n] = row(n, display)
+            rows.append(at[n])
+        return F.transform(F.array(*rows), lambda x: F.struct(x["family"].alias("family"), x["layer"].alias("layer"), x["v"]["tag"].alias("tag"), x["v"]["positions"].alias("positions")))
+
+    homoglyph = detectors.homoglyph_confusable(s, F.col("_target"), forms["NFC"])
+    return base.select(*df.columns, let(verdicts, finish).alias("verdicts"))
 
 
 def hazards(df: DataFrame, column: str, families: tuple[str, ...] | None = None) -> DataFrame:

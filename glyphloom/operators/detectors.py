@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casing, confusables, identifiers, layout
-from ..functions.codec import chars, codepoints, first_position, positions
+from ..functions.codec import chars, codepoints, first_position, let, positions
 from ..functions.normalize import nfc, nfkc, nfkd, normalized
 from ..tables import curated, icu
 
@@ -30,12 +30,11 @@ def one(position: Column) -> Column:
 
 def verdict(*rules: Rule) -> Column:
     """The tag and positions of the first rule whose condition holds."""
-    tag = pos = None
+    out = None
     for condition, name, where in rules:
-        name = F.lit(name) if isinstance(name, str) else name
-        tag = F.when(condition, name) if tag is None else tag.when(condition, name)
-        pos = F.when(condition, where) if pos is None else pos.when(condition, where)
-    return F.struct(tag.alias("tag"), pos.otherwise(empty()).alias("positions"))
+        found = F.struct((F.lit(name) if isinstance(name, str) else name).alias("tag"), where.alias("positions"))
+        out = F.when(condition, found) if out is None else out.when(condition, found)
+    return out.otherwise(F.struct(F.lit(None).cast("string").alias("tag"), empty().alias("positions")))
 
 
 def where(s: Column, guard: str, test: Callable[[Column, Column, Column], Column]) -> Column:
@@ -70,7 +69,10 @@ def following(cs: Column, i: Column) -> Column:
 
 
 def tag_block_payload(s: Column) -> Column:
-    tags = positions(s, layout.TAG)
+    return let(positions(s, layout.TAG), lambda tags: _tag_block(s, tags))
+
+
+def _tag_block(s: Column, tags: Column) -> Column:
     return verdict(
         (F.size(tags) == 0, F.lit(None).cast("string"), empty()),
         (s.rlike(rf"^[^{layout.TAG[1:]}*\x{{E0001}}") & (F.size(tags) >= 2), "LanguageTagRevival", tags),
@@ -120,7 +122,12 @@ def payload_hint(s: Column) -> Column:
 
 
 def variation_selector_payload(s: Column) -> Column:
-    bad, good, cs = suspicious_selectors(s), registered_selectors(s), chars(s)
+    found = let(suspicious_selectors(s), lambda bad: _selector_verdict(s, bad))
+    return F.when(s.rlike(layout.VARIATION_SELECTOR), found).otherwise(verdict((F.lit(False), "", empty())))
+
+
+def _selector_verdict(s: Column, bad: Column) -> Column:
+    good, cs = registered_selectors(s), chars(s)
     same = F.size(F.array_distinct(F.transform(bad, lambda i: F.get(cs, i)))) == 1
     return verdict(
         (F.size(bad) == 0, F.lit(None).cast("string"), empty()),
@@ -148,7 +155,10 @@ def _count(s: Column, cls: str) -> Column:
 
 
 def zero_width_payload(s: Column) -> Column:
-    bad = suspicious_zero_width(s)
+    return let(suspicious_zero_width(s), lambda bad: _zero_width_verdict(s, bad))
+
+
+def _zero_width_verdict(s: Column, bad: Column) -> Column:
     a, b, c = (_count(s, rf"\x{{{x}}}") for x in ("FFF9", "FFFA", "FFFB"))
     return verdict(
         (F.size(bad) == 0, F.lit(None).cast("string"), empty()),
@@ -168,7 +178,10 @@ _UTF8 = (
 
 def surrogate_reassembly(s: Column) -> Column:
     """The code points read as bytes, where all are below 256: the first that is no UTF-8."""
-    at = F.length(F.regexp_extract(s, f"^{_UTF8}*+", 0))
+    return let(F.length(F.regexp_extract(s, f"^{_UTF8}*+", 0)), lambda at: _byte_verdict(s, at))
+
+
+def _byte_verdict(s: Column, at: Column) -> Column:
     rest = F.substring(s, at + 1, F.lit(4))
     need = F.when(rest.rlike(r"^[\xC2-\xDF]"), 1).when(rest.rlike(r"^[\xE0-\xEF]"), 2).otherwise(3)
     have = F.least(need, F.length(F.regexp_extract(rest, r"^(?s:.)([\x80-\xBF]*)", 1)))
@@ -207,7 +220,11 @@ def bidi_balance(s: Column) -> Column:
 
 
 def bidi_control_balance(s: Column) -> Column:
-    state, controls = bidi_balance(s), positions(s, layout.BIDI_CONTROL)
+    return let(bidi_balance(s), lambda state: _balance_verdict(s, state))
+
+
+def _balance_verdict(s: Column, state: Column) -> Column:
+    controls = positions(s, layout.BIDI_CONTROL)
     return verdict(
         (~layout.has_bidi_control(s), F.lit(None).cast("string"), empty()),
         (state["depth"] > 125, "DepthExceeded", empty()),
@@ -313,8 +330,8 @@ def source_display_divergence(s: Column, parts: dict[str, Column] | None = None)
         ("ZeroWidth", get("zeroWidthPayload", zero_width_payload)), ("BidiControl", get("bidiControlBalance", bidi_control_balance)),
         ("IdentifierHomoglyph", get("homoglyphConfusable", homoglyph_confusable)),
     )
-    number = reduce(lambda a, b: a + b, [f.cast("int") for _, f in fired])
-    return verdict((number >= 2, "Compound", empty()), *[(f, name, empty()) for name, f in fired])
+    names = F.array_compact(F.array(*[F.when(f, F.lit(name)) for name, f in fired]))
+    return let(names, lambda n: verdict((F.size(n) >= 2, "Compound", empty()), (F.size(n) == 1, F.get(n, F.lit(0)), empty())))
 
 
 def filename_disguise(s: Column) -> Column:
@@ -346,9 +363,9 @@ def renderer_divergence(s: Column) -> Column:
     extend = icu.regex("[:GCB=Extend:]")
     wide = icu.char_class((0xFF01, 0xFFEF))
     rtl, ltr = icu.regex("[[:bc=R:][:bc=AL:]]"), icu.regex("[:bc=L:]")
-    stack = first_match(s, f"[^{extend[1:]}{extend}{{4}}")
+    stack = f"[^{extend[1:]}{extend}{{4}}"
     return verdict(
-        (stack.isNotNull(), "CombiningStackOverflow", one(stack)),
+        (s.rlike(stack), "CombiningStackOverflow", one(first_match(s, stack))),
         (s.rlike(layout.VARIATION_SELECTOR), "VariationSelectorVariance", one(first_position(s, layout.VARIATION_SELECTOR))),
         (s.contains(layout.ZWJ) & ~layout.is_rgi_zwj(s), "UnregisteredZwjVariance", one(first_position(s, r"[\x{200D}]"))),
         (s.rlike(wide), "FullwidthVariance", one(first_position(s, wide))),
@@ -380,16 +397,22 @@ def stream_safe_violation(s: Column) -> Column:
 def locale_case_inversion(s: Column) -> Column:
     below = icu.regex("[[:^ccc=0:]-[:ccc=230:]]")
     above = icu.regex("[:ccc=230:]")
-    turkish = first_match(s, f"[{casing.DOTTED_I}]|I(?!{below}*+\\x{{307}})|(?<=I{below}{{0,30}})\\x{{307}}")
-    baltic = first_match(s, f"[ÌÍĨ]|[IJĮ](?={below}*+{above})")
-    return verdict((turkish.isNotNull(), "TurkishCaseDivergence", one(turkish)), (baltic.isNotNull(), "LithuanianCaseDivergence", one(baltic)))
+    turkish = (f"[{casing.DOTTED_I}]|I(?!{below}*+\\x{{307}})|(?<=I{below}{{0,30}})\\x{{307}}")
+    baltic = (f"[ÌÍĨ]|[IJĮ](?={below}*+{above})")
+    return verdict(
+        (s.rlike(turkish), "TurkishCaseDivergence", one(first_match(s, turkish))), (s.rlike(baltic), "LithuanianCaseDivergence", one(first_match(s, baltic)))
+    )
 
 
 def case_expansion_mismatch(s: Column) -> Column:
     changes = icu.regex("[[:CWU:]-[a-z]]")
-    more = where(s, changes, lambda cs, c, i: c.rlike(changes) & (F.length(F.upper(c)) > 1))
+    more = F.array_min(where(s, changes, lambda cs, c, i: c.rlike(changes) & (F.length(F.upper(c)) > 1)))
+    return let(more, lambda first: _expansion(s, first))
+
+
+def _expansion(s: Column, more: Column) -> Column:
     return verdict(
-        (F.size(more) > 0, "UpperExpansion", one(F.array_min(more))),
+        (more.isNotNull(), "UpperExpansion", one(more)),
         (s.contains(casing.DOTTED_I), "LowerExpansion", one(first_position(s, f"[{casing.DOTTED_I}]"))),
     )
 
@@ -414,8 +437,7 @@ def _status_shifts(s: Column) -> Column:
 
 
 def identifier_form_drift(s: Column) -> Column:
-    shifts = _status_shifts(s)
-    return verdict((F.size(shifts) > 0, "IdentifierStatusShift", one(F.array_min(shifts))))
+    return let(F.array_min(_status_shifts(s)), lambda at: verdict((at.isNotNull(), "IdentifierStatusShift", one(at))))
 
 
 def covert_display_compound(s: Column) -> Column:
