@@ -29,7 +29,8 @@ def _final_sigma(s: Column) -> Column:
     Only combining marks are skipped on either side.
     """
     cased, marks = icu.regex("[:Cased:]"), icu.regex("[:^ccc=0:]")
-    return F.regexp_replace(s, f"(?<={cased}{marks}{{0,30}})Σ(?!{marks}*+{cased})", "ς")
+    done = F.regexp_replace(s, f"Σ(?<={cased}{marks}{{0,30}}Σ)(?!{marks}*+{cased})", "ς")
+    return F.when(s.contains("Σ"), done).otherwise(s)
 
 
 def lower(s: Column, locale: str = "default") -> Column:
@@ -37,7 +38,7 @@ def lower(s: Column, locale: str = "default") -> Column:
     if locale in ("turkish", "azeri"):
         # a dot above directly after I belongs to it; so does one after marks of another class
         marks = icu.regex("[[:^ccc=0:]-[:ccc=230:]]")
-        s = F.regexp_replace(s, f"I({marks}*)̇", "i$1")
+        s = F.when(s.contains("\u0307"), F.regexp_replace(s, f"I({marks}*)̇", "i$1")).otherwise(s)
         s = F.translate(s, f"I{DOTTED_I}", "ıi")
     if locale == "lithuanian":
         above = icu.regex("[:ccc=230:]")

@@ -151,3 +151,19 @@ def host_labels(url: Column) -> Column:
 def bidi_domain(s: Column) -> Column:
     """If any label runs right to left, all follow the strict bidi rule."""
     return F.when(bidi_label(s), F.forall(labels(s), lambda x: bidi_rule(x, strict=True))).otherwise(F.lit(True))
+
+
+def _ascii_domain(domain: str) -> str:
+    return ".".join(x if x.isascii() else "xn--" + punycode_encode(x) for x in domain.split("."))
+
+
+def to_ascii(s: Column, transitional: bool = False) -> Column:
+    """A domain in ASCII: mapped, its labels checked and spelt in Punycode; null where one fails.
+
+    Labels take 1 to 63 bytes and the domain at most 253, without a trailing dot.
+    """
+    mapped = idna_map(s, transitional)
+    ok = F.forall(labels(mapped), valid_label) & bidi_domain(mapped)
+    spelt = _series(_ascii_domain)(mapped)
+    fits = (F.length(spelt) <= 253) & F.forall(labels(spelt), lambda x: F.length(x).between(1, 63))
+    return F.when(ok & fits, spelt)

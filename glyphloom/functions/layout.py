@@ -26,7 +26,8 @@ def display_width(s: Column, wide_ambiguous: bool = False) -> Column:
     wide = "[[:ea=W:][:ea=F:]" + ("[:ea=A:]" if wide_ambiguous else "") + "]"
     two = icu.regex(f"[{wide}-[[:Cc:][:Mn:][:Me:]\\u200C\\u200D\\uFE00-\\uFE0F]]")
     plain = s.rlike(r"^[\x20-\x7E]*\z")
-    return F.when(plain, F.length(s)).otherwise(F.length(s) - _count(s, none) + _count(s, two))
+    latin = F.lit(not wide_ambiguous) & s.rlike(r"^[\x{0}-\x{FF}]*\z")  # only controls have no width there
+    return F.when(plain, F.length(s)).when(latin, F.length(s) - _count(s, r"[\x00-\x1F\x7F-\x{9F}]")).otherwise(F.length(s) - _count(s, none) + _count(s, two))
 
 
 def orientation(s: Column) -> Column:

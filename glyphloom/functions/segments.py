@@ -28,7 +28,9 @@ def cluster_pattern() -> str:
     conjunct = f"{cons}(?:{more}*{link}{more}*{cons})+"
     control = g("Control", "CR", "LF")
     core = f"(?:{hangul}|{ri}{ri}|{xpicto}|{conjunct}|[^{control[1:]})"
-    return f"(?:\\r\\n|{control}|{g('Prepend')}*{core}[{g('Extend')[1:-1]}\\x{{200D}}{g('SpacingMark')[1:-1]}]*|{g('Prepend')}+)"
+    # no character below U+0300 extends another, so most text needs no look at the classes
+    simple = r"[\x{20}-\x{7E}\x{A0}-\x{AC}\x{AE}-\x{2FF}](?![\x{300}-\x{10FFFF}])"
+    return f"(?:{simple}|\\r\\n|{control}|{g('Prepend')}*{core}[{g('Extend')[1:-1]}\\x{{200D}}{g('SpacingMark')[1:-1]}]*|{g('Prepend')}+)"
 
 
 def graphemes(s: Column) -> Column:
@@ -56,8 +58,26 @@ SENTENCE_CLASS = {
 def class_letters(s: Column, prop: str, letters: dict[str, str]) -> Column:
     """The text with each character replaced by the letter of its class, others by '.'.
 
-    Pictographs of no other word class get 'P'.
+    Pictographs of no other word class get 'P'. Text below U+0100 takes one table.
     """
+    return F.when(s.rlike(r"^[\x{0}-\x{FF}]*\z"), F.translate(s, _LATIN, _latin_letters(prop))).otherwise(_class_letters(s, prop, letters))
+
+
+_LATIN = "".join(map(chr, range(256)))
+
+
+@lru_cache(maxsize=None)
+def _latin_letters(prop: str) -> str:
+    letters = WORD_CLASS if prop == "WB" else SENTENCE_CLASS
+    out = ["."] * 256
+    for name, letter in ([("[:ExtPict:]", "P")] if prop == "WB" else []) + [(f"[:{prop}={n}:]", x) for n, x in letters.items()]:
+        for a, b in icu.ranges(name):
+            for cp in range(a, min(b, 255) + 1):
+                out[cp] = letter
+    return "".join(out)
+
+
+def _class_letters(s: Column, prop: str, letters: dict[str, str]) -> Column:
     out = s
     marks: list[tuple[str, str]] = []
     groups: dict[str, list[str]] = {}
@@ -117,6 +137,19 @@ def sentences(s: Column) -> Column:
     return _cut(s, class_letters(s, "SB", SENTENCE_CLASS), _sentence_pattern())
 
 
+def word_count(s: Column) -> Column:
+    """Segments between word boundaries, counted without cutting the text."""
+    return F.size(F.filter(_runs(class_letters(s, "WB", WORD_CLASS), _word_pattern()), lambda r: r != ""))
+
+
+def sentence_count(s: Column) -> Column:
+    return F.size(F.filter(_runs(class_letters(s, "SB", SENTENCE_CLASS), _sentence_pattern()), lambda r: r != ""))
+
+
+def _runs(classes: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(classes, F.lit(f"({pattern})"), F.lit(1))
+
+
 def grapheme_count(s: Column) -> Column:
     return F.regexp_count(s, F.lit(cluster_pattern()))
 

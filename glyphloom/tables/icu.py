@@ -61,14 +61,28 @@ def _parse(text: str):
 
 
 def char_class(*spans: tuple[int, int] | int, negated: bool = False) -> str:
-    """A Java regular-expression class of code-point ranges."""
-    parts = []
-    for s in spans:
-        a, b = (s, s) if isinstance(s, int) else s
-        parts.append(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}")
-    if not parts:  # matches nothing, or anything
+    """A Java regular-expression class of code-point ranges.
+
+    Java tests a class's ranges one after the other, so many ranges become a tree: a group
+    of them is looked into only for characters between its ends.
+    """
+    pairs = [(s, s) if isinstance(s, int) else s for s in spans]
+    if not pairs:  # matches nothing, or anything
         return "[\\x{0}-\\x{10FFFF}]" if negated else "[^\\x{0}-\\x{10FFFF}]"
-    return f"[{'^' if negated else ''}{''.join(parts)}]"
+    ordered = sorted(pairs) if len(pairs) > _LEAF else pairs
+    return f"[{'^' if negated else ''}{_body(ordered)}]"
+
+
+#: Ranges that a class tests in a row, and groups that a long list is cut into.
+_LEAF, _FAN = 6, 4
+
+
+def _body(pairs: list[tuple[int, int]]) -> str:
+    if len(pairs) <= _LEAF:
+        return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in pairs)
+    step = -(-len(pairs) // _FAN)
+    groups = [pairs[i : i + step] for i in range(0, len(pairs), step)]
+    return "".join(f"[\\x{{{g[0][0]:X}}}-\\x{{{max(b for _, b in g):X}}}&&[{_body(g)}]]" for g in groups)
 
 
 @lru_cache(maxsize=None)
