@@ -39,8 +39,8 @@ def verdict(*rules: Rule) -> Column:
 
 def where(s: Column, guard: str, test: Callable[[Column, Column, Column], Column]) -> Column:
     """Positions i at which ``test(characters, character, i)`` holds; none without the guard."""
-    cs = chars(s)
-    found = F.filter(F.transform(cs, lambda c, i: F.when(test(cs, c, i), i)), lambda i: i.isNotNull())
+    # bound once: a lambda that splits the text anew for every character takes its square
+    found = let(chars(s), lambda cs: F.filter(F.transform(cs, lambda c, i: F.when(test(cs, c, i), i)), lambda i: i.isNotNull()))
     return F.when(s.rlike(guard), found).otherwise(empty())
 
 
@@ -51,10 +51,8 @@ def first_match(s: Column, pattern: str) -> Column:
 
 def first_difference(a: Column, b: Column) -> Column:
     """First position at which two texts differ, the shorter one's length when it is a prefix."""
-    short = F.least(F.length(a), F.length(b))
-    ca, cb = chars(a), chars(b)
-    at = F.array_min(F.filter(F.transform(ca, lambda c, i: F.when((i < short) & (c != F.get(cb, i)), i)), lambda i: i.isNotNull()))
-    return F.when(a != b, F.coalesce(at, short))
+    same = F.zip_with(chars(a), chars(b), lambda x, y: x.eqNullSafe(y))
+    return F.when(a != b, (F.array_position(same, F.lit(False)) - 1).cast("int"))
 
 
 def previous(cs: Column, i: Column) -> Column:
@@ -101,9 +99,8 @@ def suspicious_selectors(s: Column) -> Column:
 def selector_payload(s: Column) -> Column:
     """Bytes that suspicious selectors spell, two to a byte; Mongolian ones spell nothing."""
     cps = codepoints(s)
-    values = F.filter(
-        F.transform(suspicious_selectors(s), lambda i: F.get(cps, i)), lambda c: ~c.between(0x180B, 0x180D)
-    )
+    picked = let(cps, lambda all_cps: F.transform(suspicious_selectors(s), lambda i: F.get(all_cps, i)))
+    values = F.filter(picked, lambda c: ~c.between(0x180B, 0x180D))
     values = F.transform(values, lambda c: F.when(c < 0xE0000, c - 0xFE00).otherwise(c - 0xE0100 + 16))
     pairs = F.filter(F.transform(values, lambda v, i: F.when(i % 2 == 1, (F.get(values, i - 1) * 16).bitwiseOR(v).bitwiseAND(255))), lambda b: b.isNotNull())
     return pairs
@@ -128,7 +125,7 @@ def variation_selector_payload(s: Column) -> Column:
 
 def _selector_verdict(s: Column, bad: Column) -> Column:
     good, cs = registered_selectors(s), chars(s)
-    same = F.size(F.array_distinct(F.transform(bad, lambda i: F.get(cs, i)))) == 1
+    same = let(cs, lambda all_chars: F.size(F.array_distinct(F.transform(bad, lambda i: F.get(all_chars, i)))) == 1)
     return verdict(
         (F.size(bad) == 0, F.lit(None).cast("string"), empty()),
         (F.array_min(good) < F.array_min(bad), "EmbeddedAfterRegistered", bad),
@@ -204,8 +201,8 @@ def bidi_balance(s: Column) -> Column:
     zero = F.lit(0)
     start = F.struct(zero.alias("emb"), zero.alias("iso"), zero.alias("depth"), empty().alias("orphans"))
 
-    def step(a: Column, i: Column) -> Column:
-        c = F.get(cps, i)
+    def step(a: Column, x: Column) -> Column:
+        i, c = x["i"], x["c"]
         opens, pops = c.isin(0x202A, 0x202B, 0x202D, 0x202E), c == 0x202C
         starts, ends = c.isin(0x2066, 0x2067, 0x2068), c == 0x2069
         emb = a["emb"] + F.when(opens, 1).when(pops & (a["emb"] > 0), -1).otherwise(0)
@@ -216,7 +213,9 @@ def bidi_balance(s: Column) -> Column:
             F.when(orphan, F.array_append(a["orphans"], i)).otherwise(a["orphans"]).alias("orphans"),
         )
 
-    return F.aggregate(controls, start, step)
+    # the controls' code points, looked up once
+    looked = let(cps, lambda all_cps: F.transform(controls, lambda i: F.struct(i.alias("i"), F.get(all_cps, i).alias("c"))))
+    return F.aggregate(looked, start, step)
 
 
 def bidi_control_balance(s: Column) -> Column:
@@ -262,7 +261,8 @@ def homoglyph_confusable(s: Column, target: Column | None = None, form: Column |
     form = nfc(s) if form is None else form
     level = identifiers.restriction_level(s)
     math, wide = icu.char_class((0x1D400, 0x1D7FF)), icu.char_class((0xFF01, 0xFFEF))
-    differs = F.coalesce(F.when(first_difference(s, form) < F.least(F.length(s), F.length(form)), first_difference(s, form)), F.lit(0))
+    short = F.least(F.length(s), F.length(form))
+    differs = let(first_difference(s, form), lambda at: F.coalesce(F.when(at < short, at), F.lit(0)))
     plain = s.rlike(r"^[\x00-\x7F]*\z")
     return verdict(
         (target.isNotNull(), "TargetMatch", empty()),
