@@ -6,7 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.llm import decontamination, exact_dedup, language_id, mixing, simhash
+from glyphloom.llm import decontamination, exact_dedup, language_id, mixing, near_copies
 from glyphloom.llm.common import held_out, shared_dir
 
 
@@ -22,8 +22,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one of each group of near copies (5)."""
-    return simhash.drop_near_duplicates(docs)
+    """Keep one of each group of near copies of similarity 0.8 or more (5)."""
+    return near_copies.drop_near_copies(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -121,12 +121,16 @@ def group_bits(both: np.ndarray, n: int, m: int) -> list[tuple[int, ...]]:
     return groups
 
 
-def choose_plan(n: int, both: np.ndarray, radius: int) -> Plan:
+def choose_plan(
+    n: int, both: np.ndarray, radius: int, pairs: float | None = None, candidate_cost: float = CANDIDATE_COST, probe_cost: float = 1.0
+) -> Plan:
     """The cheapest partitions and thresholds for ``n`` fingerprints.
 
     A partition's expected candidates come from the chance that each of its bits
     differs between two fingerprints; its probes from the values within the threshold.
+    ``pairs`` is how many pairs can meet at all, by default every pair.
     """
+    pairs = n * n / 2 if pairs is None else pairs
     p = np.diag(both) / max(n, 1)
     differ = np.clip(2 * p * (1 - p), 1e-3, 0.5)
     best = None
@@ -141,7 +145,7 @@ def choose_plan(n: int, both: np.ndarray, radius: int) -> Plan:
                 chance[0] *= 1 - differ[b]
             within = np.cumsum(chance[: radius + 1])
             probes = np.cumsum([comb(len(g), j) for j in range(radius + 1)])
-            costs.append([0.0, *(CANDIDATE_COST * n * n / 2 * within + n * probes)])  # [u]: threshold u - 1
+            costs.append([0.0, *(candidate_cost * pairs * within + probe_cost * n * probes)])  # [u]: threshold u - 1
         total, choice = {0: 0.0}, {0: ()}
         for row in costs:
             step, kept = {}, {}
