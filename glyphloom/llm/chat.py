@@ -103,6 +103,33 @@ def _parsed(messages: DataFrame) -> DataFrame:
     return messages.mapInArrow(run, f"{kinds}, calls {CALL_SQL}, answers string, json string")
 
 
+def declared_tools(messages: DataFrame) -> DataFrame:
+    """``(conv_id, name, schema)`` of the tools that conversations declare.
+
+    A declaration is a system message whose text is a JSON object with ``tools``, a list of
+    ``{"name", "parameters"}`` or of such objects under ``function``. Parameters are a JSON schema;
+    a tool without them takes any arguments.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, schemas = [], [], []
+            for i, text in enumerate(batch.column(1)):
+                tools = _object(text.as_py()).get("tools")
+                for tool in tools if isinstance(tools, list) else []:
+                    tool = tool.get("function", tool) if isinstance(tool, dict) else None
+                    if isinstance(tool, dict) and isinstance(tool.get("name"), str):
+                        at.append(i)
+                        names.append(tool["name"])
+                        schemas.append(canonical(tool.get("parameters")))
+            conv = batch.column(0).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([conv, pa.array(names, pa.string()), pa.array(schemas, pa.string())], names=["conv_id", "name", "schema"])
+
+    ship(messages.sparkSession)
+    kind = messages.schema["conv_id"].dataType.simpleString()
+    return messages.where("role = 'system'").select("conv_id", "text").mapInArrow(run, f"conv_id {kind}, {TOOL_SCHEMA}")
+
+
 def _checked(calls: DataFrame) -> DataFrame:
     """Whether the arguments of each row ``(.., arguments, schema)`` fit."""
 
@@ -120,7 +147,8 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None) -> DataFra
     Sorting a conversation by ``(order_turn, order_step, turn)`` puts every message after those
     it needs: a result after its call, a call after the results it refers to. ``problem`` is
     null or the first of ``unknown_tool, bad_arguments, orphan_result, unanswered_call, cycle``.
-    Without ``tools(name, schema)`` no tool is unknown and no argument bad.
+    Without ``tools(name, schema)`` no tool is unknown and no argument bad. Tools with a
+    ``conv_id`` are known to that conversation only.
 
     * Null texts and roles are kept as JSON null; a text that is no JSON object is content.
       A null ``conv_id`` or ``turn`` is kept but links nothing. Of calls that share an id, the
@@ -143,8 +171,9 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None) -> DataFra
     missing = calls.join(first_answer.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
     found = found.unionByName(missing.select("conv_id", "turn", said("unanswered_call")))
     if tools is not None:
-        per_name = tools.groupBy("name").agg(F.max("schema").alias("schema"), F.lit(True).alias("known"))
-        against = _checked(calls.join(per_name, "name", "left"))
+        key = [c for c in ("conv_id", "name") if c in tools.columns]
+        per_name = tools.groupBy(*key).agg(F.max("schema").alias("schema"), F.lit(True).alias("known"))
+        against = _checked(calls.join(per_name, key, "left"))
         found = found.unionByName(against.where("known is null").select("conv_id", "turn", said("unknown_tool")))
         found = found.unionByName(against.where("known and not fits").select("conv_id", "turn", said("bad_arguments")))
 
@@ -188,4 +217,6 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None) -> DataFra
 
 
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """All conversations, each call checked against the tools that its conversation declares."""
+    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return format_chats(messages, declared_tools(messages))
