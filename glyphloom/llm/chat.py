@@ -12,15 +12,15 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .common import written
+from .components import components
 
-#: Rounds of ordering; what still moves then is taken for a cycle.
-MAX_DEPTH = 32
 TOOL_SCHEMA = "name string, schema string"
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
@@ -141,6 +141,47 @@ def _checked(calls: DataFrame) -> DataFrame:
     return calls.withColumn("fits", ok("arguments", "schema"))
 
 
+def order_linked(turns: list[int], befores: list[int]) -> list[tuple[int, int, int, bool]]:
+    """``(turn, at, step, stuck)`` of the messages of needs, by removal of messages without unmet needs.
+
+    What is never removed lies in a cycle or behind one and keeps its own turn.
+    """
+    unmet: dict[int, int] = {}
+    after: dict[int, list[int]] = {}
+    for turn, before in zip(turns, befores):
+        unmet[turn] = unmet.get(turn, 0) + 1
+        unmet.setdefault(before, 0)
+        after.setdefault(before, []).append(turn)
+    place = {m: (m, 0) for m in unmet}
+    ready = [m for m, n in unmet.items() if not n]
+    while ready:
+        m = ready.pop()
+        at, step = place[m]
+        for later in after.get(m, ()):
+            place[later] = max(place[later], (at, step + 1))
+            unmet[later] -= 1
+            if not unmet[later]:
+                ready.append(later)
+    return [(m, m, 0, True) if n else (m, *place[m], False) for m, n in unmet.items()]
+
+
+def _placed(needs: DataFrame) -> DataFrame:
+    """``(conv_id, turn, at, step, stuck)``: messages that needs link are ordered together, others apart."""
+
+    def run(key: tuple, linked: pd.DataFrame) -> pd.DataFrame:
+        rows = order_linked(linked["turn"].tolist(), linked["before"].tolist())
+        out = pd.DataFrame(rows, columns=["turn", "at", "step", "stuck"])
+        out.insert(0, "conv_id", [key[0]] * len(out))
+        return out
+
+    node = lambda turn: F.struct("conv_id", F.col(turn).alias("turn"))
+    groups = components(needs.select(node("turn").alias("a"), node("before").alias("b")))
+    groups = groups.select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), F.col("component.turn").alias("_root"))
+    linked = needs.join(groups, ["conv_id", "turn"], "left").withColumn("_root", F.coalesce("_root", "turn"))
+    kinds = ", ".join(f"{c} {needs.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
+    return linked.groupBy("conv_id", "_root").applyInPandas(run, f"{kinds}, at long, step int, stuck boolean")
+
+
 def format_chats(messages: DataFrame, tools: DataFrame | None = None) -> DataFrame:
     """One row per message: ``conv_id, turn, role, order_turn, order_step, n_calls, problem, json``.
 
@@ -183,24 +224,12 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None) -> DataFra
     needs = by_result.unionByName(refs.select("conv_id", "turn", F.col("answer_turn").alias("before"))).distinct()
     needs = written(needs, "chat-needs")
     nodes = needs.select("conv_id", "turn").unionByName(needs.select("conv_id", F.col("before").alias("turn"))).distinct()
-    start = F.struct(F.col("turn").cast("long").alias("at"), F.lit(0).alias("step"))
-    place = nodes.withColumn("place", start)
-    moving = not needs.isEmpty()
-    for _ in range(MAX_DEPTH if moving else 0):
-        of_before = place.select("conv_id", F.col("turn").alias("before"), F.struct("place.at", (F.col("place.step") + 1).alias("step")).alias("after"))
-        least = needs.join(of_before, ["conv_id", "before"]).groupBy("conv_id", "turn").agg(F.max("after").alias("after"))
-        moved = place.join(least, ["conv_id", "turn"], "left").withColumn("next", F.greatest("place", F.coalesce("after", "place")))
-        moved = written(moved.select("conv_id", "turn", F.col("next").alias("place"), (F.col("next") != F.col("place")).alias("moved")), "chat-order")
-        place = moved.select("conv_id", "turn", "place")
-        moving = not moved.where("moved").isEmpty()
-        if not moving:
-            break
-    if moving:
-        # round a cycle one message moves at a time, and each has been pushed about as often
-        stuck = place.where(F.col("place.step") >= MAX_DEPTH // 2).select("conv_id", "turn")
-        found = found.unionByName(stuck.select("conv_id", "turn", said("cycle")))
-        # a message in or after a cycle keeps its own turn
-        place = place.join(stuck.withColumn("stuck", F.lit(True)), ["conv_id", "turn"], "left").withColumn("place", F.when(F.col("stuck"), start).otherwise(F.col("place"))).drop("stuck")
+    if needs.isEmpty():
+        place = nodes.select("conv_id", "turn", F.struct(F.col("turn").cast("long").alias("at"), F.lit(0).alias("step")).alias("place"))
+    else:
+        placed = written(_placed(needs), "chat-order")
+        found = found.unionByName(placed.where("stuck").select("conv_id", "turn", said("cycle")))
+        place = placed.select("conv_id", "turn", F.struct("at", "step").alias("place"))
 
     worst = found.groupBy("conv_id", "turn").agg(F.min("problem").alias("problem"))
     # only messages that call or answer can have a problem or be moved; the others never meet a join

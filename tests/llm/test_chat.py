@@ -29,3 +29,26 @@ def test_query_checks_declared_tools(spark, tmp_path):
     ]
     got = queried(spark, tmp_path, rows)
     assert {k: r["problem"] for k, r in got.items() if r["problem"]} == {(1, 3): "bad_arguments", (1, 5): "unknown_tool", (2, 1): "unknown_tool"}
+
+
+def chain(conv, n, closed=False):
+    """Answer i at turn 2 i before its call, which uses the next answer: each stands before what it needs."""
+    rows = [(conv, 2 * n, "system", TOOLS)]
+    for i in range(n):
+        used = [i + 1] if i + 1 < n else [0] if closed else []
+        rows += [(conv, 2 * i, "tool", answer(f"k{i}")), (conv, 2 * i + 1, "assistant", call("f", f"k{i}", {"n": 1, "x": [{"$ref": f"k{u}"} for u in used]}))]
+    return rows
+
+
+def test_long_chains_and_cycles_do_not_touch_other_conversations(spark, tmp_path):
+    got = queried(spark, tmp_path, chain(1, 20) + chain(2, 20, closed=True) + chain(3, 9))
+    for conv, last in ((1, 39), (3, 17)):
+        for turn in range(last + 1):
+            r = got[conv, turn]
+            assert (r["order_turn"], r["order_step"], r["problem"]) == (last, last - turn, None)
+    assert all((got[2, t]["order_turn"], got[2, t]["order_step"], got[2, t]["problem"]) == (t, 0, "cycle") for t in range(40))
+
+
+def test_order_linked_by_rounds():
+    assert sorted(chat.order_linked([1, 2, 3, 4], [2, 1, 1, 9])) == [(1, 1, 0, True), (2, 2, 0, True), (3, 3, 0, True), (4, 9, 1, False), (9, 9, 0, False)]
+    assert chat.order_linked([5], [5]) == [(5, 5, 0, True)]
