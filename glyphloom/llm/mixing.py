@@ -1,9 +1,9 @@
 """Mix sources to target weights by Sainte-Laguë apportionment, in DataFrame operations.
 
 Each source's text is laid end to end in a seeded order and cut into blocks of nearly
-equal numbers of words. Blocks are the seats: highest quotients ``target / (2 k + 1)``
-give each source a whole number of blocks, and the same rule deals a source's blocks to
-its shards. A shard takes every block ``quota div blocks`` times and a seeded choice of
+equal numbers of words. Highest quotients ``target / (2 k + 1)`` give each source a whole
+number of words, which is rounded to blocks of the source, and the same rule deals these
+blocks to its shards. Blocks are equal but for small sources, whose blocks are shorter. A shard takes every block ``quota div blocks`` times and a seeded choice of
 its blocks once more.
 """
 
@@ -22,6 +22,8 @@ MAX_SHARDS = 4_096
 #: Blocks are of T / BLOCKS words for T words in all, within 1 and MAX_BLOCK_WORDS.
 BLOCKS = 100_000
 MAX_BLOCK_WORDS = 512
+#: A small source is cut to shorter blocks, into about this many at least where it has the words.
+SOURCE_BLOCKS = 100
 SEED = 17
 
 
@@ -116,11 +118,12 @@ def mix(
         rows.groupBy("_source").agg(F.sum("_size").alias("source_size")), "_source", weights, max_repeats
     )
     total = F.sum("source_size").over(Window.partitionBy())
-    block = F.greatest(F.lit(1.0), F.least(F.lit(float(MAX_BLOCK_WORDS)), F.floor(total / BLOCKS)))
+    block = F.greatest(F.lit(1.0), F.least(F.lit(float(MAX_BLOCK_WORDS)), F.floor(total / BLOCKS), F.floor(F.col("source_size") / SOURCE_BLOCKS)))
     targets = targets.withColumn("_block", block).withColumn("_all", total)
     sources = sainte_lague(
-        targets, "target", F.floor(F.col("_all") / F.col("_block") + 0.5), [], [F.col("_source").isNull(), F.col("_source")], "_blocks"
+        targets, "target", F.col("_all"), [], [F.col("_source").isNull(), F.col("_source")], "_quota_words"
     )
+    sources = sources.withColumn("_blocks", F.floor(F.col("_quota_words") / F.col("_block") + 0.5).cast("long")).drop("_quota_words")
     sources = written(
         sources.withColumn(
             "_shards", F.greatest(F.lit(1), F.least(F.lit(MAX_SHARDS), F.ceil(F.col("source_size") / SHARD_WORDS))).cast("int")
