@@ -93,6 +93,21 @@ SELECT doc_id, CASE doc_id % 6 WHEN 1 THEN 'UTF-8' WHEN 2 THEN 'UTF-16BE' WHEN 3
 """
 
 
+def utf8_valid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validity of every text's whole bytes, broken at the start, middle or end in three of four documents."""
+    data, half = F.encode("text", "UTF-8"), F.floor(F.octet_length("text") / 2).cast("int")
+    tail = F.substring(data, half + 1, F.lit(2**31 - 1))
+    broken = [data, F.concat(F.unhex(F.lit("80")), data), F.concat(F.substring(data, F.lit(1), half), F.unhex(F.lit("C3")), tail), F.concat(data, F.unhex(F.lit("E282")))]
+    turn, made = F.pmod("doc_id", F.lit(4)), broken[0]
+    for i in (1, 2, 3):
+        made = F.when(turn == i, broken[i]).otherwise(made)
+    rows = read(spark, sf_dir, "documents").select("doc_id", made.alias("data"))
+    return rows.select("doc_id", codec.utf8_valid(F.col("data")).alias("value"))
+
+
+UTF8_SQL = "SELECT doc_id, CASE WHEN text IS NOT NULL THEN doc_id % 4 = 0 END AS value FROM documents"
+
+
 def url_host_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select(F.explode(domains.host_labels(F.col("url"))).alias("label"))
     return pages.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
@@ -211,6 +226,7 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "precis_username": d(identifiers.precis_username, None),
         "precis_opaque": d(lambda s: sha(identifiers.precis_opaque(s)), r"CASE WHEN t <> '' AND NOT regexp_matches(t, '[\x00-\x1F\x7F]') THEN sha256(t) END"),
         "skeleton": d(lambda s: sha(confusables.skeleton(s)), None),
+        "utf8_valid": (utf8_valid_whole, UTF8_SQL),
         "bom_kind": (bom_kinds, BOM_SQL),
         "url_host_labels": (url_host_labels, URL_SQL),
         "idna_domains": (idna_domains, None),
