@@ -130,7 +130,7 @@ def _candidates(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
     n, both = bit_moments(nodes)
     held = {r["class"]: r["c"] for r in nodes.groupBy("class").agg(F.count(F.lit(1)).alias("c")).collect()}
     met = sum(c * (c / 2 + held.get(k - 1, 0)) for k, c in held.items())
-    plan = choose_plan(n, both, radius, pairs=met, candidate_cost=CANDIDATE_COST, probe_cost=2.0)
+    plan = choose_plan(max(n, 1), both, radius, pairs=max(met, 1.0), candidate_cost=CANDIDATE_COST, probe_cost=2.0)
     masks = [np.array([sum(1 << b for b in bits)], np.uint64) for bits, _ in plan.partitions]
     flips = [np.array([sum(1 << b for b in c) for j in range(t + 1) for c in combinations(bits, j)], np.uint64) for bits, t in plan.partitions]
     none = [np.zeros(1, np.uint64)] * len(masks)
