@@ -6,7 +6,6 @@ import re
 from collections import Counter
 from zlib import crc32
 
-import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -56,12 +55,6 @@ def test_lm_beats_its_base_on_held_out(spark):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_attention_sums_to_one():
-    layer = lm_scoring.fit_attention([np.array([0, 1, 2] * 10)] * 20)
-    first = [10 ** layer.log10(np.array([c]), np.array([0, 1]))[0] for c in range(5)]
-    assert all(0 < p < 1 for p in first)
-
-
 def test_token_counts_use_the_cache(spark, tmp_path):
     import public_tokenizers
     from sentencepiece import SentencePieceProcessor
