@@ -42,6 +42,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A group of at least this many rows is joined by broadcast, and one of a thousandth of all rows beyond ten million.
+HOT_ROWS = 10_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int, how: str = "left") -> DataFrame:
+    """``rows`` joined to their ``groups(key, size, ..)``, whose ``size`` counts the group's rows.
+
+    Rows of hot groups would all land in one task of a shuffle. There are at most a thousand
+    groups of a thousandth of the rows or more, or of HOT_ROWS of fewer than ten million, so
+    these are broadcast whatever the data; the other rows are joined by shuffle. Rows must be
+    cheap to read twice. ``how`` is left or inner.
+    """
+    limit = max(HOT_ROWS, n_rows // 1_000)
+    hot = F.broadcast(groups.where(F.col(size) >= limit))
+    tagged = rows.join(hot, key, "left")
+    cold = tagged.where(F.col(size).isNull()).select(*rows.columns).join(groups.where(F.col(size) < limit), key, how)
+    return tagged.where(F.col(size).isNotNull()).unionByName(cold)
+
+
+def plain_names(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with columns ``_c0, _c1, ..``, which clash with nothing, and the new names of ``wanted``."""
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(w)] for w in wanted]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

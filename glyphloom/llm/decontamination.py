@@ -1,10 +1,10 @@
 """Benchmark decontamination by greedy string tiling.
 
 Texts and test items are words, lower case and without punctuation. Runs of SEED words
-that a document shares with an item are found by a join; each pair that shares one is
-tiled: the longest common runs that do not overlap are marked again and again, found by
-running Karp-Rabin hashes, so a passage whose parts were reordered is still covered. A
-document is contaminated by an item when the tiles cover enough of the item.
+that a document shares with an item are found by a join. A pair that shares as many as the
+coverage needs is tiled: the longest common runs that do not overlap are marked again and
+again, found by running Karp-Rabin hashes, so a passage whose parts were reordered is still
+covered. A document is contaminated by an item when the tiles cover enough of the item.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from math import ceil, log2
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import written
+from .common import join_groups, plain_names, written
 
 #: Words of a seed, and the shortest tile.
 SEED = 5
@@ -38,9 +37,10 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def words(text: str | None) -> np.ndarray:
-    """The words of a text as 32-bit hashes, signed."""
+    """The words of a text as 64-bit hashes, signed."""
+    digest = xxhash.xxh64_intdigest
     found = _WORD.findall((text or "").lower())
-    return np.fromiter((crc32(w.encode("utf-8", "surrogatepass")) for w in found), np.uint32, len(found)).view(np.int32)
+    return np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in found), np.uint64, len(found)).view(np.int64)
 
 
 def run_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -48,7 +48,7 @@ def run_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     n = len(tokens)
     if n < width or width < 1:
         return np.empty(0, np.uint64)
-    mixed = (tokens.astype(np.int64).view(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (tokens.view(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
     up, down = np.full(n, _BASE), np.full(n, _INVERSE)
     up[0] = down[0] = 1
@@ -57,81 +57,93 @@ def run_hashes(tokens: np.ndarray, width: int) -> np.ndarray:
     return (sums[width:] - sums[:-width]) * down[: n - width + 1]
 
 
+class _Side:
+    """A token sequence with marks; runs are looked up by hash among unmarked tokens only."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.free = tokens, np.ones(len(tokens), bool)
+
+    def runs(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and starts of the unmarked runs of a width."""
+        if len(self.tokens) < width:
+            return np.empty(0, np.uint64), np.empty(0, np.int64)
+        marked = np.concatenate([[0], np.cumsum(~self.free)])
+        at = np.flatnonzero(marked[width:] == marked[:-width])
+        return run_hashes(self.tokens, width)[at], at
+
+
+def _near_seeds(doc: np.ndarray, item: np.ndarray, least: int) -> np.ndarray:
+    """Places of the document's tokens that lie in a run of ``least`` which the item holds."""
+    hit = np.flatnonzero(np.isin(run_hashes(doc, least), run_hashes(item, least)))
+    covered = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(covered, hit, 1)
+    np.add.at(covered, hit + least, -1)
+    return np.flatnonzero(np.cumsum(covered)[:-1] > 0)
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy tiles ``(doc start, item start, length)``, longest first.
 
-    Each round looks for common runs of at least ``width`` unmarked words, extends
-    them while both sides agree, and marks the longest ones first; a match that is twice
-    the width starts the search again at its own length. Ties go to the earliest.
+    Each round halves its way to the greatest width at which both sides share an unmarked
+    run, and marks all such runs: by the item's order, each at the document's first free
+    place. Ties so go to the earliest. No pair of places is ever listed, so texts that repeat
+    one word cost no more than others.
     """
-    free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
+    kept = _near_seeds(doc, item, least)
+    if not len(kept):
+        return []
+    # the rest of the document holds no tile; a gap is one token that the item lacks
+    gaps = np.flatnonzero(np.diff(kept) > 1) + 1
+    foreign = np.int64(np.setdiff1d(np.arange(len(item) + 1), item)[0])
+    d, i = _Side(np.insert(doc[kept], gaps, foreign)), _Side(item)
+    places = np.insert(kept, gaps, -1)
     out: list[tuple[int, int, int]] = []
-    width = max(least, min(len(item), len(doc)) // 2)
-    while True:
-        matches, longest = _matches(doc, item, free_d, free_i, width)
-        if longest > 2 * width:
-            width = longest
-            continue
-        for size, d, i in sorted(matches, key=lambda m: (-m[0], m[1], m[2])):
-            # a tile marked before may have taken the ends of this match
-            while size >= width and not (free_d[d] and free_i[i]):
-                d, i, size = d + 1, i + 1, size - 1
-            taken = ~(free_d[d : d + size] & free_i[i : i + size])
-            if taken.any():
-                size = int(taken.argmax())
-            if size >= width:
-                free_d[d : d + size] = free_i[i : i + size] = False
-                out.append((d, i, size))
-        if _matches(doc, item, free_d, free_i, width)[0]:
-            continue
-        if width == least:
-            return out
-        width = max(least, width // 2)
-
-
-def _matches(doc, item, free_d, free_i, width) -> tuple[list[tuple[int, int, int]], int]:
-    """Maximal unmarked common runs of ``width`` or more as ``(length, doc, item)``."""
-    hd, hi = run_hashes(doc, width), run_hashes(item, width)
-    if not len(hd) or not len(hi):
-        return [], 0
-    open_at = lambda free: np.convolve(free, np.ones(width, int), "valid") == width
-    at_i = np.flatnonzero(open_at(free_i))
-    order = at_i[np.argsort(hi[at_i], kind="stable")]
-    if not len(order):
-        return [], 0
-    known = hi[order]
-    at_d = np.flatnonzero(open_at(free_d))
-    low, high = np.searchsorted(known, hd[at_d], "left"), np.searchsorted(known, hd[at_d], "right")
-    found, longest, seen = [], 0, set()
-    for d, a, b in zip(at_d[high > low].tolist(), low[high > low].tolist(), high[high > low].tolist()):
-        for i in order[a:b].tolist():
-            if (d - 1, i - 1) in seen:  # inside a run that is already extended
-                seen.add((d, i))
-                continue
-            if not np.array_equal(doc[d : d + width], item[i : i + width]):
+
+    def shared(width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        (hd, at_d), (hi, at_i) = d.runs(width), i.runs(width)
+        both = np.isin(hi, hd)
+        return hd, at_d, hi[both], at_i[both]
+
+    high = min(len(d.tokens), len(item))
+    while high >= least:
+        low, top = least - 1, high  # a shared run of a width holds one of each lesser width
+        while low < top:
+            mid = (low + top + 1) // 2
+            low, top = (mid, top) if len(shared(mid)[3]) else (low, mid - 1)
+        if low < least:
+            break
+        width = high = low
+        hd, at_d, hi, at_i = shared(width)
+        order = np.argsort(hd, kind="stable")
+        hd, at_d = hd[order], at_d[order]
+        tried: dict[int, int] = {}
+        for hash_i, start in zip(hi.tolist(), at_i.tolist()):
+            if not i.free[start : start + width].all():
                 continue
-            seen.add((d, i))
-            size = width
-            while d + size < len(doc) and i + size < len(item) and free_d[d + size] and free_i[i + size] and doc[d + size] == item[i + size]:
-                size += 1
-            found.append((size, d, i))
-            longest = max(longest, size)
-    return found, longest
+            first = int(np.searchsorted(hd, np.uint64(hash_i)))
+            at = tried.get(hash_i, first)
+            while at < len(hd) and int(hd[at]) == hash_i and not d.free[at_d[at] : at_d[at] + width].all():
+                at += 1
+            tried[hash_i] = at
+            if at < len(hd) and int(hd[at]) == hash_i:
+                p = int(at_d[at])
+                d.free[p : p + width] = i.free[start : start + width] = False
+                out.append((int(places[p]), start, width))
+    return out
 
 
 def _seeds(items: DataFrame) -> DataFrame:
-    """``(item, hash)`` of every seed of ``items(item, text)``, with the item's words."""
+    """``(item, words, hashes, times)`` of ``items(item, text)``: distinct seeds and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens = [words(t) for t in batch.column(1).to_pylist()]
-            hashes = [np.unique(run_hashes(t, SEED)).view(np.int64) for t in tokens]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(tokens, pa.list_(pa.int32())), pa.array(hashes, pa.list_(pa.int64()))], names=["item", "words", "hashes"]
-            )
+            found = [np.unique(run_hashes(t, SEED), return_counts=True) for t in tokens]
+            lists = (tokens, [h.view(np.int64) for h, _ in found], [n for _, n in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["item", "words", "hashes", "times"])
 
     kind = items.schema["item"].dataType.simpleString()
-    return items.mapInArrow(run, f"item {kind}, words array<int>, hashes array<long>")
+    return items.mapInArrow(run, f"item {kind}, words array<long>, hashes array<long>, times array<long>")
 
 
 def _places(hashes: np.ndarray, size: int) -> list[np.ndarray]:
@@ -164,7 +176,7 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
 
 
 def _hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Documents with a run that passes the filter: ``id, key, words, hashes``."""
+    """Documents with a run that passes the filter: ``id, key, words, hashes``; equal word sequences have one key."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,20 +192,21 @@ def _hits(docs: DataFrame, bits: np.ndarray) -> DataFrame:
                     hashes = hashes[(cells[where >> np.uint64(6)] >> (where & np.uint64(63))) & np.uint64(1) == 1]
                 if len(hashes):
                     rows.append(r)
-                    keys.append(xxhash.xxh64_intdigest(own.tobytes()) - (1 << 63))
+                    keys.append(xxhash.xxh128_hexdigest(own.tobytes()))
                     tokens.append(own)
                     passed.append(np.unique(hashes).view(np.int64))
+            lists = (tokens, passed)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.int64()), pa.array(tokens, pa.list_(pa.int32())), pa.array(passed, pa.list_(pa.int64()))],
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(keys, pa.string()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)],
                 names=["id", "key", "words", "hashes"],
             )
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, key long, words array<int>, hashes array<long>")
+    return docs.mapInArrow(run, f"id {kind}, key string, words array<long>, hashes array<long>")
 
 
 def _tiled(pairs: DataFrame) -> DataFrame:
-    """Tile each row of ``(id, item, words, test)``."""
+    """Tile each row of ``(key, item, words, test)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,11 +217,11 @@ def _tiled(pairs: DataFrame) -> DataFrame:
                 covered.append(sum(t[2] for t in found) / len(item))
                 number.append(len(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(covered, pa.float64()), pa.array(number, pa.int32())], names=["id", "item", "coverage", "n_tiles"]
+                [batch.column(0), batch.column(1), pa.array(covered, pa.float64()), pa.array(number, pa.int32())], names=["key", "item", "coverage", "n_tiles"]
             )
 
-    a, b = (pairs.schema[c].dataType.simpleString() for c in ("id", "item"))
-    return pairs.mapInArrow(run, f"id {a}, item {b}, coverage double, n_tiles int")
+    kind = pairs.schema["item"].dataType.simpleString()
+    return pairs.mapInArrow(run, f"key string, item {kind}, coverage double, n_tiles int")
 
 
 def contaminated(
@@ -218,27 +231,44 @@ def contaminated(
     """Pairs ``id, item, coverage, n_tiles`` of documents and the items they contain.
 
     * Null and empty texts and items match nothing, and nor do items of fewer than
-      ``SEED`` words. Rows repeated with one id, in either table, give a pair its best
-      coverage. Empty tables give an empty result; other columns are ignored.
+      ``SEED`` words, which any text may hold by chance. A null document id is an id like
+      others; an item without an id is left out. Rows repeated with one id, in either
+      table, give a pair its best coverage. Ties between tiles go to the earliest.
+    * A very long text is held whole by the task that hashes it, but only the parts
+      that share a run with an item are tiled.
+    * Empty tables give an empty result; other columns are ignored, whatever their names.
     """
     ship(docs.sparkSession)
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    items = written(_seeds(items.where("item is not null")).where("size(hashes) > 0"), "benchmark-seeds")
-    seeds = items.select("item", F.explode("hashes").alias("hash"))
+    items = written(_seeds(items.where("item is not null")).where("size(hashes) > 0").withColumn("row", F.monotonically_increasing_id()), "benchmark-seeds")
+    seeds = items.select("row", F.size("words").alias("length"), F.explode(F.arrays_zip("hashes", "times")).alias("x")).select("row", "length", F.col("x.hashes").alias("hash"), "x.times")
     bits = seed_filter(seeds)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     hits = written(_hits(rows, bits), "seed-hits")
-    shared = hits.select("id", "key", F.explode("hashes").alias("hash")).join(seeds, "hash").select("id", "key", "item").distinct()
-    pairs = shared.join(hits.select("id", "key", "words"), ["id", "key"]).join(items.select("item", F.col("words").alias("test")), "item")
-    found = _tiled(pairs.select("id", "item", "words", "test")).where(F.col("coverage") >= coverage)
-    best = found.groupBy("id", "item").agg(F.max(F.struct("coverage", "n_tiles")).alias("x"))
-    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "x.coverage", "x.n_tiles")
+    # one document stands for all of equal words; ids return at the end
+    texts = written(hits.groupBy("key").agg(F.first("hashes").alias("hashes"), F.count(F.lit(1)).alias("rows")), "seed-texts")
+    met = texts.select("key", F.explode("hashes").alias("hash")).join(seeds, "hash").groupBy("key", "row", "length").agg(F.sum("times").alias("places"))
+    # a tile of SEED words or more holds a seed for every SEED of its words, so fewer shared places cannot cover enough
+    enough = written(met.where(F.col("places") * SEED >= F.col("length") * coverage).select("key", "row"), "seed-pairs")
+    needed = hits.join(enough.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("words").alias("words"))
+    pairs = enough.join(needed, "key").join(items.select("row", "item", F.col("words").alias("test")), "row")
+    found = _tiled(pairs.select("key", "item", "words", "test")).where(F.col("coverage") >= coverage)
+    best = found.groupBy("key", "item").agg(F.max(F.struct("coverage", "n_tiles")).alias("x"))
+    listed = best.join(texts.select("key", "rows"), "key").groupBy("key").agg(F.first("rows").alias("rows"), F.collect_list(F.struct("item", "x")).alias("found"))
+    listed = written(listed, "contaminated-texts")
+    each = join_groups(hits.select("id", "key"), listed, "key", "rows", hits.count(), "inner").select("id", F.explode("found").alias("f"))
+    out = each.groupBy("id", F.col("f.item").alias("item")).agg(F.max("f.x").alias("x"))
+    return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "x.coverage", "x.n_tiles")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without documents that contain a benchmark item; columns unchanged."""
-    lost = written(contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_lost")).distinct(), "contaminated")
-    return docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+    """``docs`` without documents that contain a benchmark item; columns unchanged, whatever their names.
+
+    A document goes with all rows of its id; null is an id of its own. Null and empty texts stay.
+    """
+    inner, (key, text) = plain_names(docs, id_col, text_col)
+    lost = written(contaminated(inner, benchmark, key, text).select(F.col(key).alias("_lost")).distinct(), "contaminated")
+    return inner.join(lost, F.col(key).eqNullSafe(F.col("_lost")), "left_anti").toDF(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, text_or_empty, written
+from .common import SPACE_CHARS, join_groups, plain_names, text_or_empty, written
 
 #: Code points of the normalised text that the second round hashes.
 PREFIX_CHARS = 256
+#: Up to so many surviving groups (16 bytes each) are broadcast to the scan that hashes their texts.
+FEW_GROUPS = 1_000_000
 
 
 def normalised(column: str = "text") -> Column:
@@ -23,8 +25,8 @@ def normalised(column: str = "text") -> Column:
 
 
 def refine(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The key combinations of ``keys`` that more than one row has."""
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    """The key combinations of ``keys`` that more than one row has, with their rows ``_n``."""
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False) -> DataFrame:
@@ -32,74 +34,79 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     The row that stays is the one with the most code points in the original text, then
     the smallest id. ``text_sha256`` is null where the whole text never had to be
-    read, unless ``hash_all`` asks for every digest.
+    hashed, unless ``hash_all`` asks for every digest. Texts are read where they lie and never
+    shuffled: rounds and keepers see ids, sizes and hashes only.
 
     * A null text counts as empty; empty texts and texts of white space form one group.
+      A very long text is normalised and hashed whole in its task.
     * Rows repeated with the same id and text are one group whose size counts each of
       them; all of them carry ``kept`` when their id is the one that stays. A null id
       is last among ids.
-    * An empty table gives an empty result; other columns of ``docs`` are ignored.
+    * An empty table gives an empty result; other columns of ``docs`` are ignored,
+      whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    rows = rows.withColumn("_norm", normalised("_text")).select(
-        "_id",
-        "_norm",
-        F.length("_text").alias("_chars"),
-        F.octet_length("_norm").alias("_bytes"),
-        F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS)).alias("_prefix"),
-    )
-    narrow = rows.select("_bytes", "_prefix")
-    by_length = refine(narrow, ["_bytes"])
-    by_prefix = refine(narrow.join(by_length, "_bytes", "left_semi"), ["_bytes", "_prefix"])
-    tagged = rows.join(by_prefix.withColumn("_open", F.lit(True)), ["_bytes", "_prefix"], "left")
+    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).withColumn("_norm", normalised("_text"))
+    prefix = F.xxhash64(F.substring("_norm", 1, PREFIX_CHARS), F.octet_length("_norm"))
     full = F.sha2("_norm", 256)
-    hashed = tagged.select(
-        "_id",
-        "_chars",
-        F.coalesce("_open", F.lit(False)).alias("_open"),
-        (full if hash_all else F.when(F.col("_open"), full)).alias("_sha"),
-    )
-    return _keepers(hashed, id_col)
-
-
-def _keepers(hashed: DataFrame, id_col: str) -> DataFrame:
+    narrow = ["_id", F.length("_text").alias("_chars"), F.octet_length("_norm").alias("_bytes"), prefix.alias("_prefix")]
+    sized = written(rows.select(*narrow, (full if hash_all else F.lit(None).cast("string")).alias("_sha")), "exact-sizes")
+    n = sized.count()
+    by_length = refine(sized, ["_bytes"])
+    # few lengths: no text is longer than 2 GB and most lengths repeat, so this join is small on one side or the other
+    alike = join_groups(sized.select("_bytes", "_prefix"), by_length, "_bytes", "_n", n, "inner").drop("_n")
+    by_prefix = written(refine(alike, ["_prefix"]), "exact-prefixes")
+    if hash_all:
+        tagged = join_groups(sized, by_prefix, "_prefix", "_n", n)
+        hashed = tagged.select("_id", "_chars", "_sha", F.col("_n").isNotNull().alias("_open"))
+    else:
+        if by_prefix.count() <= FEW_GROUPS:
+            again = rows.select(*narrow, "_norm").join(F.broadcast(by_prefix), "_prefix", "left")
+        else:  # hashing all texts in the scan costs less than moving them
+            again = rows.select(*narrow, "_norm").withColumn("_n", F.lit(1))
+        open_row = F.col("_n").isNotNull()
+        hashed = written(again.select("_id", "_chars", F.when(open_row, full).alias("_sha"), open_row.alias("_open")), "exact-hashes")
+    return _keepers(hashed, id_col, n)
+
+
+def _keepers(hashed: DataFrame, id_col: str, n: int) -> DataFrame:
     """Attach each group's size and the row that stays.
 
-    The groups come from a partial aggregate (one row per key leaves each task), and
-    go back to the rows by a plain join, whose skewed partitions Spark splits.
+    The groups come from a partial aggregate (one row per key leaves each task). Rows of
+    texts that are alone in their length and prefix never meet the join.
     """
-    open_rows = hashed.where("_open")
-    groups = open_rows.groupBy("_sha").agg(
-        F.count(F.lit(1)).alias("_size"),
-        F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"))).alias("_best"),
-    )
-    joined = hashed.join(groups.withColumnRenamed("_sha", "_key"), F.when(F.col("_open"), F.col("_sha")) == F.col("_key"), "left")
-    keep = F.when(F.col("_key").isNotNull(), F.col("_best.i")).otherwise(F.col("_id"))
-    return joined.select(
+    open_rows = hashed.where("_open").drop("_open")
+    best = F.min(F.struct((-F.col("_chars")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i")))
+    groups = written(open_rows.groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), best.alias("_best")), "exact-groups")
+    found = join_groups(open_rows, groups, "_sha", "_size", n, "inner").select("_id", "_sha", "_size", F.col("_best.i").alias("_keep"))
+    alone = hashed.where("not _open").select("_id", "_sha", F.lit(1).cast("long").alias("_size"), F.col("_id").alias("_keep"))
+    return found.unionByName(alone).select(
         F.col("_id").alias(id_col),
-        keep.alias("keep_id"),
-        F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        keep.eqNullSafe(F.col("_id")).alias("kept"),
+        F.col("_keep").alias("keep_id"),
+        F.col("_size").cast("long").alias("group_size"),
+        F.col("_keep").eqNullSafe(F.col("_id")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that another row stands for; columns unchanged.
+    """``docs`` without the rows that another row stands for; columns unchanged, whatever their names.
 
-    Of rows repeated with one id and equal texts, one stays.
+    Of rows repeated with one id and equal texts, one stays. Null texts count as empty, a
+    null id is an id of its own. An empty table gives an empty result.
     """
-    groups = written(exact_dedup(docs, id_col, text_col), "exact-groups")
-    per_id = groups.groupBy(F.col(id_col).alias("_id")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.bool_and("kept").alias("_all"), F.bool_or("kept").alias("_any")
-    )
-    same_id = F.col(id_col).eqNullSafe(F.col("_id"))
-    once = docs.join(per_id.where("_rows > 1 or not _all"), same_id, "left_anti")
-    repeated = docs.join(per_id.where("_rows > 1 and _any"), same_id, "left_semi")
-    best = repeated.join(
-        groups.where("kept").select(F.col(id_col).alias("_id")).distinct(), same_id, "left_semi"
-    ).withColumn("_key", F.sha2(normalised(text_col), 256))
-    return once.unionByName(best.dropDuplicates([id_col, "_key"]).drop("_key"))
+    inner, (key, text) = plain_names(docs, id_col, text_col)
+    marks = written(exact_dedup(inner, key, text), "exact-marks")
+    per_id = marks.groupBy(F.col(key).alias("_id")).agg(F.count(F.lit(1)).alias("_rows"), F.count_if("kept").alias("_kept"))
+    per_id = written(per_id.where("_rows > 1 or _kept = 0"), "exact-lost")
+    same_id = F.col(key).eqNullSafe(F.col("_id"))
+    out = inner.join(per_id.select("_id"), same_id, "left_anti")
+    repeated = per_id.where("_rows > 1 and _kept > 0").select("_id")
+    if not repeated.isEmpty():  # rows of one id are told apart by their texts
+        some = inner.join(repeated, same_id, "left_semi").withColumn("_key", F.sha2(normalised(text), 256)).dropDuplicates([key, "_key"])
+        lost = marks.where("not kept").select(F.col(key).alias("_id"), "text_sha256").distinct()
+        some = some.join(lost, same_id & (F.col("_key") == F.col("text_sha256")), "left_anti")
+        out = out.unionByName(some.drop("_key"))
+    return out.toDF(*docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

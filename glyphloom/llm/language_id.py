@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import held_out
+from .common import held_out, plain_names
 
 #: Bytes of the longest context.
 ORDER = 4
@@ -217,12 +217,14 @@ REJECT_BITS = 7.5
 def keep_known_language(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` without texts of no language; columns unchanged.
 
-    A text goes when it is ``und`` or is coded worse than ``REJECT_BITS`` bits a byte.
+    A text goes when it is ``und`` (null, empty or without letters) or is coded worse than
+    ``REJECT_BITS`` bits a byte. Repeated rows each stay or go; an empty table stays empty.
+    Ties between languages go to the first by name.
     """
-    names = [f"_c{i}" for i in range(len(docs.columns))]
-    found = predict(docs.toDF(*names), model, names[docs.columns.index(text_col)])
+    inner, (text,) = plain_names(docs, text_col)
+    found = predict(inner, model, text)
     kept = found.where((F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= REJECT_BITS))
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+    return kept.select(*inner.columns).toDF(*docs.columns)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

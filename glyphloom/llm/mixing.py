@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, text_or_empty, written
+from .common import WORD, plain_names, text_or_empty, written
 
 #: No word is taken more often than this.
 MAX_REPEATS = 3
@@ -197,8 +197,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The documents that the mix takes words of, with ``taken`` and ``repeats``.
 
     ``repeats`` is the whole number of times the document is to be read, one at least.
+    Columns of ``docs`` that are called so give way; other names do not matter. Documents
+    without words go. Rows repeated with one id share their counts; a null id is an id of
+    its own. An empty table gives an empty result.
     """
-    taken = mix(docs, id_col, text_col, source_col).where("taken > 0")
-    counts = taken.groupBy(F.col(id_col).alias("_id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("_size"))
-    out = docs.join(counts, F.col(id_col).eqNullSafe(F.col("_id")))
-    return out.withColumn("repeats", F.greatest(F.lit(1), F.round(F.col("taken") / F.col("_size"))).cast("int")).drop("_id", "_size")
+    inner, (key, text, source) = plain_names(docs, id_col, text_col, source_col)
+    found = mix(inner, key, text, source).where("taken > 0")
+    counts = found.groupBy(F.col(key).alias("_id")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    out = inner.join(counts, F.col(key).eqNullSafe(F.col("_id")))
+    kept = [F.col(n).alias(c) for n, c in zip(inner.columns, docs.columns) if c not in ("taken", "repeats")]
+    repeats = F.greatest(F.lit(1), F.round(F.col("_taken") / F.col("_size"))).cast("int")
+    return out.select(*kept, F.col("_taken").alias("taken"), repeats.alias("repeats"))

@@ -1,15 +1,22 @@
 """Near copies of a similarity or more, for the pipeline.
 
 Two texts are near copies when the Jaccard similarity of their sets of word shingles is at
-least ``similarity``. Candidates are SimHash fingerprints of these sets within a radius
-derived from the similarity, found by the generalised pigeonhole plan of ``simhash`` inside
-classes of set size. Each candidate is verified on the whole sets in a join before it links.
+least ``similarity``. Candidates come from two searches over SimHash fingerprints of the sets:
+
+* the generalised pigeonhole search of ``simhash`` finds all fingerprints a few bits apart;
+* pairs near the similarity differ by ten bits and more of 64, where partitions would be
+  three bits wide and meet nearly every pair. These pairs meet in buckets of least shingle
+  hashes instead, BANDS of ROWS hashes each, and pass if their fingerprints lie within the
+  radius that the similarity implies.
+
+Each candidate is verified on the whole sets in a join before it links. Large groups are
+linked by stars first: each bucket's members to its first. Then only pairs that no star has
+brought into one component are compared.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 from math import acos, comb, pi
 
 import numpy as np
@@ -21,15 +28,15 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .common import written
 from .components import components
-from .simhash import _LOWER, _WORD, BITS, SEED, _signed, bit_moments, choose_plan
+from .simhash import _LOWER, _WORD, BITS, RADIUS, SEED, links
 
 SIMILARITY = 0.8
 #: Share of the pairs at exactly the similarity that the radius has to cover.
-RECALL = 0.99
-#: Weight of a candidate against a probe: a candidate is compared in the join, a probe shuffled and sorted.
-CANDIDATE_COST = 0.1
-#: Groups that the star step forms by whole parts of the fingerprint.
-STAR_PARTS = 4
+RECALL = 0.999
+#: A pair of similarity J shares a bucket with the chance 1 - (1 - J ** ROWS) ** BANDS: 0.9997 at 0.8.
+BANDS, ROWS = 20, 5
+#: Shingles whose permuted hashes are held at once.
+BLOCK = 4_096
 
 
 def radius_for(similarity: float, recall: float = RECALL) -> int:
@@ -65,10 +72,30 @@ def set_fingerprint(grams: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(grams), bitorder="little").view(np.uint64)[0])
 
 
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(SEED)
+    return tuple(draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
+
+
+def bands(grams: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """One number for each band: a hash of the least values of its permutations; none for no shingle."""
+    if not len(grams):
+        return np.zeros(0, np.int64)
+    add, times = mixers
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for low in range(0, len(grams), BLOCK):
+        part = grams[low : low + BLOCK, None] ^ add
+        part *= times
+        np.minimum(least, part.min(axis=0), out=least)
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(r.tobytes(), k) for k, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id, sig, fp, n, grams)`` for each row; equal sets have one ``sig``."""
+    """``(id, sig, fp, n, bands, grams)`` for each row; equal sets have one ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixers = _permutations()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
@@ -76,72 +103,64 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 sig = np.fromiter((xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in grams), np.uint64, len(grams))
                 fp = np.fromiter(map(set_fingerprint, grams), np.uint64, len(grams))
                 size = np.fromiter(map(len, grams), np.int64, len(grams))
-                flat = pa.array(np.concatenate(grams).view(np.int64))
-                cuts = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
-                columns = [part.column(0), pa.array(sig.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(size), pa.ListArray.from_arrays(cuts, flat)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "sig", "fp", "n", "grams"])
+                listed = lambda rows: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rows])], pa.int32()), pa.array(np.concatenate(rows).view(np.int64)))
+                columns = [part.column(0), pa.array(sig.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(size), listed([bands(g, mixers) for g in grams]), listed(grams)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "sig", "fp", "n", "bands", "grams"])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, sig long, fp long, n long, grams array<bigint>")
+    return source.mapInArrow(run, f"id {kind}, sig long, fp long, n long, bands array<bigint>, grams array<bigint>")
 
 
 def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _star_pairs(nodes: DataFrame, radius: int) -> DataFrame:
-    """Pairs of a node and the first of its group, for groups that share a part and a size class.
+def _may_link(a: str, b: str, radius: int, similarity: float) -> Column:
+    """Whether two nodes, structs of ``sig, fp, n``, have near fingerprints and fitting sizes."""
+    low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    return (_distance(f"{a}.fp", f"{b}.fp") <= radius) & (low >= high * similarity - 1e-9)
+
+
+def _buckets(nodes: DataFrame, *more: str) -> DataFrame:
+    """``(band, key, x)`` and the columns ``more``: each node in each of its buckets."""
+    return nodes.select(F.struct("sig", "fp", "n").alias("x"), *more, F.posexplode("bands").alias("band", "key"))
 
-    Large groups of near copies are joined here by one pair a member.
+
+def _star_pairs(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Pairs of a node and the first of its bucket: one pair a member, however large the bucket."""
+    rows = _buckets(nodes)
+    first = rows.groupBy("band", "key").agg(F.min("x").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    near = rows.join(first, ["band", "key"]).where((F.col("first.sig") != F.col("x.sig")) & _may_link("first", "x", radius, similarity))
+    return near.select(F.col("first.sig").alias("a"), F.col("x.sig").alias("b")).distinct()
+
+
+def _close_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs of sets whose fingerprints are at most RADIUS bits apart, by the pigeonhole search.
+
+    Sets of one fingerprint stand behind the least of them, to which each is paired.
     """
-    size = BITS // STAR_PARTS
-    parts = [F.lit(_signed(sum(1 << b for b in range(k * size, (k + 1) * size)))) for k in range(STAR_PARTS)]
-    keys = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(p.cast("long")).alias("key")) for k, p in enumerate(parts)])
-    rows = nodes.select("sig", "fp", "class", F.explode(keys).alias("x")).select("sig", "fp", "class", "x.*")
-    first = rows.groupBy("class", "k", "key").agg(F.min(F.struct("sig", "fp")).alias("first"), F.count(F.lit(1)).alias("members"))
-    first = first.where("members > 1").select("class", "k", "key", F.col("first.sig").alias("a"), F.col("first.fp").alias("fa"))
-    near = rows.join(first, ["class", "k", "key"]).where((F.col("a") != F.col("sig")) & (_distance("fp", "fa") <= radius))
-    return near.select("a", F.col("sig").alias("b")).distinct()
+    one = nodes.groupBy("fp").agg(F.min("sig").alias("id"), F.count(F.lit(1)).alias("members"))
+    one = written(one, "near-fingerprints")
+    shared = one.where("members > 1").select("fp", F.col("id").alias("a"))
+    same = nodes.select("fp", F.col("sig").alias("b")).join(shared, "fp").where("a != b").select("a", "b")
+    return links(one.select("id", "fp"), RADIUS).unionByName(same)
 
 
-def _keyed(nodes: DataFrame, masks: list[np.ndarray], flips: list[np.ndarray], below: tuple[int, ...], side: str) -> DataFrame:
-    """Each node once for each class, partition and flip, with the partition's value."""
+def _open_pairs(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Pairs of one bucket and two components.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column(1).to_numpy().view(np.uint64)
-            for k, (mask, flip) in enumerate(zip(masks, flips)):
-                key = pa.array(((fp & mask)[:, None] ^ flip).ravel().view(np.int64))
-                at = pa.array(np.repeat(np.arange(len(fp)), len(flip)))
-                own = [c.take(at) for c in batch.columns]
-                for less in below:
-                    grade = pa.array(own[4].to_numpy() - np.int32(less), pa.int32())
-                    yield pa.RecordBatch.from_arrays([*own[:4], grade, pa.array(np.full(len(at), k, np.int32)), key], names=names)
-
-    names = [side + c for c in ("sig", "fp", "n", "comp", "class", "k", "key")]
-    kinds = ("long", "long", "long", "long", "int", "int", "long")
-    return nodes.select("sig", "fp", "n", "comp", "class").mapInArrow(run, ", ".join(map(" ".join, zip(names, kinds))))
-
-
-def _candidates(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """All pairs of nodes within the radius and of fitting sizes that are not yet in one ``comp``."""
-    n, both = bit_moments(nodes)
-    held = {r["class"]: r["c"] for r in nodes.groupBy("class").agg(F.count(F.lit(1)).alias("c")).collect()}
-    met = sum(c * (c / 2 + held.get(k - 1, 0)) for k, c in held.items())
-    plan = choose_plan(max(n, 1), both, radius, pairs=max(met, 1.0), candidate_cost=CANDIDATE_COST, probe_cost=2.0)
-    masks = [np.array([sum(1 << b for b in bits)], np.uint64) for bits, _ in plan.partitions]
-    flips = [np.array([sum(1 << b for b in c) for j in range(t + 1) for c in combinations(bits, j)], np.uint64) for bits, t in plan.partitions]
-    none = [np.zeros(1, np.uint64)] * len(masks)
-    # the smaller set is stored; the larger one probes its own class and the one below
-    stored = _keyed(nodes, masks, none, (0,), "a").withColumnsRenamed({"aclass": "class", "ak": "k", "akey": "key"})
-    probed = _keyed(nodes, masks, flips, (0, 1), "b")
-    match = (F.col("k") == F.col("bk")) & (F.col("key") == F.col("bkey")) & (F.col("class") == F.col("bclass"))
-    order = (F.col("an") < F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("asig") < F.col("bsig")))
-    fits = order & (F.col("an") >= F.col("bn") * similarity) & (F.col("acomp") != F.col("bcomp"))
-    near = _distance("afp", "bfp") <= radius
-    return stored.join(probed, match & near & fits).select(F.col("asig").alias("a"), F.col("bsig").alias("b")).distinct()
+    A bucket's largest component is never paired with itself: others meet all, it meets others.
+    """
+    rows = _buckets(nodes, "comp")
+    held = rows.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = held.groupBy("band", "key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    rows = written(rows.join(mixed, ["band", "key"]), "near-buckets")
+    others = rows.where("comp != main").select("band", "key", F.col("x").alias("y"), F.col("comp").alias("other"))
+    once = (F.col("comp") == F.col("main")) | (F.col("x.sig") < F.col("y.sig"))
+    met = rows.join(others, ["band", "key"]).where((F.col("comp") != F.col("other")) & once & _may_link("x", "y", radius, similarity))
+    return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
@@ -164,16 +183,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marked = written(_sets(docs, id_col, text_col, width), "shingle-sets")
     radius = radius_for(similarity)
-    # sizes within the similarity are at most one class apart
-    step = float(np.log(1 / similarity))
-    grade = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / step + 1e-9).cast("int")
-    nodes = marked.groupBy("sig").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n")).where("id is not null")
-    nodes = written(nodes.withColumn("class", grade), "near-nodes")
-    edges = written(_verified(written(_star_pairs(nodes, radius), "near-stars"), marked, similarity), "near-edges")
+    nodes = marked.groupBy("sig").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = written(nodes.where("id is not null"), "near-nodes")
+    first = _star_pairs(nodes, radius, similarity).unionByName(_close_pairs(nodes)).distinct()
+    edges = written(_verified(written(first, "near-pairs"), marked, similarity), "near-edges")
     stars = components(edges)
     comp = nodes.join(stars, nodes["sig"] == stars["node"], "left").select(*nodes.columns, F.coalesce("component", "sig").alias("comp"))
-    comp = written(comp, "near-nodes")
-    pairs = written(_candidates(comp, radius, similarity), "near-pairs")
+    pairs = written(_open_pairs(written(comp, "near-nodes"), radius, similarity), "near-pairs")
     more = written(_verified(pairs, marked, similarity).unionByName(edges), "near-edges")
     grouped = components(more)
     labels = nodes.join(grouped, nodes["sig"] == grouped["node"], "left").select("sig", "id", F.coalesce("component", "sig").alias("comp"))
@@ -183,7 +199,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with the smallest id of each component only; columns unchanged."""
-    found = near_copies(docs, id_col, text_col, width, similarity)
-    lost = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+    """``docs`` with the smallest id of each component only; columns unchanged, whatever their names.
+
+    Rows with a null id stay, and so do rows repeated with the id that stays.
+    """
+    found = near_copies(docs.select(id_col, text_col), id_col, text_col, width, similarity)
+    lost = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    return docs.join(lost, id_col, "left_anti").select(*docs.columns)

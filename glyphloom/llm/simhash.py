@@ -134,7 +134,7 @@ def choose_plan(
     p = np.diag(both) / max(n, 1)
     differ = np.clip(2 * p * (1 - p), 1e-3, 0.5)
     best = None
-    for m in range(2, radius + 2):
+    for m in range(min(2, radius + 1), radius + 2):
         groups = group_bits(both, n, m)
         costs = []
         for g in groups:
@@ -168,12 +168,21 @@ def _probe(flips: Column, part: Column, k: int) -> Column:
     return F.transform(flips, lambda f: F.struct(F.lit(k).alias("k"), part.bitwiseXOR(f).alias("key")))
 
 
+def _stars(stored: DataFrame, radius: int) -> DataFrame:
+    """Pairs of a fingerprint and the first that shares a partition value: one pair a member."""
+    first = stored.groupBy("k", "key").agg(F.min(F.struct("a", "fa")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("first.fa"))) <= radius
+    met = stored.join(first, ["k", "key"]).where(near & (F.col("a") != F.col("first.a")))
+    return met.select(F.col("first.a").alias("a"), F.col("a").alias("b")).distinct()
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Pairs ``(a, b)`` of ids of distinct fingerprints at most ``radius`` bits apart.
 
-    ``fps(id, fp)`` holds each fingerprint once. A pair is emitted when it is verified,
-    so candidates never leave the join; partitions that many fingerprints share are
-    split by the skew join.
+    ``fps(id, fp)`` holds each fingerprint once. The pairs have the same components as all
+    pairs within the radius: dense groups are linked by stars first, and then only pairs of
+    two components are emitted. A pair is verified inside the join, so candidates never
+    leave it; partitions that many fingerprints share are split by the skew join.
     """
     n, both = bit_moments(fps)
     plan = choose_plan(n, both, radius)
@@ -185,11 +194,16 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         keys.append(F.array(F.struct(F.lit(k).alias("k"), part.alias("key"))))
         probes = F.array(*[F.lit(x).cast("long") for x in flips])
         masks.append(_probe(probes, part, k))
-    stored = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.explode(F.concat(*keys)).alias("x")).select("a", "fa", "x.k", "x.key")
-    probed = fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.explode(F.concat(*masks)).alias("x")).select("b", "fb", F.col("x.k").alias("pk"), F.col("x.key").alias("pkey"))
+    exploded = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.explode(F.concat(*keys)).alias("x")).select("a", "fa", "x.k", "x.key")
+    stars = written(_stars(exploded, radius), "simhash-stars")
+    grouped = components(stars)
+    fps = written(fps.join(grouped, fps["id"] == grouped["node"], "left").select("id", "fp", F.coalesce("component", "id").alias("comp")), "simhash-nodes")
+    stored = fps.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.col("comp").alias("ca"), F.explode(F.concat(*keys)).alias("x")).select("a", "fa", "ca", "x.k", "x.key")
+    probed = fps.select(F.col("id").alias("b"), F.col("fp").alias("fb"), F.col("comp").alias("cb"), F.explode(F.concat(*masks)).alias("x"))
+    probed = probed.select("b", "fb", "cb", F.col("x.k").alias("pk"), F.col("x.key").alias("pkey"))
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
-    match = (F.col("k") == F.col("pk")) & (F.col("key") == F.col("pkey")) & (F.col("fa") < F.col("fb")) & near
-    return stored.join(probed, match).select("a", "b").distinct()
+    match = (F.col("k") == F.col("pk")) & (F.col("key") == F.col("pkey")) & (F.col("fa") < F.col("fb")) & (F.col("ca") != F.col("cb")) & near
+    return stored.join(probed, match).select("a", "b").distinct().unionByName(stars)
 
 
 def near_duplicates(
@@ -215,10 +229,13 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with the smallest id of each component only; columns unchanged."""
-    found = near_duplicates(docs, id_col, text_col, width, radius)
-    lost = found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_lost")).distinct()
-    return docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+    """``docs`` with the smallest id of each component only; columns unchanged, whatever their names.
+
+    Rows with a null id stay, and so do rows repeated with the id that stays.
+    """
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, width, radius)
+    lost = found.where(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    return docs.join(lost, id_col, "left_anti").select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,15 @@ def test_empty_table(spark):
 
 def test_radius_covers_the_similarity():
     assert near_copies.radius_for(0.8, 0.5) in (9, 10) and near_copies.radius_for(0.8) >= 16
+
+
+def test_dense_group_of_near_copies(spark):
+    """Three hundred copies of one text, each with its own changes: one component, whatever is the least."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(f"y{rng.randrange(9999)}" if rng.random() < 0.012 else w for w in words) for _ in range(300)]
+    texts += [" ".join(f"u{rng.randrange(9999)}" for _ in range(200)) for _ in range(50)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    exact = components(len(texts), similar(texts, 0.8))
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert sum(got[d] != exact[d] for d in got) <= 1
