@@ -10,7 +10,9 @@ arguments checked against the tools' schemas, and messages written as canonical
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from math import isfinite
 
 import pandas as pd
 import pyarrow as pa
@@ -25,9 +27,18 @@ TOOL_SCHEMA = "name string, schema string"
 _TYPES = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no spaces and no escapes but the needed ones."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no spaces and no escapes but the needed ones, lone surrogates among these."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def well_formed(text: str) -> str:
+    """The text with lone surrogates as U+FFFD, as a string column can hold no other."""
+    return _SURROGATE.sub("\ufffd", text)
 
 
 def references(value: object) -> list[str]:
@@ -40,18 +51,23 @@ def references(value: object) -> list[str]:
 
 
 def fits(value: object, schema: object) -> bool:
-    """Whether a value meets a JSON schema of types, enums, properties, required and items."""
+    """Whether a value meets a JSON schema of types, enums, properties, required and items.
+
+    A keyword whose own value is malformed asks nothing.
+    """
     if not isinstance(schema, dict) or (isinstance(value, dict) and set(value) == {"$ref"}):
         return True
     kinds = schema.get("type", [])
-    kinds = kinds if isinstance(kinds, list) else [kinds]
+    kinds = [k for k in (kinds if isinstance(kinds, list) else [kinds]) if isinstance(k, str)]
     if kinds and not any(isinstance(value, _TYPES.get(k, ())) and not (isinstance(value, bool) and k in ("integer", "number")) for k in kinds):
         return False
-    if "enum" in schema and value not in schema["enum"]:
+    if isinstance(schema.get("enum"), list) and value not in schema["enum"]:
         return False
     if isinstance(value, dict):
-        known = schema.get("properties", {})
-        if any(k not in value for k in schema.get("required", [])):
+        known = schema.get("properties")
+        known = known if isinstance(known, dict) else {}
+        required = schema.get("required")
+        if any(k not in value for k in (required if isinstance(required, list) else ()) if isinstance(k, str)):
             return False
         if schema.get("additionalProperties") is False and any(k not in known for k in value):
             return False
@@ -61,16 +77,36 @@ def fits(value: object, schema: object) -> bool:
     return True
 
 
+#: JSON nested deeper than this is taken as plain text.
+DEEPEST = 200
+
+
+def _too_deep(value: object) -> bool:
+    level = [value]
+    for _ in range(DEEPEST):
+        level = [y for x in level if isinstance(x, (dict, list)) for y in (x.values() if isinstance(x, dict) else x)]
+    return bool(level)
+
+
 def _object(text: str | None) -> dict:
     if text and text.lstrip().startswith("{"):
         try:
-            value = json.loads(text)
-        except ValueError:
+            value = json.loads(text, parse_constant=_no_number, parse_float=_finite)
+        except (ValueError, RecursionError):  # no JSON, a number that JSON cannot write, or nested too deep to read
             return {}
-        return value if isinstance(value, dict) else {}
+        return value if isinstance(value, dict) and not _too_deep(value) else {}
     return {}
 
 
+def _no_number(name: str) -> float:
+    raise ValueError(name)
+
+
+def _finite(digits: str) -> float:
+    number = float(digits)
+    return number if isfinite(number) else _no_number(digits)
+
+
 def parse_message(role: str | None, text: str | None) -> tuple[list[dict], str | None, str]:
     """Calls ``(call_id, name, arguments, refs)``, the answered call id, canonical JSON."""
     body = _object(text) if role in ("assistant", "tool") else {}
@@ -78,9 +114,10 @@ def parse_message(role: str | None, text: str | None) -> tuple[list[dict], str |
     if role == "assistant" and isinstance(body.get("tool_calls"), list):
         for c in body["tool_calls"]:
             if isinstance(c, dict) and isinstance(c.get("id"), str):
-                calls.append({"call_id": c["id"], "name": str(c.get("name")), "arguments": canonical(c.get("arguments")), "refs": references(c.get("arguments"))})
+                refs = [well_formed(r) for r in references(c.get("arguments"))]
+                calls.append({"call_id": well_formed(c["id"]), "name": well_formed(str(c.get("name"))), "arguments": canonical(c.get("arguments")), "refs": refs})
     answers = body.get("tool_call_id") if role == "tool" else None
-    answers = answers if isinstance(answers, str) else None
+    answers = well_formed(answers) if isinstance(answers, str) else None
     content = body if calls or answers else text
     return calls, answers, canonical({"role": role, "content": content})
 
@@ -120,7 +157,7 @@ def declared_tools(messages: DataFrame) -> DataFrame:
                     tool = tool.get("function", tool) if isinstance(tool, dict) else None
                     if isinstance(tool, dict) and isinstance(tool.get("name"), str):
                         at.append(i)
-                        names.append(tool["name"])
+                        names.append(well_formed(tool["name"]))
                         schemas.append(canonical(tool.get("parameters")))
             conv = batch.column(0).take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([conv, pa.array(names, pa.string()), pa.array(schemas, pa.string())], names=["conv_id", "name", "schema"])
@@ -130,12 +167,20 @@ def declared_tools(messages: DataFrame) -> DataFrame:
     return messages.where("role = 'system'").select("conv_id", "text").mapInArrow(run, f"conv_id {kind}, {TOOL_SCHEMA}")
 
 
+def _schema(text: str) -> object:
+    try:
+        schema = json.loads(text)
+    except (ValueError, RecursionError):
+        return None
+    return None if _too_deep(schema) else schema
+
+
 def _checked(calls: DataFrame) -> DataFrame:
     """Whether the arguments of each row ``(.., arguments, schema)`` fit."""
 
     @F.pandas_udf("boolean")
     def ok(arguments, schema):
-        parsed = {s: json.loads(s) for s in schema.dropna().unique()}
+        parsed = {s: _schema(s) for s in schema.dropna().unique()}
         return arguments.combine(schema, lambda a, s: s is not None and fits(json.loads(a), parsed[s]))
 
     return calls.withColumn("fits", ok("arguments", "schema"))
@@ -165,6 +210,30 @@ def order_linked(turns: list[int], befores: list[int]) -> list[tuple[int, int, i
     return [(m, m, 0, True) if n else (m, *place[m], False) for m, n in unmet.items()]
 
 
+#: Needs of linked messages that one task orders; more are ordered in rounds of joins.
+TASK_NEEDS = 200_000
+
+
+def _by_rounds(needs: DataFrame) -> DataFrame:
+    """The same order as ``order_linked`` for messages of any number: a round for each step of the longest chain."""
+    keys = ["conv_id", "turn"]
+    left = needs
+    place = needs.select("conv_id", F.col("before").alias("turn")).join(needs, keys, "left_anti").distinct()
+    place = written(place.select(*keys, F.struct(F.col("turn").cast("long").alias("at"), F.lit(0).alias("step")).alias("place")), "chat-placed")
+    done, last = place, place
+    best = needs.select(*keys).distinct().select(*keys, F.struct(F.col("turn").cast("long").alias("at"), F.lit(0).alias("step")).alias("best"))
+    while not last.isEmpty():
+        settled = last.select("conv_id", F.col("turn").alias("before"), "place")
+        moved = left.join(settled, ["conv_id", "before"]).select(*keys, F.struct(F.col("place.at").alias("at"), (F.col("place.step") + 1).alias("step")).alias("best"))
+        best = written(best.unionByName(moved).groupBy(*keys).agg(F.max("best").alias("best")), "chat-best")
+        left = written(left.join(settled.drop("place"), ["conv_id", "before"], "left_anti"), "chat-left")
+        ready = moved.select(*keys).distinct().join(left, keys, "left_anti")
+        last = written(best.join(ready, keys).select(*keys, F.col("best").alias("place")), "chat-placed")
+        done = done.unionByName(last)
+    stuck = best.join(done, keys, "left_anti").select(*keys, F.col("turn").cast("long").alias("at"), F.lit(0).alias("step"), F.lit(True).alias("stuck"))
+    return done.select(*keys, "place.at", "place.step", F.lit(False).alias("stuck")).unionByName(stuck)
+
+
 def _placed(needs: DataFrame) -> DataFrame:
     """``(conv_id, turn, at, step, stuck)``: messages that needs link are ordered together, others apart."""
 
@@ -177,9 +246,15 @@ def _placed(needs: DataFrame) -> DataFrame:
     node = lambda turn: F.struct("conv_id", F.col(turn).alias("turn"))
     groups = components(needs.select(node("turn").alias("a"), node("before").alias("b")))
     groups = groups.select(F.col("node.conv_id").alias("conv_id"), F.col("node.turn").alias("turn"), F.col("component.turn").alias("_root"))
-    linked = needs.join(groups, ["conv_id", "turn"], "left").withColumn("_root", F.coalesce("_root", "turn"))
+    linked = written(needs.join(groups, ["conv_id", "turn"], "left").withColumn("_root", F.coalesce("_root", "turn")), "chat-linked")
+    large = written(linked.groupBy("conv_id", "_root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TASK_NEEDS).drop("n"), "chat-large")
+    some_large = not large.isEmpty()
+    small = linked.join(large, ["conv_id", "_root"], "left_anti") if some_large else linked
     kinds = ", ".join(f"{c} {needs.schema[c].dataType.simpleString()}" for c in ("conv_id", "turn"))
-    return linked.groupBy("conv_id", "_root").applyInPandas(run, f"{kinds}, at long, step int, stuck boolean")
+    placed = small.groupBy("conv_id", "_root").applyInPandas(run, f"{kinds}, at long, step int, stuck boolean")
+    if some_large:
+        placed = placed.unionByName(_by_rounds(linked.join(large, ["conv_id", "_root"], "left_semi").select("conv_id", "turn", "before")))
+    return placed
 
 
 def format_chats(messages: DataFrame, tools: DataFrame | None = None) -> DataFrame:
@@ -191,7 +266,9 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None) -> DataFra
     Without ``tools(name, schema)`` no tool is unknown and no argument bad. Tools with a
     ``conv_id`` are known to that conversation only.
 
-    * Null texts and roles are kept as JSON null; a text that is no JSON object is content.
+    * Null texts and roles are kept as JSON null; a text that is no JSON object is content, and
+      so is one that JSON cannot write again (an infinite number) or that nests deeper
+      than DEEPEST. A very long text is parsed whole by its task. Other columns are ignored, whatever their names.
       A null ``conv_id`` or ``turn`` is kept but links nothing. Of calls that share an id, the
       earliest turn counts; repeated rows stay. Empty tables give an empty result.
     """

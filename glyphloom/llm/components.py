@@ -34,6 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     down = written(down, "edges")
     before = None
+    if down.isEmpty():
+        return down.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(MAX_ROUNDS):
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, large=True)

@@ -190,8 +190,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = components(edges)
     comp = nodes.join(stars, nodes["sig"] == stars["node"], "left").select(*nodes.columns, F.coalesce("component", "sig").alias("comp"))
     pairs = written(_open_pairs(written(comp, "near-nodes"), radius, similarity), "near-pairs")
-    more = written(_verified(pairs, marked, similarity).unionByName(edges), "near-edges")
-    grouped = components(more)
+    grouped = stars
+    if not pairs.isEmpty():
+        more = written(_verified(pairs, marked, similarity), "near-edges")
+        grouped = components(more.unionByName(edges)) if not more.isEmpty() else stars
     labels = nodes.join(grouped, nodes["sig"] == grouped["node"], "left").select("sig", "id", F.coalesce("component", "sig").alias("comp"))
     least = labels.groupBy("comp").agg(F.min("id").alias("component_id"))
     labels = labels.join(least, "comp").select(F.col("sig").alias("_sig"), "component_id")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import shared_dir, text_or_empty, written
+from .common import join_groups, shared_dir, text_or_empty, written
 
 #: Characters given to the encoder in one call.
 CALL_CHARS = 1_000_000
@@ -78,7 +78,9 @@ def stored_counts(spark: SparkSession, cache_path: str, version: str) -> DataFra
     """The cache's counts for one tokenizer version; none if there is no cache yet."""
     try:
         cache = spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         cache = spark.createDataFrame([], CACHE_SCHEMA)
     # two runs that append at once may both store a digest, with the same count
     return cache.where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
@@ -92,8 +94,11 @@ def count_tokens(
     ``model_path`` is a ``.model`` or ``.json`` file that the driver can read; ``cache_path``
     is a Parquet folder that all executors share, made when absent and appended to.
 
-    * A null text counts as empty. Rows with equal texts are encoded once; repeated
-      rows each have a result. An empty table gives an empty result.
+    * The digest's content is the text with null as empty and no other change, since any
+      other would change what the tokenizer counts.
+    * Rows with equal texts are encoded once; repeated rows each have a result, and so has a
+      row with a null id. A very long text is encoded by one call. An empty table gives an
+      empty result; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     model = Path(model_path).read_bytes()
@@ -103,16 +108,16 @@ def count_tokens(
         docs.select(F.col(id_col).alias("_id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes")),
         "token-keys",
     )
-    first = keyed.groupBy("digest").agg(F.min("_id").alias("_first"))
-    misses = written(first.join(stored_counts(spark, cache_path, version), "digest", "left_anti"), "token-misses")
+    first = written(keyed.groupBy("digest").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows")), "token-digests")
+    misses = written(first.drop("_rows").join(stored_counts(spark, cache_path, version), "digest", "left_anti"), "token-misses")
     if not misses.isEmpty():
         # one row stands for each content; ids spread evenly whatever the size of a group of copies
         chosen = misses.select("_first").distinct().hint("shuffle_hash")
         texts = docs.select(F.col(id_col).alias("_id"), text.alias("text")).join(chosen, F.col("_id").eqNullSafe(F.col("_first")), "left_semi")
         new = _encode(texts.select("text"), model, model_path)
         new.withColumn("version", F.lit(version)).write.mode("append").parquet(cache_path)
-    counts = stored_counts(spark, cache_path, version)
-    out = keyed.join(counts, "digest")
+    counts = first.select("digest", "_rows").join(stored_counts(spark, cache_path, version), "digest")
+    out = join_groups(keyed, written(counts, "token-counts"), "digest", "_rows", keyed.count(), "inner")
     return out.select(F.col("_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
