@@ -6,8 +6,8 @@ least ``similarity``. Candidates come from two searches over SimHash fingerprint
 * the generalised pigeonhole search of ``simhash`` finds all fingerprints a few bits apart;
 * pairs near the similarity differ by ten bits and more of 64, where partitions would be
   three bits wide and meet nearly every pair. These pairs meet in buckets of least shingle
-  hashes instead, BANDS of ROWS hashes each, and pass if their fingerprints lie within the
-  radius that the similarity implies.
+  hashes instead, BANDS of ROWS hashes each, and pass if their fingerprints, and sketches of
+  one bit of each least hash, lie within the radii that the similarity implies.
 
 Each candidate is verified on the whole sets in a join before it links. Large groups are
 linked by stars first: each bucket's members to its first. Then only pairs that no star has
@@ -39,19 +39,25 @@ BANDS, ROWS = 20, 5
 BLOCK = 4_096
 
 
-def radius_for(similarity: float, recall: float = RECALL) -> int:
-    """The smallest radius that covers ``recall`` of the pairs at ``similarity``.
-
-    Sets of equal size at Jaccard J have the cosine c = 2 J / (1 + J), and each of the bits
-    differs with the chance acos(c) / pi, so the distance is binomial.
-    """
-    p = acos(2 * similarity / (1 + similarity)) / pi
+def _covering(bits: int, p: float, recall: float) -> int:
+    """The smallest radius that covers ``recall`` of the pairs whose bits differ with the chance ``p`` each."""
     covered = 0.0
-    for radius in range(BITS + 1):
-        covered += comb(BITS, radius) * p**radius * (1 - p) ** (BITS - radius)
+    for radius in range(bits + 1):
+        covered += comb(bits, radius) * p**radius * (1 - p) ** (bits - radius)
         if covered >= recall:
             return radius
-    return BITS
+    return bits
+
+
+def radius_for(similarity: float, recall: float = RECALL) -> int:
+    """The fingerprints' radius: sets of equal size at Jaccard J have the cosine
+    c = 2 J / (1 + J), and each of the bits differs with the chance acos(c) / pi."""
+    return _covering(BITS, acos(2 * similarity / (1 + similarity)) / pi, recall)
+
+
+def sketch_radius(similarity: float, recall: float = RECALL) -> int:
+    """The sketches' radius: least hashes agree with the chance J, and their bits in half of the other cases."""
+    return _covering(BANDS * ROWS, (1 - similarity) / 2, recall)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -77,10 +83,10 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return tuple(draw.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
 
 
-def bands(grams: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """One number for each band: a hash of the least values of its permutations; none for no shingle."""
+def bands(grams: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One number for each band, a hash of the least values of its permutations, and the sketch as two numbers."""
     if not len(grams):
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(2, np.int64)
     add, times = mixers
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for low in range(0, len(grams), BLOCK):
@@ -88,11 +94,15 @@ def bands(grams: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> np.ndarra
         part *= times
         np.minimum(least, part.min(axis=0), out=least)
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(r.tobytes(), k) for k, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+    odd = np.zeros(128, bool)
+    # the least values' low bits hang on one bit of the shingle; a product's middle bit hangs on many
+    odd[: len(least)] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(63)
+    keys = np.array([digest(r.tobytes(), k) for k, r in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+    return keys.view(np.int64), np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id, sig, fp, n, bands, grams)`` for each row; equal sets have one ``sig``."""
+    """``(id, sig, fp, n, s0, s1, bands, grams)`` for each row; equal sets have one ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixers = _permutations()
@@ -104,36 +114,44 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 fp = np.fromiter(map(set_fingerprint, grams), np.uint64, len(grams))
                 size = np.fromiter(map(len, grams), np.int64, len(grams))
                 listed = lambda rows: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rows])], pa.int32()), pa.array(np.concatenate(rows).view(np.int64)))
-                columns = [part.column(0), pa.array(sig.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(size), listed([bands(g, mixers) for g in grams]), listed(grams)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "sig", "fp", "n", "bands", "grams"])
+                keys, sketch = zip(*(bands(g, mixers) for g in grams))
+                sketch = np.array(sketch)
+                columns = [part.column(0), *map(pa.array, (sig.view(np.int64), fp.view(np.int64), size, sketch[:, 0], sketch[:, 1])), listed(keys), listed(grams)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "sig", "fp", "n", "s0", "s1", "bands", "grams"])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, sig long, fp long, n long, bands array<bigint>, grams array<bigint>")
+    return source.mapInArrow(run, f"id {kind}, sig long, fp long, n long, s0 long, s1 long, bands array<bigint>, grams array<bigint>")
 
 
 def _distance(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _may_link(a: str, b: str, radius: int, similarity: float) -> Column:
-    """Whether two nodes, structs of ``sig, fp, n``, have near fingerprints and fitting sizes."""
+def _may_link(a: str, b: str, similarity: float) -> Column:
+    """Whether two nodes, structs of ``fp, n, s0, s1``, have near fingerprints and sketches and fitting sizes."""
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (_distance(f"{a}.fp", f"{b}.fp") <= radius) & (low >= high * similarity - 1e-9)
+    near = _distance(f"{a}.fp", f"{b}.fp") <= radius_for(similarity)
+    alike = _distance(f"{a}.s0", f"{b}.s0") + _distance(f"{a}.s1", f"{b}.s1") <= sketch_radius(similarity)
+    return near & alike & (low >= high * similarity - 1e-9)
+
+
+_NODE = ("fp", "n", "s0", "s1")
 
 
-def _buckets(nodes: DataFrame, *more: str) -> DataFrame:
-    """``(band, key, x)`` and the columns ``more``: each node in each of its buckets."""
-    return nodes.select(F.struct("sig", "fp", "n").alias("x"), *more, F.posexplode("bands").alias("band", "key"))
+def _screened(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(a, b)`` that may link."""
+    side = lambda name: nodes.select(F.col("sig").alias(name), F.struct(*_NODE).alias("x" + name))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link("xa", "xb", similarity)).select("a", "b")
 
 
-def _star_pairs(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
+def _star_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs of a node and the first of its bucket: one pair a member, however large the bucket."""
-    rows = _buckets(nodes)
-    first = rows.groupBy("band", "key").agg(F.min("x").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    near = rows.join(first, ["band", "key"]).where((F.col("first.sig") != F.col("x.sig")) & _may_link("first", "x", radius, similarity))
-    return near.select(F.col("first.sig").alias("a"), F.col("x.sig").alias("b")).distinct()
+    rows = nodes.select("sig", F.explode("bands").alias("key"))
+    first = rows.groupBy("key").agg(F.min("sig").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+    met = rows.join(first, "key").where("a != sig").select("a", F.col("sig").alias("b")).distinct()
+    return _screened(met, nodes, similarity)
 
 
 def _close_pairs(nodes: DataFrame) -> DataFrame:
@@ -148,19 +166,20 @@ def _close_pairs(nodes: DataFrame) -> DataFrame:
     return links(one.select("id", "fp"), RADIUS).unionByName(same)
 
 
-def _open_pairs(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """Pairs of one bucket and two components.
+def _open_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of one bucket and two components that may link.
 
     A bucket's largest component is never paired with itself: others meet all, it meets others.
     """
-    rows = _buckets(nodes, "comp")
-    held = rows.groupBy("band", "key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = held.groupBy("band", "key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    rows = written(rows.join(mixed, ["band", "key"]), "near-buckets")
-    others = rows.where("comp != main").select("band", "key", F.col("x").alias("y"), F.col("comp").alias("other"))
-    once = (F.col("comp") == F.col("main")) | (F.col("x.sig") < F.col("y.sig"))
-    met = rows.join(others, ["band", "key"]).where((F.col("comp") != F.col("other")) & once & _may_link("x", "y", radius, similarity))
-    return met.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+    rows = nodes.select("sig", "comp", F.explode("bands").alias("key"))
+    held = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    mixed = held.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
+    rows = rows.join(mixed, "key").join(nodes.select("sig", F.struct(*_NODE).alias("x")), "sig")
+    rows = written(rows, "near-buckets")
+    others = rows.where("comp != main").select("key", F.col("sig").alias("other"), F.col("x").alias("y"), F.col("comp").alias("its"))
+    once = (F.col("comp") == F.col("main")) | (F.col("sig") < F.col("other"))
+    met = rows.join(others, "key").where((F.col("comp") != F.col("its")) & once & _may_link("x", "y", similarity))
+    return met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
@@ -182,14 +201,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
       the rows of its set, or null. An empty table gives an empty result.
     """
     marked = written(_sets(docs, id_col, text_col, width), "shingle-sets")
-    radius = radius_for(similarity)
-    nodes = marked.groupBy("sig").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = marked.groupBy("sig").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in (*_NODE, "bands")])
     nodes = written(nodes.where("id is not null"), "near-nodes")
-    first = _star_pairs(nodes, radius, similarity).unionByName(_close_pairs(nodes)).distinct()
+    first = _star_pairs(nodes, similarity).unionByName(_close_pairs(nodes)).distinct()
     edges = written(_verified(written(first, "near-pairs"), marked, similarity), "near-edges")
     stars = components(edges)
     comp = nodes.join(stars, nodes["sig"] == stars["node"], "left").select(*nodes.columns, F.coalesce("component", "sig").alias("comp"))
-    pairs = written(_open_pairs(written(comp, "near-nodes"), radius, similarity), "near-pairs")
+    pairs = written(_open_pairs(written(comp, "near-nodes"), similarity), "near-pairs")
     grouped = stars
     if not pairs.isEmpty():
         more = written(_verified(pairs, marked, similarity), "near-edges")
