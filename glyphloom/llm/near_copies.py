@@ -37,6 +37,14 @@ RECALL = 0.999
 BANDS, ROWS = 20, 5
 #: Shingles whose permuted hashes are held at once.
 BLOCK = 4_096
+#: Bits of an odd sketch, the sampled shingles that it takes at most, and deviations that its screen allows.
+ODD_BITS = 512
+ODD_SHINGLES = 256
+ODD_SLACK = 4.0
+#: Up to so many sets (8 bytes each) are told to the scan that reads them; more are joined by shuffle.
+FEW_SETS = 2_000_000
+#: Sets of so many shingles in all (8 bytes each) are broadcast to their pairs; more are joined by shuffle.
+FEW_SHINGLES = 8_000_000
 
 
 def _covering(bits: int, p: float, recall: float) -> int:
@@ -101,8 +109,23 @@ def bands(grams: np.ndarray, mixers: tuple[np.ndarray, np.ndarray]) -> tuple[np.
     return keys.view(np.int64), np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def odd_sketches(grams: np.ndarray) -> tuple[int, np.ndarray]:
+    """A set's level and its odd sketches at that level and the next.
+
+    Level k takes the shingles whose hash ends in k zero bits, so ODD_SHINGLES at most, more
+    or less. A bit is set if an odd number of them falls on it: of two sketches no more
+    bits differ than shingles that one set only has.
+    """
+    level = max(0, (len(grams) - 1) // ODD_SHINGLES).bit_length()
+    out = []
+    for k in (level, level + 1):
+        own = grams[grams & np.uint64((1 << k) - 1) == 0] >> np.uint64(48)
+        out.append(np.packbits(np.bincount((own & np.uint64(ODD_BITS - 1)).astype(np.int64), minlength=ODD_BITS) & 1, bitorder="little").view(np.int64))
+    return level, np.concatenate(out)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id, sig, fp, n, s0, s1, bands, grams)`` for each row; equal sets have one ``sig``."""
+    """``(id, sig, fp, n, s0, s1, level, odd, bands, grams)`` for each row; equal sets have one ``sig``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixers = _permutations()
@@ -116,13 +139,14 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
                 listed = lambda rows: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rows])], pa.int32()), pa.array(np.concatenate(rows).view(np.int64)))
                 keys, sketch = zip(*(bands(g, mixers) for g in grams))
                 sketch = np.array(sketch)
-                columns = [part.column(0), *map(pa.array, (sig.view(np.int64), fp.view(np.int64), size, sketch[:, 0], sketch[:, 1])), listed(keys), listed(grams)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "sig", "fp", "n", "s0", "s1", "bands", "grams"])
+                levels, odd = zip(*map(odd_sketches, grams))
+                columns = [part.column(0), *map(pa.array, (sig.view(np.int64), fp.view(np.int64), size, sketch[:, 0], sketch[:, 1], np.array(levels, np.int32))), listed(odd), listed(keys), listed(grams)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "sig", "fp", "n", "s0", "s1", "level", "odd", "bands", "grams"])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, sig long, fp long, n long, s0 long, s1 long, bands array<bigint>, grams array<bigint>")
+    return source.mapInArrow(run, f"id {kind}, sig long, fp long, n long, s0 long, s1 long, level int, odd array<bigint>, bands array<bigint>, grams array<bigint>")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -130,14 +154,25 @@ def _distance(a: str, b: str) -> Column:
 
 
 def _may_link(a: str, b: str, similarity: float) -> Column:
-    """Whether two nodes, structs of ``fp, n, s0, s1``, have near fingerprints and sketches and fitting sizes."""
+    """Whether two nodes, structs of ``_NODE``'s columns, have near fingerprints and sketches and fitting sizes.
+
+    Sets of the similarity differ by (1 - J) / (1 + J) of both sizes' sum at most, and so do
+    their odd sketches at level 0; at a level k it is a sample of 2 ** -k of them.
+    """
     low, high = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
     near = _distance(f"{a}.fp", f"{b}.fp") <= radius_for(similarity)
     alike = _distance(f"{a}.s0", f"{b}.s0") + _distance(f"{a}.s1", f"{b}.s1") <= sketch_radius(similarity)
-    return near & alike & (low >= high * similarity - 1e-9)
+    level = F.greatest(f"{a}.level", f"{b}.level")
+    words = ODD_BITS // 64
+    at = lambda x: F.slice(F.col(f"{x}.odd"), F.when(F.col(f"{x}.level") == level, 1).otherwise(words + 1), F.lit(words))
+    differ = F.aggregate(F.zip_with(at(a), at(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = (F.col(f"{a}.n") + F.col(f"{b}.n")) * ((1 - similarity) / (1 + similarity)) / F.pow(F.lit(2.0), level)
+    slack = F.when(level > 0, ODD_SLACK * F.sqrt(most) + 1).otherwise(0.0)
+    fits = (low >= high * similarity - 1e-9) & (F.abs(F.col(f"{a}.level") - F.col(f"{b}.level")) <= 1)
+    return fits & near & alike & (differ <= most + slack + 1e-6)
 
 
-_NODE = ("fp", "n", "s0", "s1")
+_NODE = ("fp", "n", "s0", "s1", "level", "odd")
 
 
 def _screened(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -147,10 +182,10 @@ def _screened(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 
 
 def _star_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a node and the first of its bucket: one pair a member, however large the bucket."""
+    """Pairs of a node and the least of its buckets' first members: one pair a node, however large its buckets."""
     rows = nodes.select("sig", F.explode("bands").alias("key"))
     first = rows.groupBy("key").agg(F.min("sig").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    met = rows.join(first, "key").where("a != sig").select("a", F.col("sig").alias("b")).distinct()
+    met = rows.join(first, "key").where("a != sig").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a"))
     return _screened(met, nodes, similarity)
 
 
@@ -185,9 +220,14 @@ def _open_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
 def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
     """The pairs whose whole shingle sets are similar enough."""
     needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    sets = written(marked.select("sig", "grams").join(needed, "sig", "left_semi").dropDuplicates(["sig"]), "near-sets")
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("ga")), "a")
-    both = both.join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("gb")), "b")
+    needed = written(needed, "near-needed")
+    few = needed.count() <= FEW_SETS
+    sets = marked.select("sig", "grams").join(F.broadcast(needed) if few else needed, "sig", "left_semi")
+    sets = written(sets.dropDuplicates(["sig"]), "near-sets")
+    shingles = sets.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n")).first()["n"]
+    side = lambda sig, grams: sets.select(F.col("sig").alias(sig), F.col("grams").alias(grams))
+    near = F.broadcast if shingles <= FEW_SHINGLES else (lambda x: x)
+    both = pairs.join(near(side("a", "ga")), "a").join(near(side("b", "gb")), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     # shared / (na + nb - shared) >= similarity
     return both.where(shared * (1 + similarity) >= (F.size("ga") + F.size("gb")) * similarity - 1e-9).select("a", "b")

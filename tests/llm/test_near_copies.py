@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from glyphloom.llm import near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -80,3 +81,17 @@ def test_dense_group_of_near_copies(spark):
     exact = components(len(texts), similar(texts, 0.8))
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
     assert sum(got[d] != exact[d] for d in got) <= 1
+
+
+def test_odd_sketches_screen_by_difference():
+    """At level 0 no more bits differ than shingles; a level's sample is ODD_SHINGLES at most, on average."""
+    rng = np.random.default_rng(2)
+    for n in (1, 255, 256, 257, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1))
+        level, odd = near_copies.odd_sketches(a)
+        assert n / 2**level <= near_copies.ODD_SHINGLES and len(odd) == 2 * near_copies.ODD_BITS // 64
+        b = np.sort(np.r_[a[n // 10 :], rng.integers(0, 1 << 63, n // 10, np.uint64)])
+        if level == 0:
+            other = near_copies.odd_sketches(b)[1]
+            words = near_copies.ODD_BITS // 64
+            assert sum(int(x ^ y).bit_count() for x, y in zip(odd[:words].view(np.uint64), other[:words].view(np.uint64))) <= 2 * (n // 10)
