@@ -53,6 +53,43 @@ def utf8_valid(data: Column) -> Column:
     return F.is_valid_utf8(data.cast("string"))
 
 
+_UTF8 = (
+    r"(?:[\x00-\x7F]++|(?:[\xC2-\xDF][\x80-\xBF])++|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
+    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})"
+)
+
+
+def byte_fault(s: Column) -> Column:
+    """``(kind, offset)`` of the first byte that breaks UTF-8 in bytes spelt as U+0000 to U+00FF; nulls without one."""
+    return let(F.length(F.regexp_extract(s, f"^{_UTF8}*+", 0)), lambda at: _fault_at(s, at))
+
+
+def _fault_at(s: Column, at: Column) -> Column:
+    rest = F.substring(s, at + 1, F.lit(4))
+    need = F.when(rest.rlike(r"^[\xC2-\xDF]"), 1).when(rest.rlike(r"^[\xE0-\xEF]"), 2).otherwise(3)
+    have = F.least(need, F.length(F.regexp_extract(rest, r"^(?s:.)([\x80-\xBF]*)", 1)))
+    stop = at + 1 + have
+    rules = (
+        (at == F.length(s), F.lit(None).cast("string"), F.lit(None).cast("int")),
+        (rest.rlike(r"^[\x80-\xC1\xF5-\xFF]"), F.lit("InvalidStartByte"), at),
+        ((have < need) & (stop == F.length(s)), F.lit("Truncated"), stop),
+        (have < need, F.lit("InvalidContinuation"), stop),
+        (rest.rlike(r"^\xED"), F.lit("Cesu8"), at + 2),
+        (rest.rlike(r"^\xF4"), F.lit("CodepointBeyondMax"), at + 3),
+        (F.lit(True), F.lit("Overlong"), at),
+    )
+    found = None
+    for condition, kind, offset in rules:
+        one = F.struct(kind.alias("kind"), offset.cast("int").alias("offset"))
+        found = F.when(condition, one) if found is None else found.when(condition, one)
+    return found
+
+
+def first_invalid_utf8(data: Column) -> Column:
+    """``(kind, offset)`` of the first invalid byte of a binary column, nulls where it is valid."""
+    return byte_fault(F.decode(data, "ISO-8859-1"))
+
+
 def utf16(s: Column, little: bool = False) -> Column:
     return F.encode(s, "UTF-16LE" if little else "UTF-16BE")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import pandas as pd
@@ -133,13 +134,25 @@ def labels(s: Column) -> Column:
     return F.split(s, r"\.")
 
 
-def valid_label(label: Column) -> Column:
-    """Hyphens, leading mark, joiners' letters, STD3 characters and the bidi rule."""
-    marks = icu.regex("[:M:]")
-    ascii_ok = ~F.regexp_replace(label, r"[^\x00-\x7F]", "").rlike(r"[^a-z0-9-]")
-    return (
-        (label != "") & ~label.rlike(r"^-|-\z|^..--") & ~label.rlike(f"^{marks}") & ascii_ok & ~label.rlike(_mapping()[1]) & bidi_rule(label)
-    )
+@dataclass(frozen=True)
+class Options:
+    """What is checked beyond mapping and Punycode."""
+
+    check_hyphens: bool = True
+    check_bidi: bool = True
+    std3_rules: bool = True
+    transitional: bool = False
+    dns_length: bool = True
+
+
+def valid_label(label: Column, options: Options = Options()) -> Column:
+    """Hyphens, leading mark, STD3 characters, disallowed characters and the bidi rule."""
+    ok = (label != "") & ~label.rlike(f"^{icu.regex('[:M:]')}") & ~label.rlike(_mapping()[1])
+    if options.check_hyphens:
+        ok = ok & ~label.rlike(r"^-|-\z|^..--")
+    if options.std3_rules:
+        ok = ok & ~F.regexp_replace(label, r"[^\x00-\x7F]", "").rlike(r"[^a-z0-9-]")
+    return ok & bidi_rule(label) if options.check_bidi else ok
 
 
 def host_labels(url: Column) -> Column:
@@ -157,13 +170,44 @@ def _ascii_domain(domain: str) -> str:
     return ".".join(x if x.isascii() else "xn--" + punycode_encode(x) for x in domain.split("."))
 
 
-def to_ascii(s: Column, transitional: bool = False) -> Column:
-    """A domain in ASCII: mapped, its labels checked and spelt in Punycode; null where one fails.
+def _unicode_domain(domain: str) -> str:
+    """Labels out of Punycode; one that is none, or that needed none, gets a U+FFFD in front."""
+    out = []
+    for label in domain.split("."):
+        if label.startswith("xn--"):
+            plain = punycode_decode(label[4:])
+            label = "\ufffd" + label if not plain or plain.isascii() else plain
+        out.append(label)
+    return ".".join(out)
 
-    Labels take 1 to 63 bytes and the domain at most 253, without a trailing dot.
+
+def to_unicode(s: Column, options: Options = Options()) -> Column:
+    """``(value, has_errors)``: a domain mapped, with its ``xn--`` labels decoded, and whether a label fails.
+
+    A decoded label has to be in NFC and to map to itself. Joiners' contexts are not checked.
     """
-    mapped = idna_map(s, transitional)
-    ok = F.forall(labels(mapped), valid_label) & bidi_domain(mapped)
-    spelt = _series(_ascii_domain)(mapped)
-    fits = (F.length(spelt) <= 253) & F.forall(labels(spelt), lambda x: F.length(x).between(1, 63))
-    return F.when(ok & fits, spelt)
+    mapped = idna_map(s, options.transitional)
+    decoded = _series(_unicode_domain)(mapped)
+    fails = ~F.forall(labels(decoded), lambda x: valid_label(x, options)) | decoded.contains("\ufffd") | (idna_map(decoded) != decoded)
+    if options.check_bidi:
+        fails = fails | ~bidi_domain(decoded)
+    return F.when(s.isNotNull(), F.struct(F.replace(decoded, F.lit("\ufffd"), F.lit("")).alias("value"), fails.alias("has_errors")))
+
+
+def to_ascii_result(s: Column, options: Options = Options()) -> Column:
+    """``(value, has_errors)``: a domain in ASCII, given also where a label fails.
+
+    Labels take 1 to 63 bytes and the domain at most 253, a trailing dot counting as an empty label.
+    """
+    plain = to_unicode(s, options)
+    spelt = _series(_ascii_domain)(plain["value"])
+    fails = plain["has_errors"]
+    if options.dns_length:
+        fails = fails | (F.length(spelt) > 253) | ~F.forall(labels(spelt), lambda x: F.length(x).between(1, 63))
+    return F.when(s.isNotNull(), F.struct(spelt.alias("value"), fails.alias("has_errors")))
+
+
+def to_ascii(s: Column, transitional: bool = False) -> Column:
+    """A domain in ASCII: mapped, its labels checked and spelt in Punycode; null where one fails."""
+    found = to_ascii_result(s, Options(transitional=transitional))
+    return F.when(~found["has_errors"], found["value"])

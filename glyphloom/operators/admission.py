@@ -13,8 +13,7 @@ FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 #: Detectors that use normalization forms computed once for all.
 _FORMED = {
     "normalizationBomb": detectors.normalization_bomb, "nfcIdempotenceWitness": detectors.nfc_idempotence_witness,
-    "admissibilityFormDrift": detectors.admissibility_form_drift, "bip39Canonical": lambda s, forms: detectors.bip39_canonical(s, None, forms),
-    "hashInputStability": lambda s, forms: detectors.hash_input_stability(s, forms=forms),
+    "admissibilityFormDrift": detectors.admissibility_form_drift,
 }
 _CRYPTO = {"nonCrypto": (), "bip39Mnemonic": ("bip39Canonical",), "hashInput": ("hashInputStability",), "aiAttribution": ("aiWatermarkDetectability",)}
 _MODERATE_ALLOWS = ("emojiZwjIntegrity", "rtlInjection", "rendererDivergence", "normalizationBomb")
@@ -27,14 +26,25 @@ REJECTION = {
 SEVERITIES = ("informational", "low", "moderate", "high", "critical")
 
 
-def run_all(df: DataFrame, column: str, families: tuple[str, ...] | None = None) -> DataFrame:
+CONTEXT = ("declared", "rule", "as_written", "server_bytes")
+
+
+def run_all(
+    df: DataFrame, column: str, families: tuple[str, ...] | None = None, wordlists: DataFrame | None = None, context: dict[str, str] | None = None, tolerance: int = 0
+) -> DataFrame:
     """``df`` with ``verdicts``: an array of ``(family, layer, tag, positions)``, one per family.
 
     Normalization forms and the imitated name are computed once, as columns that the
-    detectors share. Null texts have null tags.
+    detectors share. Null texts have null tags. ``wordlists(lang, word)`` are the mnemonic
+    detector's; without them it looks no word up. ``context`` names the columns of ``df`` that
+    hold a signed text's CONTEXT; ``tolerance`` is the watermark detector's.
     """
     wanted = families or tuple(detectors.FAMILIES)
     base = detectors.with_target(df, column, "_target")
+    mnemonic = None
+    if wordlists is not None and "bip39Canonical" in wanted:
+        base, mnemonic = detectors.with_mnemonic(base, column, wordlists, "_mnemonic"), F.col("_mnemonic")
+    around = {k: F.col(c) for k, c in (context or {}).items()}
     s = F.col(column)
     base = base.select("*", *[normalized(s, f).alias(f"_{f}") for f in FORMS])
     forms = {f: F.col(f"_{f}") for f in FORMS}
@@ -42,6 +52,12 @@ def run_all(df: DataFrame, column: str, families: tuple[str, ...] | None = None)
     for name in wanted:
         if name in _FORMED:
             found[name] = _FORMED[name](s, forms=forms)
+        elif name == "bip39Canonical":
+            found[name] = detectors.bip39_canonical(s, mnemonic, forms)
+        elif name == "hashInputStability":
+            found[name] = detectors.hash_input_stability(s, *(around.get(c) for c in CONTEXT), forms=forms)
+        elif name == "aiWatermarkDetectability":
+            found[name] = detectors.ai_watermark(s, tolerance)
         elif name == "homoglyphConfusable":
             found[name] = detectors.homoglyph_confusable(s, F.col("_target"), forms["NFC"])
         elif name != "sourceDisplayDivergence":
@@ -83,11 +99,26 @@ def admissible(verdicts: Column, level: str, context: str = "nonCrypto") -> Colu
     return ~F.exists(verdicts, lambda v: v["tag"].isNotNull() & F.array_contains(barred, v["family"]))
 
 
-def composite(verdicts: Column) -> Column:
-    """``(kind, n_sites, severity)`` of a row: clear, hazard or compound."""
-    n = F.size(F.filter(verdicts, lambda v: v["tag"].isNotNull()))
+def compose(*verdicts: Column) -> Column:
+    """The verdicts of several runs on one text as one array."""
+    return F.concat(*verdicts)
+
+
+def severity_name(rank: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, SEVERITIES)), rank.cast("int") + 1)
+
+
+def composite(verdicts: Column, severities: dict[str, str] | None = None) -> Column:
+    """``(kind, n_sites, severity)`` of a row: clear, hazard or compound, and the greatest severity of its sites.
+
+    A site is moderate unless ``severities`` says otherwise for its family.
+    """
+    ranks = F.create_map(*[F.lit(x) for n in detectors.FAMILIES for x in (n, SEVERITIES.index((severities or {}).get(n, "moderate")))])
+    sites = F.filter(verdicts, lambda v: v["tag"].isNotNull())
+    n = F.size(sites)
     kind = F.when(n == 0, "clear").when(n == 1, "hazard").otherwise("compound")
-    return F.struct(kind.alias("kind"), n.alias("n_sites"), F.when(n == 0, "informational").otherwise("moderate").alias("severity"))
+    worst = F.coalesce(F.array_max(F.transform(sites, lambda v: F.element_at(ranks, v["family"]))), F.lit(0))
+    return F.struct(kind.alias("kind"), n.alias("n_sites"), severity_name(worst).alias("severity"))
 
 
 def hazard_rollup(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:

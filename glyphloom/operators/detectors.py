@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casing, confusables, identifiers, layout
-from ..functions.codec import chars, codepoints, first_position, let, positions
+from ..functions.codec import byte_fault, chars, codepoints, first_position, let, positions
 from ..functions.normalize import nfc, nfkc, nfkd, normalized
 from ..tables import curated, icu
 
@@ -167,31 +167,9 @@ def _zero_width_verdict(s: Column, bad: Column) -> Column:
     )
 
 
-_UTF8 = (
-    r"(?:[\x00-\x7F]++|(?:[\xC2-\xDF][\x80-\xBF])++|\xE0[\xA0-\xBF][\x80-\xBF]|[\xE1-\xEC\xEE\xEF][\x80-\xBF]{2}|\xED[\x80-\x9F][\x80-\xBF]"
-    r"|\xF0[\x90-\xBF][\x80-\xBF]{2}|[\xF1-\xF3][\x80-\xBF]{3}|\xF4[\x80-\x8F][\x80-\xBF]{2})"
-)
-
-
 def surrogate_reassembly(s: Column) -> Column:
     """The code points read as bytes, where all are below 256: the first that is no UTF-8."""
-    return let(F.length(F.regexp_extract(s, f"^{_UTF8}*+", 0)), lambda at: _byte_verdict(s, at))
-
-
-def _byte_verdict(s: Column, at: Column) -> Column:
-    rest = F.substring(s, at + 1, F.lit(4))
-    need = F.when(rest.rlike(r"^[\xC2-\xDF]"), 1).when(rest.rlike(r"^[\xE0-\xEF]"), 2).otherwise(3)
-    have = F.least(need, F.length(F.regexp_extract(rest, r"^(?s:.)([\x80-\xBF]*)", 1)))
-    stop = at + 1 + have
-    return verdict(
-        (s.rlike(r"[^\x00-\xFF]") | (at == F.length(s)), F.lit(None).cast("string"), empty()),
-        (rest.rlike(r"^[\x80-\xC1\xF5-\xFF]"), "InvalidStartByte", one(at)),
-        ((have < need) & (stop == F.length(s)), "Truncated", one(stop)),
-        (have < need, "InvalidContinuation", one(stop)),
-        (rest.rlike(r"^\xED"), "Cesu8", one(at + 2)),
-        (rest.rlike(r"^\xF4"), "CodepointBeyondMax", one(at + 3)),
-        (F.lit(True), "Overlong", one(at)),
-    )
+    return let(byte_fault(s), lambda x: verdict((~s.rlike(r"[^\x00-\xFF]") & x["kind"].isNotNull(), x["kind"], one(x["offset"]))))
 
 
 def bidi_balance(s: Column) -> Column:
@@ -236,21 +214,27 @@ def _balance_verdict(s: Column, state: Column) -> Column:
 # Identity
 
 
-def targets(spark: SparkSession) -> DataFrame:
-    """``(letters, names)``: the imitated names by letter skeleton, in order of search."""
-    names = spark.createDataFrame(list(enumerate(curated.TARGETS)), "rank int, name string")
+def targets(spark: SparkSession, names: DataFrame | None = None) -> DataFrame:
+    """``(letters, names)``: names by letter skeleton, in order of search.
+
+    ``names(rank, name)`` are protected names, by default the fixed list of imitated ones.
+    """
+    if names is None:
+        names = spark.createDataFrame(list(enumerate(curated.TARGETS)), "rank int, name string")
     named = names.select("rank", "name", confusables.letter_skeleton(F.col("name")).alias("letters"))
     return named.groupBy("letters").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("names"))
 
 
-def with_target(df: DataFrame, column: str, out: str = "target") -> DataFrame:
+def with_target(df: DataFrame, column: str, out: str = "target", names: DataFrame | None = None) -> DataFrame:
     """Add the first name that the text's letters imitate without being it, or null.
 
-    The skeleton is a column of its own and meets the names in an equality join; the names
-    are a fixed list of under a hundred.
+    The skeleton is a column of its own and meets the names in an equality join. The fixed
+    list has under a hundred names and is broadcast; a table ``names(rank, name)`` is joined
+    as Spark sees fit.
     """
     lettered = df.withColumn("_letters", confusables.letter_skeleton(F.col(column)))
-    joined = lettered.join(F.broadcast(targets(df.sparkSession)), F.col("_letters") == F.col("letters"), "left")
+    wanted = targets(df.sparkSession, names)
+    joined = lettered.join(F.broadcast(wanted) if names is None else wanted, F.col("_letters") == F.col("letters"), "left")
     name = F.get(F.filter("names", lambda n: n != F.col(column)), F.lit(0))
     return joined.withColumn(out, name).drop("_letters", "letters", "names")
 
@@ -467,28 +451,49 @@ def admissibility_form_drift(s: Column, forms: dict[str, Column] | None = None)
 # Cryptographic input
 
 
-def bip39_canonical(s: Column, wordlists: dict[str, list[str]] | None = None, forms: dict[str, Column] | None = None) -> Column:
-    """``wordlists`` maps languages, in order of search, to their words in NFKD."""
-    space = r"[\x{20}\x{3000}]"
+_SPACE = r"[\x{20}\x{3000}]"
+
+
+def mnemonic_words(s: Column, form: Column | None = None) -> Column:
+    """The words of a text in NFKD and lower case, cut at spaces."""
+    canonical = F.trim(F.regexp_replace(F.lower(nfkd(s) if form is None else form), f"{_SPACE}+", " "))
+    return F.filter(F.split(canonical, " "), lambda w: w != "")
+
+
+def with_mnemonic(df: DataFrame, column: str, wordlists: DataFrame, out: str = "mnemonic") -> DataFrame:
+    """Add ``(unknown, covered)``: the place of the first word of no list, and whether one list has all words.
+
+    ``wordlists(lang, word)`` is a table of up to 62 lists. Words meet it in an equality join,
+    each list being one bit.
+    """
+    langs = sorted(r["lang"] for r in wordlists.select("lang").distinct().limit(63).collect())
+    if len(langs) > 62:
+        raise ValueError("more than 62 word lists")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.array_position(F.array(*map(F.lit, langs)).cast("array<string>"), F.col("lang")).cast("int") - 1)
+    known = wordlists.select(nfkd(F.col("word")).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_lists"))
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    parts = rows.select("_row", F.posexplode(mnemonic_words(F.col(column))).alias("_at", "_word")).join(known, "_word", "left")
+    state = parts.groupBy(F.col("_row").alias("_r")).agg(
+        F.min(F.when(F.col("_lists").isNull(), F.col("_at"))).alias("unknown"), (F.bit_and(F.coalesce("_lists", F.lit(0).cast("long"))) != 0).alias("covered")
+    )
+    found = rows.join(state, F.col("_row") == F.col("_r"), "left")
+    return found.select(*df.columns, F.struct("unknown", F.coalesce("covered", F.lit(True)).alias("covered")).alias(out))
+
+
+def bip39_canonical(s: Column, mnemonic: Column | None = None, forms: dict[str, Column] | None = None) -> Column:
+    """``mnemonic`` is the column that ``with_mnemonic`` adds; without it words are not looked up."""
     form = (forms or {}).get("NFKD", nfkd(s))
-    canonical = F.trim(F.regexp_replace(F.lower(form), f"{space}+", " "))
-    parts = F.filter(F.split(canonical, " "), lambda w: w != "")
-    lists = wordlists or {}
-    known = F.array(*[F.lit(w) for w in sorted({w for v in lists.values() for w in v})]).cast("array<string>")
-    unknown = F.array_min(F.filter(F.transform(parts, lambda w, i: F.when(~F.array_contains(known, w), i)), lambda i: i.isNotNull()))
-    covers = F.lit(False)
-    for v in lists.values():
-        covers = covers | (F.size(F.array_except(parts, F.array(*map(F.lit, v)))) == 0)
-    trailing = F.length(F.regexp_extract(s, f"({space}+)\\z", 1))
-    return verdict(
+    trailing = F.length(F.regexp_extract(s, f"({_SPACE}+)\\z", 1))
+    rules: list[Rule] = [
         (trailing > 0, "TrailingWhitespace", one(F.length(s) - trailing)),
         (s.rlike("[A-Z]"), "MixedCase", one(first_position(s, "[A-Z]"))),
-        (s.rlike(f"^{space}"), "WhitespaceAnomaly", one(F.lit(0))),
-        (s.rlike(f"{space}{space}"), "WhitespaceAnomaly", one(first_match(s, f"{space}{space}"))),
+        (s.rlike(f"^{_SPACE}"), "WhitespaceAnomaly", one(F.lit(0))),
+        (s.rlike(f"{_SPACE}{_SPACE}"), "WhitespaceAnomaly", one(first_match(s, f"{_SPACE}{_SPACE}"))),
         (form != s, "NonNFKD", one(first_difference(s, form))),
-        (unknown.isNotNull(), "WordlistMismatch", one(unknown)),
-        (~covers & (F.size(parts) > 0), "LanguageAmbiguous", empty()),
-    )
+    ]
+    if mnemonic is not None:
+        rules += [(mnemonic["unknown"].isNotNull(), "WordlistMismatch", one(mnemonic["unknown"])), (~mnemonic["covered"], "LanguageAmbiguous", empty())]
+    return verdict(*rules)
 
 
 #: Signing rules by name: a pattern whose first match violates the rule.

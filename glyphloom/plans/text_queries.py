@@ -105,6 +105,23 @@ def utf8_valid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", codec.utf8_valid(F.col("data")).alias("value"))
 
 
+def utf8_valid_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the valid part of every text's whole bytes ends, and why: broken as in ``utf8_valid_whole``, but between characters."""
+    half = F.floor(F.length("text") / 2).cast("int")
+    bits = lambda x: F.encode(x, "UTF-8")
+    made, turn = bits(F.col("text")), F.pmod("doc_id", F.lit(4))
+    middle = F.concat(bits(F.substring("text", F.lit(1), half)), F.unhex(F.lit("C3")), bits(F.substring("text", half + 1, F.lit(2**31 - 1))))
+    for i, broken in enumerate((F.concat(F.unhex(F.lit("80")), bits(F.col("text"))), middle, F.concat(bits(F.col("text")), F.unhex(F.lit("E282")))), 1):
+        made = F.when(turn == i, broken).otherwise(made)
+    rows = read(spark, sf_dir, "documents").select("doc_id", codec.first_invalid_utf8(made).alias("x"))
+    return rows.select("doc_id", F.concat_ws(":", F.col("x.offset").cast("string"), "x.kind").alias("value"))
+
+
+UTF8_PREFIX_SQL = """
+SELECT doc_id, CASE WHEN text IS NULL THEN '' ELSE CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '0:InvalidStartByte'
+       WHEN 2 THEN (strlen(substr(text, 1, length(text) // 2)) + 1)::VARCHAR || CASE WHEN text = '' THEN ':Truncated' ELSE ':InvalidContinuation' END
+       ELSE (strlen(text) + 2)::VARCHAR || ':Truncated' END END AS value FROM documents
+"""
 UTF8_SQL = "SELECT doc_id, CASE WHEN text IS NOT NULL THEN doc_id % 4 = 0 END AS value FROM documents"
 
 
@@ -127,6 +144,19 @@ def idna_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "host", domains.to_ascii(F.col("host")).alias("ascii"))
 
 
+def idna_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts of all pages with an umlaut, to ASCII and back to Unicode."""
+    pages = read(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("bü"), F.array_join(domains.host_labels(F.col("url")), ".")).alias("host"))
+    spelt = pages.select("page_id", domains.to_ascii_result(F.col("host")).alias("x")).select("page_id", "x.value", "x.has_errors")
+    back = spelt.select("page_id", "has_errors", domains.to_unicode(F.col("value")).alias("y"))
+    return back.select("page_id", F.col("y.value").alias("host"), (F.col("has_errors") | F.col("y.has_errors")).alias("has_errors"))
+
+
+IDNA_SQL = r"""
+SELECT page_id, 'bü' || lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host, false AS has_errors FROM pages
+"""
+
+
 def customer_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.translate("c_name", "#", "_")
     return read(spark, sf_dir, "customer").select(
@@ -147,7 +177,11 @@ def lookalike_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customer names beside copies with Cyrillic letters: names that share a skeleton."""
     names = read(spark, sf_dir, "customer").select("c_name")
     spoofed = names.select(F.translate("c_name", "aeo", "аео").alias("c_name"))
-    return lookalikes.lookalike_groups(names.unionByName(spoofed), "c_name").select("n_names")
+    return lookalikes.lookalike_groups(names.unionByName(spoofed), "c_name").select(F.col("first").alias("c_name"), "n_names")
+
+
+#: Each name meets its own copy; names that are equal by themselves are one. 'C' sorts before Cyrillic letters.
+LOOKALIKE_SQL = "SELECT DISTINCT c_name, 2::BIGINT AS n_names FROM customer WHERE regexp_matches(c_name, '[aeo]')"
 
 
 def imitated_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,7 +227,7 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
     count = lambda x: F.size(x)
     return {
         "codepoints": d(lambda s: F.aggregate(codec.codepoints(s), F.lit(0).cast("long"), lambda a, c: a + c), "list_sum([ord(c) for c in string_split(t, '')])::BIGINT"),
-        "utf8_valid_prefix": d(lambda s: codec.utf8_valid(F.substring(s.cast("binary"), 1, 20)), "substr(hex(encode(t)), 41, 1) NOT IN ('8', '9', 'A', 'B')"),
+        "utf8_valid_prefix": (utf8_valid_prefixes, UTF8_PREFIX_SQL),
         "utf16_length": d(lambda s: F.length(codec.utf16(s)), r"(2 * length(t) + 2 * len(regexp_extract_all(t, '[\x{10000}-\x{10FFFF}]')))::INT", _ODD),
         "utf32_hex": d(lambda s: sha(F.hex(codec.utf32(s))), "sha256(array_to_string([format('{:08X}', ord(c)) for c in string_split(t, '')], ''))"),
         "utf32_round_trip": d(lambda s: codec.decode_utf32(codec.utf32(s)) == s, "t = t", _CONTROLS),
@@ -230,8 +264,9 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "bom_kind": (bom_kinds, BOM_SQL),
         "url_host_labels": (url_host_labels, URL_SQL),
         "idna_domains": (idna_domains, None),
+        "idna_round_trip": (idna_round_trip, IDNA_SQL),
         "customer_identifiers": (customer_identifiers, CUSTOMER_SQL),
-        "lookalike_customers": (lookalike_customers, None),
+        "lookalike_customers": (lookalike_customers, LOOKALIKE_SQL),
         "imitated_targets": (imitated_targets, None),
         "collated_words": (collated_names, None),
         "script_ranges": (script_ranges, None),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import admission, detectors
@@ -53,7 +53,6 @@ def by_text(family: str, tag: str, positions: str) -> tuple[Query, str]:
 
 _STRONG = "regexp_matches(substr(text, 1, 10), '[A-Za-zÀ-ÖØ-öø-ÿ]')"
 _HIGH = r"nullif(regexp_extract(text, '[\x{80}-\x{FF}]'), '')"
-_BYTE = f"(CASE WHEN {_HIGH} IN ('ü', 'ö', 'ä') THEN 0 ELSE 0 END)"
 
 
 def _surrogate() -> tuple[Query, str]:
@@ -90,16 +89,60 @@ def admissible_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = admission.run_all(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     levels = [admission.admissible(F.col("verdicts"), level).alias(level) for level in admission.REJECTION]
     state = admission.composite(F.col("verdicts"))
-    return docs.select("doc_id", *levels, state["kind"].alias("kind"), state["n_sites"].alias("n_sites"))
+    return docs.select("doc_id", *levels, state["kind"].alias("kind"), state["n_sites"].alias("n_sites"), state["severity"].alias("severity"))
 
 
 def imitated_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Protected names with one letter swapped, met by every document's source as a key."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("gооgle"), F.substring("text", 1, 0)).alias("name"))
-    found = detectors.with_target(docs, "name")
+    """Every document's source, its c in Cyrillic in every other row, against the sources as protected names."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 1, F.translate("source", "c", "с")).otherwise(F.col("source")).alias("name"))
+    names = read(spark, sf_dir, "documents").select(F.col("source").alias("name")).where("name is not null").distinct().select(F.lit(0).alias("rank"), "name")
+    found = detectors.with_target(docs, "name", names=names)
     return found.select("doc_id", F.col("target"), detectors.homoglyph_confusable(F.col("name"), F.col("target"))["tag"].alias("tag"))
 
 
+IMITATED_SQL = """
+SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND contains(source, 'c') THEN source END AS target,
+       CASE WHEN doc_id % 2 = 1 AND contains(source, 'c') THEN 'TargetMatch' END AS tag FROM documents
+"""
+#: Words of a list, as many as mnemonic lists have.
+LIST_WORDS = 2048
+_LETTERS = "[^a-zß-öø-ÿ]+"
+
+
+def language_lists(docs: DataFrame) -> DataFrame:
+    """``(lang, word)``: the most frequent words of each language's texts, ties by word."""
+    words = docs.where("lang is not null").select("lang", F.explode(F.split("t", " ")).alias("word")).where("word != ''")
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.encode("word", "UTF-8")))
+    return counts.withColumn("rank", place).where(F.col("rank") <= LIST_WORDS).select("lang", "word")
+
+
+def mnemonics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's words, and every other one's first word alone, against lists of each language's frequent words."""
+    t = F.trim(F.regexp_replace(F.lower("text"), _LETTERS, " "))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", t.alias("t"))
+    lists = language_lists(docs)
+    docs = docs.withColumn("t", F.when(F.col("doc_id") % 2 == 1, F.substring_index("t", " ", 1)).otherwise(F.col("t")))
+    found = detectors.with_mnemonic(docs, "t", lists)
+    return found.select("doc_id", detectors.bip39_canonical(F.col("t"), F.col("mnemonic")).alias("v")).select("doc_id", *_shown(F.col("v")))
+
+
+MNEMONIC_SQL = f"""
+WITH whole AS (SELECT doc_id, lang, trim(regexp_replace(lower(text), '{_LETTERS}', ' ', 'g')) AS t FROM documents),
+counts AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(string_split(t, ' ')) AS w FROM whole WHERE lang IS NOT NULL) WHERE w <> '' GROUP BY ALL),
+lists AS (SELECT lang, w FROM counts QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= {LIST_WORDS}),
+d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN split_part(t, ' ', 1) ELSE t END AS t FROM whole),
+parts AS (SELECT doc_id, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) - 1 AS pos FROM d WHERE t <> ''),
+unknown AS (SELECT doc_id, min(pos) AS pos FROM parts WHERE w NOT IN (SELECT w FROM lists) GROUP BY doc_id),
+size AS (SELECT doc_id, count(*) AS n FROM parts GROUP BY doc_id),
+covered AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, lang, count(*) AS n FROM parts JOIN lists USING (w) GROUP BY ALL) JOIN size USING (doc_id, n)),
+state AS (SELECT d.doc_id, regexp_extract(t, '[à-åç-ïñ-öù-ýÿ]') AS mark, t, u.pos, s.n IS NULL OR c.doc_id IS NOT NULL AS ok
+          FROM d LEFT JOIN unknown u USING (doc_id) LEFT JOIN size s USING (doc_id) LEFT JOIN covered c USING (doc_id))
+SELECT doc_id, CASE WHEN mark <> '' THEN 'NonNFKD' WHEN pos IS NOT NULL THEN 'WordlistMismatch' WHEN NOT ok THEN 'LanguageAmbiguous' END AS tag,
+       CASE WHEN mark <> '' THEN (instr(t, mark) - 1)::VARCHAR WHEN pos IS NOT NULL THEN pos::VARCHAR ELSE '' END AS positions FROM state
+"""
+
+
 def all_entries() -> dict[str, tuple[Query, str | None]]:
     none = ("", None, "")
     rtl = f"CASE WHEN {_STRONG} THEN 'MixedOverflow' ELSE 'FieldTakeover' END"
@@ -164,14 +207,14 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         ),
         "confusable_bidi": (over_documents(detectors.confusable_bidi_compound, ["‮", "⁦", ""]), None),
         "admissibility_drift": by_text("admissibilityFormDrift", "CAST(NULL AS VARCHAR)", "''"),
-        "bip39": (over_documents(detectors.bip39_canonical, None), None),
+        "bip39": (mnemonics, MNEMONIC_SQL),
         "hash_stability": by_trigger("hashInputStability", [("é", "NormalizationDrift", _at(0)), none]),
         "signing_rules": (_crypto_context, None),
         "watermarks": by_trigger(
             "aiWatermarkDetectability",
             [(" " * 3, "Adversarial", _at(0, 1, 2)), ("​" * 3, "Gpt5ZwspModulo", _at(0, 1, 2)), (" ", "NnbspBoundary", _at(0)), none],
         ),
-        "imitated_names": (imitated_in_documents, "SELECT doc_id, 'google' AS target, 'TargetMatch' AS tag FROM documents"),
+        "imitated_names": (imitated_in_documents, IMITATED_SQL),
         "run_all_counts": (run_all_counts, None),
         "hazard_rollup": (hazard_rollup, None),
         "admissible_by_level": (admissible_by_level, None),
