@@ -11,12 +11,14 @@ least ``similarity``. Candidates come from two searches over SimHash fingerprint
 
 Each candidate is verified on the whole sets in a join before it links. Large groups are
 linked by stars first: each bucket's members to its first. Then only pairs that no star has
-brought into one component are compared.
+brought into one component are compared, after turns in which each set left outside tries
+another member of the largest component it meets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from math import acos, comb, pi
 
 import numpy as np
@@ -41,6 +43,8 @@ BLOCK = 4_096
 ODD_BITS = 512
 ODD_SHINGLES = 256
 ODD_SLACK = 4.0
+#: Turns of stars go on while one links at least this share of the sets it tried.
+TURN_GAIN = 0.25
 #: Up to so many sets (8 bytes each) are told to the scan that reads them; more are joined by shuffle.
 FEW_SETS = 2_000_000
 #: Sets of so many shingles in all (8 bytes each) are broadcast to their pairs; more are joined by shuffle.
@@ -201,19 +205,43 @@ def _close_pairs(nodes: DataFrame) -> DataFrame:
     return links(one.select("id", "fp"), RADIUS).unionByName(same)
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    return nodes.select("sig", "comp", F.explode("bands").alias("key"))
+
+
+def _retry_pairs(nodes: DataFrame, similarity: float, turn: int) -> DataFrame:
+    """Pairs of a set and a member of the largest component of one of its buckets, where it lies outside.
+
+    The members are drawn anew each turn, one a bucket; of a set's buckets the one whose member's
+    sketch is nearest gives the pair, so there is one pair a set.
+    """
+    rows = _buckets(nodes)
+    drawn = F.min_by("sig", F.xxhash64("sig", F.lit(turn))).alias("a")
+    held = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), drawn)
+    largest = F.max_by(F.struct("comp", "a"), F.struct("c", "comp")).alias("main")
+    mixed = held.groupBy("key").agg(largest, F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    met = rows.join(mixed, "key").where(F.col("comp") != F.col("main.comp")).select("main.a", F.col("sig").alias("b")).distinct()
+    side = lambda name: nodes.select(F.col("sig").alias(name), F.struct(*_NODE).alias("x" + name))
+    both = met.join(side("a"), "a").join(side("b"), "b").where(_may_link("xa", "xb", similarity))
+    apart = _distance("xa.s0", "xb.s0") + _distance("xa.s1", "xb.s1")
+    return both.groupBy("b").agg(F.min_by("a", F.struct(apart.alias("d"), F.col("a"))).alias("a")).select("a", "b")
+
+
 def _open_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of one bucket and two components that may link.
+    """Pairs of one bucket and two components that may link, each from the first bucket that both share.
 
     A bucket's largest component is never paired with itself: others meet all, it meets others.
     """
-    rows = nodes.select("sig", "comp", F.explode("bands").alias("key"))
+    rows = _buckets(nodes)
     held = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = held.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    rows = rows.join(mixed, "key").join(nodes.select("sig", F.struct(*_NODE).alias("x")), "sig")
+    rows = rows.join(mixed, "key").join(nodes.select("sig", F.struct(*_NODE, "bands").alias("x")), "sig")
     rows = written(rows, "near-buckets")
     others = rows.where("comp != main").select("key", F.col("sig").alias("other"), F.col("x").alias("y"), F.col("comp").alias("its"))
     once = (F.col("comp") == F.col("main")) | (F.col("sig") < F.col("other"))
-    met = rows.join(others, "key").where((F.col("comp") != F.col("its")) & once & _may_link("x", "y", similarity))
+    # all buckets that sets of two components share hold two components, so the first is among these rows
+    first = F.col("key") == F.element_at(F.array_intersect("x.bands", "y.bands"), 1)
+    met = rows.join(others, "key").where((F.col("comp") != F.col("its")) & once & _may_link("x", "y", similarity) & first)
     return met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
 
 
@@ -233,6 +261,17 @@ def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFra
     return both.where(shared * (1 + similarity) >= (F.size("ga") + F.size("gb")) * similarity - 1e-9).select("a", "b")
 
 
+def _with_component(nodes: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``nodes`` with ``comp``, the set that stands for the component."""
+    found = nodes.join(grouped, nodes["sig"] == grouped["node"], "left")
+    return found.select(*nodes.columns, F.coalesce("component", "sig").alias("comp"))
+
+
+def _joined(grouped: DataFrame, edges: DataFrame) -> DataFrame:
+    """The components after further edges; those found stand for all edges before."""
+    return components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").unionByName(edges))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row of ``docs``: ``id, component_id``, the smallest id of its component.
 
@@ -245,14 +284,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = written(nodes.where("id is not null"), "near-nodes")
     first = _star_pairs(nodes, similarity).unionByName(_close_pairs(nodes)).distinct()
     edges = written(_verified(written(first, "near-pairs"), marked, similarity), "near-edges")
-    stars = components(edges)
-    comp = nodes.join(stars, nodes["sig"] == stars["node"], "left").select(*nodes.columns, F.coalesce("component", "sig").alias("comp"))
-    pairs = written(_open_pairs(written(comp, "near-nodes"), similarity), "near-pairs")
-    grouped = stars
+    grouped = components(edges)
+    for turn in count():
+        comp = written(_with_component(nodes, grouped), "near-nodes")
+        pairs = written(_retry_pairs(comp, similarity, turn), "near-pairs")
+        tried = pairs.count()
+        more = written(_verified(pairs, marked, similarity), "near-edges") if tried else pairs
+        linked = more.count() if tried else 0
+        if linked:
+            grouped = _joined(grouped, more)
+        if linked <= tried * TURN_GAIN:
+            break
+    if linked:
+        comp = written(_with_component(nodes, grouped), "near-nodes")
+    pairs = written(_open_pairs(comp, similarity), "near-pairs")
     if not pairs.isEmpty():
         more = written(_verified(pairs, marked, similarity), "near-edges")
-        grouped = components(more.unionByName(edges)) if not more.isEmpty() else stars
-    labels = nodes.join(grouped, nodes["sig"] == grouped["node"], "left").select("sig", "id", F.coalesce("component", "sig").alias("comp"))
+        if not more.isEmpty():
+            grouped = _joined(grouped, more)
+    labels = _with_component(nodes, grouped).select("sig", "id", "comp")
     least = labels.groupBy("comp").agg(F.min("id").alias("component_id"))
     labels = labels.join(least, "comp").select(F.col("sig").alias("_sig"), "component_id")
     return marked.join(labels, marked["sig"] == labels["_sig"], "left").select(F.col("id").alias(id_col), "component_id")

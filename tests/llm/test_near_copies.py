@@ -95,3 +95,16 @@ def test_odd_sketches_screen_by_difference():
             other = near_copies.odd_sketches(b)[1]
             words = near_copies.ODD_BITS // 64
             assert sum(int(x ^ y).bit_count() for x, y in zip(odd[:words].view(np.uint64), other[:words].view(np.uint64))) <= 2 * (n // 10)
+
+
+def test_turns_link_a_group_whose_members_are_not_all_alike(spark):
+    """Copies of one text whose changes put many pairs of them below the similarity: the components of brute force."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(f"y{rng.randrange(9999)}" if rng.random() < rng.choice([0.005, 0.02, 0.03]) else w for w in words) for _ in range(200)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    pairs = similar(texts, 0.8)
+    assert len(pairs) < 0.9 * 200 * 199 / 2
+    exact = components(len(texts), pairs)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
+    assert sum(got[d] != exact[d] for d in got) <= 2
