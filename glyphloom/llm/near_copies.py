@@ -82,6 +82,10 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.array(sorted({digest(b" ".join(r), SEED) for r in runs}), np.uint64)
 
 
+def signature(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes(), SEED)
+
+
 def set_fingerprint(grams: np.ndarray) -> int:
     counts = np.zeros(BITS, np.int64)
     for low in range(0, len(grams), 65_536):
@@ -128,8 +132,11 @@ def odd_sketches(grams: np.ndarray) -> tuple[int, np.ndarray]:
     return level, np.concatenate(out)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id, sig, fp, n, s0, s1, level, odd, bands, grams)`` for each row; equal sets have one ``sig``."""
+def _marks(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(id, sig, fp, n, s0, s1, level, odd, bands)`` for each row; equal sets have one ``sig``.
+
+    The sets themselves take more room than the texts and few are compared, so they are made again where needed.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixers = _permutations()
@@ -137,20 +144,35 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
                 grams = [shingle_set(t.as_py(), width) for t in part.column(1)]
-                sig = np.fromiter((xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in grams), np.uint64, len(grams))
+                sig = np.fromiter(map(signature, grams), np.uint64, len(grams))
                 fp = np.fromiter(map(set_fingerprint, grams), np.uint64, len(grams))
                 size = np.fromiter(map(len, grams), np.int64, len(grams))
                 listed = lambda rows: pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(r) for r in rows])], pa.int32()), pa.array(np.concatenate(rows).view(np.int64)))
                 keys, sketch = zip(*(bands(g, mixers) for g in grams))
                 sketch = np.array(sketch)
                 levels, odd = zip(*map(odd_sketches, grams))
-                columns = [part.column(0), *map(pa.array, (sig.view(np.int64), fp.view(np.int64), size, sketch[:, 0], sketch[:, 1], np.array(levels, np.int32))), listed(odd), listed(keys), listed(grams)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "sig", "fp", "n", "s0", "s1", "level", "odd", "bands", "grams"])
+                columns = [part.column(0), *map(pa.array, (sig.view(np.int64), fp.view(np.int64), size, sketch[:, 0], sketch[:, 1], np.array(levels, np.int32))), listed(odd), listed(keys)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "sig", "fp", "n", "s0", "s1", "level", "odd", "bands"])
 
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, f"id {kind}, sig long, fp long, n long, s0 long, s1 long, level int, odd array<bigint>, bands array<bigint>, grams array<bigint>")
+    return source.mapInArrow(run, f"id {kind}, sig long, fp long, n long, s0 long, s1 long, level int, odd array<bigint>, bands array<bigint>")
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """``(sig, grams)`` for each row of ``texts(text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):
+                grams = [shingle_set(t.as_py(), width) for t in batch.column(0).slice(low, 256)]
+                sig = np.fromiter(map(signature, grams), np.uint64, len(grams))
+                ends = pa.array(np.r_[0, np.cumsum([len(g) for g in grams])], pa.int32())
+                sets = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(grams).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), sets], names=["sig", "grams"])
+
+    return texts.mapInArrow(run, "sig long, grams array<bigint>")
 
 
 def _distance(a: str, b: str) -> Column:
@@ -245,12 +267,15 @@ def _open_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough."""
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs whose whole shingle sets are similar enough; ``texts(id, text)`` are those of the nodes' ids."""
     needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    needed = written(needed, "near-needed")
+    needed = written(needed.join(nodes, "sig").select("sig", "id"), "near-needed")
     few = needed.count() <= FEW_SETS
-    sets = marked.select("sig", "grams").join(F.broadcast(needed) if few else needed, "sig", "left_semi")
+    ids = needed.select("id").distinct()
+    sets = _sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text"), width)
+    # rows repeated with a needed id may have other texts
+    sets = sets.join(F.broadcast(needed.select("sig")) if few else needed.select("sig"), "sig", "left_semi")
     sets = written(sets.dropDuplicates(["sig"]), "near-sets")
     shingles = sets.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n")).first()["n"]
     side = lambda sig, grams: sets.select(F.col("sig").alias(sig), F.col("grams").alias(grams))
@@ -279,17 +304,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     * Rows repeated with one id stay separate. A row with a null id has the component of
       the rows of its set, or null. An empty table gives an empty result.
     """
-    marked = written(_sets(docs, id_col, text_col, width), "shingle-sets")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = written(_marks(docs, id_col, text_col, width), "shingle-marks")
     nodes = marked.groupBy("sig").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in (*_NODE, "bands")])
     nodes = written(nodes.where("id is not null"), "near-nodes")
     first = _star_pairs(nodes, similarity).unionByName(_close_pairs(nodes)).distinct()
-    edges = written(_verified(written(first, "near-pairs"), marked, similarity), "near-edges")
+    edges = written(_verified(written(first, "near-pairs"), nodes, texts, width, similarity), "near-edges")
     grouped = components(edges)
     for turn in count():
         comp = written(_with_component(nodes, grouped), "near-nodes")
         pairs = written(_retry_pairs(comp, similarity, turn), "near-pairs")
         tried = pairs.count()
-        more = written(_verified(pairs, marked, similarity), "near-edges") if tried else pairs
+        more = written(_verified(pairs, nodes, texts, width, similarity), "near-edges") if tried else pairs
         linked = more.count() if tried else 0
         if linked:
             grouped = _joined(grouped, more)
@@ -299,7 +325,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         comp = written(_with_component(nodes, grouped), "near-nodes")
     pairs = written(_open_pairs(comp, similarity), "near-pairs")
     if not pairs.isEmpty():
-        more = written(_verified(pairs, marked, similarity), "near-edges")
+        more = written(_verified(pairs, nodes, texts, width, similarity), "near-edges")
         if not more.isEmpty():
             grouped = _joined(grouped, more)
     labels = _with_component(nodes, grouped).select("sig", "id", "comp")
