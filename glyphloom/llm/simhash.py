@@ -130,6 +130,7 @@ def choose_plan(
     differs between two fingerprints; its probes from the values within the threshold.
     ``pairs`` is how many pairs can meet at all, by default every pair.
     """
+    n = max(n, 1)  # an empty table costs nothing whatever the probes, and would get the plan with most of them
     pairs = n * n / 2 if pairs is None else pairs
     p = np.diag(both) / max(n, 1)
     differ = np.clip(2 * p * (1 - p), 1e-3, 0.5)
