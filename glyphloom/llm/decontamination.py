@@ -169,7 +169,7 @@ def seed_filter(seeds: DataFrame) -> np.ndarray:
             bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (where & 63).astype(np.uint64)), start) if len(where) else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(bits.view(np.int64))], names=["cell", "bits"])
 
-    cells = seeds.select("hash").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toPandas()
+    cells = seeds.select("hash").mapInArrow(run, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow().to_pandas()
     out = np.zeros(size // 64, np.uint64)
     out[cells["cell"].to_numpy()] = cells["bits"].to_numpy(np.int64).view(np.uint64)
     return out

@@ -126,7 +126,7 @@ def gram_counts(labelled: DataFrame, text_col: str, lang_col: str) -> pd.DataFra
     ship(labelled.sparkSession)
     pairs = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     each = pairs.mapInPandas(run, "lang string, k int, gram long, n long")
-    return each.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toPandas()
+    return each.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
 
 
 def sample_labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
