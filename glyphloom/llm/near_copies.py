@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import written
+from .common import join_groups, written
 from .components import components
 from .simhash import _LOWER, _WORD, BITS, RADIUS, SEED, links
 
@@ -47,8 +47,8 @@ ODD_SLACK = 4.0
 TURN_GAIN = 0.25
 #: Up to so many sets (8 bytes each) are told to the scan that reads them; more are joined by shuffle.
 FEW_SETS = 2_000_000
-#: Sets of so many shingles in all (8 bytes each) are broadcast to their pairs; more are joined by shuffle.
-FEW_SHINGLES = 8_000_000
+#: Sets of so many shingles in all (8 bytes each) are broadcast to their pairs; of more the hubs only.
+FEW_SHINGLES = 1_000_000
 
 
 def _covering(bits: int, p: float, recall: float) -> int:
@@ -277,10 +277,14 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
     # rows repeated with a needed id may have other texts
     sets = sets.join(F.broadcast(needed.select("sig")) if few else needed.select("sig"), "sig", "left_semi")
     sets = written(sets.dropDuplicates(["sig"]), "near-sets")
-    shingles = sets.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n")).first()["n"]
-    side = lambda sig, grams: sets.select(F.col("sig").alias(sig), F.col("grams").alias(grams))
-    near = F.broadcast if shingles <= FEW_SHINGLES else (lambda x: x)
-    both = pairs.join(near(side("a", "ga")), "a").join(near(side("b", "gb")), "b")
+    if sets.agg(F.coalesce(F.sum(F.size("grams")), F.lit(0)).alias("n")).first()["n"] <= FEW_SHINGLES:
+        side = lambda sig, grams: F.broadcast(sets.select(F.col("sig").alias(sig), F.col("grams").alias(grams)))
+        both = pairs.join(side("a", "ga"), "a").join(side("b", "gb"), "b")
+    else:
+        hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("uses"))
+        hubs = sets.withColumnsRenamed({"sig": "a", "grams": "ga"}).join(hubs, "a")
+        both = join_groups(pairs, hubs, "a", "uses", pairs.count(), "inner")
+        both = both.join(sets.withColumnsRenamed({"sig": "b", "grams": "gb"}), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     # shared / (na + nb - shared) >= similarity
     return both.where(shared * (1 + similarity) >= (F.size("ga") + F.size("gb")) * similarity - 1e-9).select("a", "b")
