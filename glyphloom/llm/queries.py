@@ -13,6 +13,7 @@ from .language_id import op1_language_id
 from .license_scan import op10_license_scan
 from .lm_scoring import op2_lm_scoring
 from .mixing import op6_mixing
+from .prefix_trie import OP11_SQL, op11_prefix_trie
 from .secret_scan import op8_secret_scan
 from .simhash import op5_simhash
 from .token_counts import op3_token_counts
@@ -32,9 +33,10 @@ def queries() -> dict[str, Query]:
         op8_secret_scan,
         op9_decontamination,
         op10_license_scan,
+        op11_prefix_trie,
     )
     return {f.__name__: f for f in each}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op11_prefix_trie": OP11_SQL}
