@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -13,9 +13,6 @@ from ..tables import icu
 from .casing import fold
 from .normalize import nfd
 
-#: Rounds after which an iterated skeleton is taken as it is.
-MAX_ROUNDS = 32
-
 _prototypes: dict[str, dict[int, str]] = {}
 
 
@@ -32,6 +29,14 @@ def confusable_class() -> str:
     return icu.char_class(*sorted(prototype_map()))
 
 
+def step_table(spark: SparkSession) -> DataFrame:
+    """``(source, target)``: one step of each character that folds or else has a prototype, which is folded in turn."""
+    cps = spark.range(0, 0x110000, 1, 8).where("id not between 55296 and 57343").select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("source"))
+    folded = cps.withColumn("target", fold(F.col("source"))).where("source != target")
+    known = spark.createDataFrame([(chr(cp), t) for cp, t in prototype_map().items()], "source string, target string")
+    return folded.unionByName(known.join(folded, "source", "left_anti").withColumn("target", fold(F.col("target"))))
+
+
 def substitute(s: Column) -> Column:
     """Each character to its prototype, once."""
     spark = SparkSession.active()

@@ -80,7 +80,7 @@ def punycode_decode(text: str) -> str | None:
             weight, k = weight * (BASE - t), k + BASE
         bias = _adapt(i - start, len(out) + 1, start == 0)
         n, i = n + i // (len(out) + 1), i % (len(out) + 1)
-        if n > 0x10FFFF:
+        if n > 0x10FFFF or 0xD800 <= n < 0xE000:
             return None
         out.insert(i, chr(n))
         i += 1
@@ -140,18 +140,43 @@ class Options:
 
     check_hyphens: bool = True
     check_bidi: bool = True
+    check_joiners: bool = True
     std3_rules: bool = True
     transitional: bool = False
     dns_length: bool = True
 
 
+#: Letters that stand for joining types, and for the joiners themselves: virama, left, right and dual joining, transparent.
+JOINING_LETTERS = (("[:ccc=9:]", "V"), ("[:jt=L:]", "L"), ("[:jt=R:]", "R"), ("[:jt=D:]", "D"), ("[:jt=T:]", "T"))
+#: A label none of whose joiners is out of place: a non-joiner (n) after a virama or between joining letters with
+#: transparent characters in between, a joiner (j) after a virama.
+_JOINED = r"^(?:[LD][TV]*+n(?=[TV]*+[RD])|(?<=V)[nj]|[^nj])*+\z"
+
+
+def joining_letters(s: Column) -> Column:
+    """A text as one letter for each character: ``n`` and ``j`` for the joiners, joining types, a dot for all else."""
+    marks, taken, out = [], icu.char_class((0x10F000, 0x10F0FF)), F.regexp_replace(s, icu.char_class((0x10F000, 0x10F0FF)), ".")
+    for k, (pattern, letter) in enumerate((("[\\u200C]", "n"), ("[\\u200D]", "j"), *JOINING_LETTERS)):
+        out = F.regexp_replace(out, icu.regex(pattern), chr(0x10F000 + k))  # what has a letter is no longer in later classes
+        marks.append(letter)
+    spelt = F.regexp_replace(out, f"[^{taken[1:]}", ".")
+    return F.translate(spelt, "".join(chr(0x10F000 + k) for k in range(len(marks))), "".join(marks))
+
+
+def joiners_in_place(s: Column) -> Column:
+    """Whether each zero-width joiner and non-joiner of a label stands where the contextual rules allow one."""
+    return F.when(s.rlike("[\u200c\u200d]"), joining_letters(s).rlike(_JOINED)).otherwise(s.isNotNull() | F.lit(None))
+
+
 def valid_label(label: Column, options: Options = Options()) -> Column:
-    """Hyphens, leading mark, STD3 characters, disallowed characters and the bidi rule."""
+    """Hyphens, leading mark, STD3 characters, disallowed characters, joiners in their context and the bidi rule."""
     ok = (label != "") & ~label.rlike(f"^{icu.regex('[:M:]')}") & ~label.rlike(_mapping()[1])
     if options.check_hyphens:
         ok = ok & ~label.rlike(r"^-|-\z|^..--")
     if options.std3_rules:
         ok = ok & ~F.regexp_replace(label, r"[^\x00-\x7F]", "").rlike(r"[^a-z0-9-]")
+    if options.check_joiners:
+        ok = ok & joiners_in_place(label)
     return ok & bidi_rule(label) if options.check_bidi else ok
 
 
@@ -184,7 +209,7 @@ def _unicode_domain(domain: str) -> str:
 def to_unicode(s: Column, options: Options = Options()) -> Column:
     """``(value, has_errors)``: a domain mapped, with its ``xn--`` labels decoded, and whether a label fails.
 
-    A decoded label has to be in NFC and to map to itself. Joiners' contexts are not checked.
+    A decoded label has to be in NFC and to map to itself.
     """
     mapped = idna_map(s, options.transitional)
     decoded = _series(_unicode_domain)(mapped)

@@ -101,31 +101,45 @@ def _class_letters(s: Column, prop: str, letters: dict[str, str]) -> Column:
 
 def _word_pattern() -> str:
     x = "[xz]*+"
-    # runs of one class go in one step, so that a long word is no deep recursion
-    letters = f"(?:A+{x}(?:[mqs]{x}(?=[AH]))?|H+{x}(?:d{x}(?=H)|[mqs]{x}(?=[AH])|s{x})?|N+{x}(?:[nqs]{x}(?=N))?)+"
-    kana = f"(?:K+{x})+"
-    run = f"(?:(?:E{x})*(?:{letters}|{kana})(?:(?:E{x})+(?:{letters}|{kana}))*(?:E{x})*|(?:E{x})+)"
-    pictured = f"(?:(?<=z)P{x})*"
-    return f"(?:rl|[rlb]|R{x}R{x}{pictured}|{run}{pictured}|w+{x}{pictured}|[^rlb]{x}{pictured})"
+    # loops over groups are possessive: Java runs those in a loop, and all others one call deeper for each turn;
+    # what may follow a group starts with other letters, so nothing is lost by not going back
+    letters = f"(?:A++{x}(?:[mqs]{x}(?=[AH]))?+|H++{x}(?:d{x}(?=H)|[mqs]{x}(?=[AH])|s{x})?+|N++{x}(?:[nqs]{x}(?=N))?+)++"
+    kana = f"(?:K++{x})++"
+    run = f"(?:(?:E{x})*+(?:{letters}|{kana})(?:(?:E{x})++(?:{letters}|{kana}))*+(?:E{x})*+|(?:E{x})++)"
+    pictured = f"(?:(?<=z)P{x})*+"
+    return f"(?:rl|[rlb]|R{x}R{x}{pictured}|{run}{pictured}|w++{x}{pictured}|[^rlb]{x}{pictured})"
 
 
 def _sentence_pattern() -> str:
     x = "x*+"
     para = "(?:rl|[rlp])"
-    close, spaces = f"(?:c{x})*", f"(?:w{x})*"
-    plain = "[^rlptT]++"
-    a_goes_on = f"t{x}(?=N)|(?<=[aU]x{{0,50}})t{x}(?=U)|t{x}{close}{spaces}(?=[^OUarlptT]*a)"
+    close, spaces = f"(?:c{x})*+", f"(?:w{x})*+"
+    # letters take a full stop between them and an upper-case letter along, whatever marks are in between
+    plain = f"[^rlptTaU]++|[aU]++{x}(?:t{x}(?=U))?+"
+    a_goes_on = f"t{x}(?=N)|t{x}{close}{spaces}(?=[^OUarlptT]*+a)"
     goes_on = f"(?:{a_goes_on}|[tT]{x}{close}{spaces}(?=[stT]))"
     stop = f"[tT]{x}{close}{spaces}{para}?"
     return f"(?:(?:{plain}|{goes_on})*+(?:{stop}|{para}|\\z)|{para})"
 
 
+#: Marks cuts in texts that do not contain it: a noncharacter.
+_MARK = "\U0010fffe"
+
+
 def _cut(s: Column, classes: Column, pattern: str) -> Column:
-    """Pieces of ``s`` of the lengths of the matches of ``pattern`` in its class letters."""
+    """Pieces of ``s`` of the lengths of the matches of ``pattern`` in its class letters.
+
+    A mark goes before each piece's first character and the text is split there, one pass over it. A text that has the
+    mark itself is cut piece by piece.
+    """
     runs = F.filter(F.regexp_extract_all(classes, F.lit(f"({pattern})"), F.lit(1)), lambda r: r != "")
+    firsts = F.flatten(F.transform(runs, lambda r: F.concat(F.array(F.lit(_MARK)), F.array_repeat(F.lit(""), F.length(r) - 1))))
+    marked = F.array_join(F.zip_with(firsts, chars(s), lambda m, c: F.concat(m, c)), "")
+    pieces = F.split(marked, _MARK)
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
     step = lambda a, r: F.struct((a["at"] + F.length(r)).alias("at"), F.array_append(a["out"], F.substring(s, a["at"], F.length(r))).alias("out"))
-    return F.aggregate(runs, start, step, lambda a: a["out"])
+    slow = F.aggregate(runs, start, step, lambda a: a["out"])
+    return F.when(s == "", F.array().cast("array<string>")).when(s.contains(_MARK), slow).otherwise(F.slice(pieces, 2, F.size(pieces)))
 
 
 def words(s: Column) -> Column:

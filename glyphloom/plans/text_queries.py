@@ -105,15 +105,20 @@ def utf8_valid_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", codec.utf8_valid(F.col("data")).alias("value"))
 
 
-def utf8_valid_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the valid part of every text's whole bytes ends, and why: broken as in ``utf8_valid_whole``, but between characters."""
+def broken_utf8() -> Column:
+    """Every text's whole bytes, broken as in ``utf8_valid_whole``, but between characters."""
     half = F.floor(F.length("text") / 2).cast("int")
     bits = lambda x: F.encode(x, "UTF-8")
     made, turn = bits(F.col("text")), F.pmod("doc_id", F.lit(4))
     middle = F.concat(bits(F.substring("text", F.lit(1), half)), F.unhex(F.lit("C3")), bits(F.substring("text", half + 1, F.lit(2**31 - 1))))
     for i, broken in enumerate((F.concat(F.unhex(F.lit("80")), bits(F.col("text"))), middle, F.concat(bits(F.col("text")), F.unhex(F.lit("E282")))), 1):
         made = F.when(turn == i, broken).otherwise(made)
-    rows = read(spark, sf_dir, "documents").select("doc_id", codec.first_invalid_utf8(made).alias("x"))
+    return made
+
+
+def utf8_valid_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the valid part of every text's whole bytes ends, and why."""
+    rows = read(spark, sf_dir, "documents").select("doc_id", codec.first_invalid_utf8(broken_utf8()).alias("x"))
     return rows.select("doc_id", F.concat_ws(":", F.col("x.offset").cast("string"), "x.kind").alias("value"))
 
 

@@ -149,6 +149,7 @@ def prototypes(spark: SparkSession) -> dict[int, str]:
     for low in range(0, len(todo), 50_000):
         part = todo[low : low + 50_000]
         found = checker.getSkeleton("\u0001".join(map(chr, part))).split("\u0001")
-        if len(found) == len(part):
-            out.update({cp: s for cp, s in zip(part, found) if s and s != chr(cp)})
+        if len(found) != len(part):
+            raise ValueError("ICU's skeletons do not line up with their characters")
+        out.update({cp: s for cp, s in zip(part, found) if s and s != chr(cp)})
     return out
