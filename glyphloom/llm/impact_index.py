@@ -56,14 +56,14 @@ class ImpactIndex:
 class _Block:
     """Documents gathered until the block is full."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int) -> None:
         self.docs: list[tuple[object, bytes]] = []
-        self.size = 0
+        self.size, self.most = 0, most
 
     def add(self, key: object, data: bytes) -> bool:
         self.docs.append((key, data))
         self.size += len(data)
-        return len(self.docs) >= BLOCK_DOCS or self.size >= BLOCK_BYTES
+        return len(self.docs) >= self.most or self.size >= BLOCK_BYTES
 
     def batches(self, n_docs: int, n_terms: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         self.docs.sort(key=lambda d: (d[0] is None, d[0]))  # then lower places are smaller ids
@@ -103,7 +103,7 @@ class _Block:
             yield pa.RecordBatch.from_arrays([block(b - a), pa.array(words[a:b], pa.binary()), pa.array(n[a:b], pa.int32()), lists, bits, pa.nulls(b - a, schema.field("ids").type)], schema=schema)
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> ImpactIndex:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> ImpactIndex:
     """Index every row and every term of ``docs``.
 
     One scan counts terms, for impacts depend on the average length; a second one writes each block where its
@@ -122,7 +122,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made, block = TaskContext.get().partitionId() << 32, 0, _Block()
+        part, made, block = TaskContext.get().partitionId() << 32, 0, _Block(block_docs)
 
         def flush() -> Iterator[pa.RecordBatch]:
             for batch in block.batches(n_docs, n_terms, schema):
@@ -132,7 +132,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for k, data in zip(batch.column(0), batch.column(1).cast(pa.binary())):
                 if block.add(k.as_py(), data.as_py()):
                     yield from flush()
-                    made, block = made + 1, _Block()
+                    made, block = made + 1, _Block(block_docs)
         if block.docs:
             yield from flush()
 

@@ -357,7 +357,8 @@ def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP13_SQL = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT r, i, md5(substr(x, 2 * i + 1, 200)) AS s FROM d, unnest(range(0, length(x) // 2 - 99)) AS u(i)),
+c AS (SELECT r, p, substr(x, (2 * p + 1)::BIGINT, 710) AS y FROM d, unnest(range(0, length(x) // 2 - 99, 256)) AS u(p)),
+w AS (SELECT r, p + j AS i, md5_number(substr(y, (2 * j + 1)::BIGINT, 200)) AS s FROM c, unnest(range(0, least(256, length(y) // 2 - 99))) AS u(j)),
 f AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY r, i) AS n FROM w) WHERE n > 1),
 g AS (SELECT r, i, CASE WHEN lag(i) OVER (PARTITION BY r ORDER BY i) >= i - 100 THEN 0 ELSE 1 END AS new FROM f),
 h AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k FROM g),
