@@ -18,37 +18,116 @@ def fold(s: Column) -> Column:
     return F.when(s.isNotNull(), done)
 
 
-def upper(s: Column) -> Column:
-    """Full upper case; a letter may become several."""
-    return F.upper(s)
+#: The conditional rules of case mapping. Code point, lower, title and upper case, language, condition.
+RULES = (
+    ("Σ", "ς", "Σ", "Σ", "", "Final_Sigma"),
+    ("\u0307", "\u0307", "", "", "lt", "After_Soft_Dotted"),
+    ("I", "i\u0307", "I", "I", "lt", "More_Above"),
+    ("J", "j\u0307", "J", "J", "lt", "More_Above"),
+    ("Į", "į\u0307", "Į", "Į", "lt", "More_Above"),
+    ("Ì", "i\u0307\u0300", "Ì", "Ì", "lt", ""),
+    ("Í", "i\u0307\u0301", "Í", "Í", "lt", ""),
+    ("Ĩ", "i\u0307\u0303", "Ĩ", "Ĩ", "lt", ""),
+    ("İ", "i", "İ", "İ", "tr", ""),
+    ("\u0307", "", "\u0307", "\u0307", "tr", "After_I"),
+    ("I", "ı", "I", "I", "tr", "Not_Before_Dot"),
+    ("i", "i", "İ", "İ", "tr", ""),
+)
+LANGUAGES = {"default": "", "turkish": "tr", "azeri": "tr", "lithuanian": "lt"}
+#: Results stand for themselves until every rule has looked at the text as it was.
+_HOLD = 0x10F100
 
 
-def _final_sigma(s: Column) -> Column:
-    """Lower-case capital sigma at a word's end: after a cased letter and before none.
+def condition_pattern(source: str, condition: str) -> tuple[str, str]:
+    """A pattern for ``source`` under a condition, and what of the match stays in front of it.
 
-    Only combining marks are skipped on either side.
+    Conditions that look ahead are lookaheads of any length; those that look back match what they
+    look at, for a lookbehind would have to be bounded.
     """
-    cased, marks = icu.regex("[:Cased:]"), icu.regex("[:^ccc=0:]")
-    done = F.regexp_replace(s, f"Σ(?<={cased}{marks}{{0,30}}Σ)(?!{marks}*+{cased})", "ς")
-    return F.when(s.contains("Σ"), done).otherwise(s)
+    marks, between, above = icu.regex("[:^ccc=0:]"), icu.regex("[[:^ccc=0:]-[:ccc=230:]]"), icu.regex("[:ccc=230:]")
+    cased = icu.regex("[:Cased:]")
+    before = {"Final_Sigma": f"({cased}{marks}*+)", "After_Soft_Dotted": f"({icu.regex('[:Soft_Dotted:]')}{between}*+)", "After_I": f"(I{between}*+)"}.get(condition, "()")
+    after = {"Final_Sigma": f"(?!{marks}*+{cased})", "More_Above": f"(?={between}*+{above})", "Not_Before_Dot": f"(?!{icu.regex('[[:^ccc=0:]-[̇]]')}*+̇)"}.get(condition, "")
+    return f"{before}{source}{after}", "$1"
+
+
+def _mapped(s: Column, locale: str, case: str) -> Column:
+    """``s`` with the rules of a language applied, each to the text as it was, and all else by ``case``.
+
+    A rule's result is held by a private code point until the rest is mapped. Rules that look at a letter which
+    another rule maps come first: a dot after I before I itself.
+    """
+    column = {"lower": 1, "title": 2, "upper": 3}[case]
+    chosen = [r for r in RULES if r[4] in ("", LANGUAGES[locale]) and r[column] != r[0]]
+    order = ("After_I", "After_Soft_Dotted", "Final_Sigma", "More_Above", "Not_Before_Dot", "")
+    out, held = s, []
+    # a dot that goes is only marked, so that the I before it still sees it
+    for k, rule in enumerate(sorted(chosen, key=lambda r: order.index(r[5]))):
+        source, result = rule[0], rule[column]
+        pattern, kept = condition_pattern(source, rule[5])
+        hold = chr(_HOLD + k)
+        if rule[5] == "Not_Before_Dot":
+            pattern = pattern.replace("*+̇)", f"*+[̇{''.join(h for h, r in held if r == '')}])")
+        out = F.when(out.contains(source), F.regexp_replace(out, pattern, f"{kept}{hold}")).otherwise(out)
+        held.append((hold, result))
+    out = _rest(out, case)
+    for hold, result in held:
+        out = F.replace(out, F.lit(hold), F.lit(result))
+    return out
+
+
+def _rest(s: Column, case: str) -> Column:
+    if case == "upper":
+        return F.upper(s)
+    if case == "lower":
+        return F.lower(F.replace(s, F.lit(DOTTED_I), F.lit("i̇")))
+    changing = icu.regex("[:CWT:]")
+    return F.when(~s.rlike(changing), s).otherwise(F.array_join(F.transform(chars(s), lambda c: F.when(c.rlike(changing), title_character(c)).otherwise(c)), ""))
+
+
+def title_character(c: Column) -> Column:
+    """Title case of one character: its simple mapping, or the full upper case with all but the first letter small.
+
+    A subscript iota stays one, and what starts with a character without case stays in capitals.
+    """
+    simple = icu.simple_title(F.ascii(c))
+    single = F.decode(F.unhex(F.lpad(F.hex(simple), 8, "0")), "UTF-32")
+    full = F.upper(c)
+    tail = F.substring(full, F.lit(2), F.length(full))
+    iota = F.concat(F.substring(tail, F.lit(1), F.length(tail) - 1), F.lit("\u0345"))
+    small = F.when(tail.endswith("Ι"), iota).otherwise(F.lower(tail))
+    spelt = F.when(F.substring(full, 1, 1).rlike(icu.regex("[:Cased:]")), F.concat(F.substring(full, 1, 1), small)).otherwise(full)
+    return F.when((F.length(full) > 1) & (single == c), spelt).otherwise(single)
+
+
+def upper(s: Column, locale: str = "default") -> Column:
+    """Full upper case; a letter may become several. ``locale`` is default, turkish, azeri or lithuanian."""
+    return F.upper(s) if locale == "default" else _mapped(s, locale, "upper")
 
 
 def lower(s: Column, locale: str = "default") -> Column:
-    """Full lower case. ``locale`` is default, turkish, azeri or lithuanian."""
-    if locale in ("turkish", "azeri"):
-        # a dot above directly after I belongs to it; so does one after marks of another class
-        marks = icu.regex("[[:^ccc=0:]-[:ccc=230:]]")
-        s = F.when(s.contains("\u0307"), F.regexp_replace(s, f"I({marks}*)̇", "i$1")).otherwise(s)
-        s = F.translate(s, f"I{DOTTED_I}", "ıi")
-    if locale == "lithuanian":
-        above = icu.regex("[:ccc=230:]")
-        between = icu.regex("[[:^ccc=0:]-[:ccc=230:]]")
-        s = F.regexp_replace(s, f"([IJĮ])(?={between}*+{above})", "$1̇")
-        for cap, low in (("Ì", "i̇̀"), ("Í", "i̇́"), ("Ĩ", "i̇̃")):
-            s = F.replace(s, F.lit(cap), F.lit(low))
-    return F.lower(F.replace(_final_sigma(s), F.lit(DOTTED_I), F.lit("i̇")))
+    """Full lower case, with a sigma at a word's end. ``locale`` is default, turkish, azeri or lithuanian."""
+    return _mapped(s, locale, "lower")
+
+
+def title(s: Column, locale: str = "default") -> Column:
+    """Each character in title case (not each word's first): what a caller takes the first character of."""
+    return _mapped(s, locale, "title")
+
+
+def holds(s: Column, source: str, condition: str) -> Column:
+    """How often ``source`` stands in a text under a condition of the rules."""
+    return F.regexp_count(s, F.lit(condition_pattern(source, condition)[0]))
 
 
 def simple_upper(s: Column) -> Column:
     """One-to-one upper case of each code point, as code points."""
     return F.transform(chars(s), lambda c: icu.simple_upper(F.ascii(c)))
+
+
+def simple_lower(s: Column) -> Column:
+    return F.transform(chars(s), lambda c: icu.simple_lower(F.ascii(c)))
+
+
+def simple_title(s: Column) -> Column:
+    return F.transform(chars(s), lambda c: icu.simple_title(F.ascii(c)))

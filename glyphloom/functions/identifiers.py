@@ -31,6 +31,22 @@ def allowed_identifier(s: Column) -> Column:
     return default_identifier(s) & s.rlike(f"^{icu.regex(ALLOWED)}+\\z")
 
 
+#: Types of characters in identifiers; a character may be of several.
+IDENTIFIER_TYPES = (
+    "Recommended", "Inclusion", "Uncommon_Use", "Technical", "Obsolete", "Limited_Use", "Exclusion", "Not_XID", "Not_NFKC", "Default_Ignorable", "Deprecated", "Not_Character",
+)
+
+
+def identifier_types(s: Column) -> Column:
+    """The types of a text's characters, in the order of IDENTIFIER_TYPES."""
+    return F.array_compact(F.array(*[F.when(s.rlike(icu.regex(f"[:Identifier_Type={n}:]")), F.lit(n)) for n in IDENTIFIER_TYPES]))
+
+
+def of_types(s: Column, *types: str) -> Column:
+    """Whether every character of a text is of one of the types."""
+    return s.rlike(f"^{icu.regex('[' + ''.join(f'[:Identifier_Type={n}:]' for n in types) + ']')}*+\\z")
+
+
 def restricted_positions(s: Column) -> Column:
     return positions(s, icu.regex(ALLOWED, negated=True))
 

@@ -30,6 +30,33 @@ def display_width(s: Column, wide_ambiguous: bool = False) -> Column:
     return F.when(plain, F.length(s)).when(latin, F.length(s) - _count(s, r"[\x00-\x1F\x7F-\x{9F}]")).otherwise(F.length(s) - _count(s, none) + _count(s, two))
 
 
+def _emoji_cluster() -> str:
+    """What makes a cluster an emoji: a character shown as one, a pictograph, an emoji selector or a regional indicator."""
+    return icu.regex(r"[[:Emoji_Presentation:][:ExtPict:]\uFE0F\U0001F1E6-\U0001F1FF]")
+
+
+def cluster_width(cluster: Column, wide_ambiguous: bool = False) -> Column:
+    """Columns that one grapheme cluster takes: two for emoji, else those of its widest character."""
+    none = icu.regex(r"[[:Cc:][:Mn:][:Me:]‌‍︀-️]")
+    wide = "[[:ea=W:][:ea=F:]" + ("[:ea=A:]" if wide_ambiguous else "") + "]"
+    two = icu.regex(f"[{wide}-[[:Cc:][:Mn:][:Me:]\\u200C\\u200D\\uFE00-\\uFE0F]]")
+    return F.when(cluster.rlike(_emoji_cluster()), 2).when(cluster.rlike(two), 2).when(cluster.rlike(f"[^{none[1:]}"), 1).otherwise(0)
+
+
+def display_width_clusters(s: Column, wide_ambiguous: bool = False) -> Column:
+    """Columns that a text takes, cluster by cluster: a joined emoji takes two, a letter with its marks those of the letter.
+
+    Latin text has clusters of one character but for line ends, and needs no cutting.
+    """
+    from . import segments
+
+    emoji = F.regexp_count(s, F.lit("[©®]"))
+    latin = F.lit(not wide_ambiguous) & s.rlike(r"^[\x{0}-\x{FF}]*\z")
+    short = F.length(s) - _count(s, r"[\x00-\x1F\x7F-\x{9F}]") + emoji
+    folded = F.aggregate(segments.graphemes(s), F.lit(0), lambda n, c: n + cluster_width(c, wide_ambiguous))
+    return F.when(latin, short).otherwise(folded)
+
+
 def orientation(s: Column) -> Column:
     """Vertical orientation of each character: Upright or Rotated."""
     upright = icu.regex("[[:vo=U:][:vo=Tu:]]")

@@ -106,18 +106,6 @@ def selector_payload(s: Column) -> Column:
     return pairs
 
 
-def payload_hint(s: Column) -> Column:
-    """What the payload looks like: empty, binary, javascript, shell or ascii."""
-    data = selector_payload(s)
-    text = F.decode(F.unhex(F.array_join(F.transform(data, lambda b: F.lpad(F.hex(b), 2, "0")), "")), "ISO-8859-1")
-    script = r"^(?:eval\(|Function\(|\(function|javascript:|atob\()"
-    shell = r"^(?:sh -c |bash -c |curl |wget |/bin/sh)"
-    return (
-        F.when(F.size(data) == 0, "empty").when(text.rlike(r"[^\x20-\x7E\t\n\r]"), "binary").when(text.rlike(script), "javascript")
-        .when(text.rlike(shell), "shell").otherwise("ascii")
-    )
-
-
 def variation_selector_payload(s: Column) -> Column:
     found = let(suspicious_selectors(s), lambda bad: _selector_verdict(s, bad))
     return F.when(s.rlike(layout.VARIATION_SELECTOR), found).otherwise(verdict((F.lit(False), "", empty())))
@@ -461,23 +449,22 @@ def mnemonic_words(s: Column, form: Column | None = None) -> Column:
 
 
 def with_mnemonic(df: DataFrame, column: str, wordlists: DataFrame, out: str = "mnemonic") -> DataFrame:
-    """Add ``(unknown, covered)``: the place of the first word of no list, and whether one list has all words.
+    """Add ``(unknown, covered, language)``: the place of the first word of no list, whether one list has all words, and the first such list.
 
     ``wordlists(lang, word)`` is a table of up to 62 lists. Words meet it in an equality join,
-    each list being one bit.
+    each list being one bit; what is found goes back by the digest of the text, so equal texts share it.
     """
     langs = sorted(r["lang"] for r in wordlists.select("lang").distinct().limit(63).collect())
     if len(langs) > 62:
         raise ValueError("more than 62 word lists")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.array_position(F.array(*map(F.lit, langs)).cast("array<string>"), F.col("lang")).cast("int") - 1)
     known = wordlists.select(nfkd(F.col("word")).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_lists"))
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    parts = rows.select("_row", F.posexplode(mnemonic_words(F.col(column))).alias("_at", "_word")).join(known, "_word", "left")
-    state = parts.groupBy(F.col("_row").alias("_r")).agg(
-        F.min(F.when(F.col("_lists").isNull(), F.col("_at"))).alias("unknown"), (F.bit_and(F.coalesce("_lists", F.lit(0).cast("long"))) != 0).alias("covered")
-    )
-    found = rows.join(state, F.col("_row") == F.col("_r"), "left")
-    return found.select(*df.columns, F.struct("unknown", F.coalesce("covered", F.lit(True)).alias("covered")).alias(out))
+    rows = df.withColumn("_key", F.sha2(F.col(column), 256))
+    parts = rows.select("_key", F.posexplode(mnemonic_words(F.col(column))).alias("_at", "_word")).join(known, "_word", "left")
+    state = parts.groupBy("_key").agg(F.min(F.when(F.col("_lists").isNull(), F.col("_at"))).alias("unknown"), F.bit_and(F.coalesce("_lists", F.lit(0).cast("long"))).alias("_all"))
+    found = rows.join(state, "_key", "left")
+    language = F.get(F.filter(F.transform(F.array(*map(F.lit, langs)).cast("array<string>"), lambda n, i: F.when(F.call_function("getbit", F.coalesce("_all", F.lit(0).cast("long")), i) == 1, n)), lambda n: n.isNotNull()), F.lit(0))
+    return found.select(*df.columns, F.struct("unknown", (F.coalesce("_all", F.lit(1).cast("long")) != 0).alias("covered"), language.alias("language")).alias(out))
 
 
 def bip39_canonical(s: Column, mnemonic: Column | None = None, forms: dict[str, Column] | None = None) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.codec import from_codepoints
-from . import detectors
+from . import detectors, metrics
 
 #: Keys of a row's attribution that are a signed text's context, in the detector's order.
 CONTEXT = ("declaredEnc", "rfcRule", "asWritten", "serverBytes")
@@ -32,7 +32,7 @@ def _detector(family: str, s: Column) -> Column:
 
 
 def verdicts(rows: DataFrame, wordlists: DataFrame) -> DataFrame:
-    """``rows`` with ``found`` (tag and positions) and whether both agree with what is expected."""
+    """``rows`` with ``found`` (tag and positions), whether both agree with what is expected, and whether what the attribution claims of the figures does."""
     rows = rows.withColumn("text", from_codepoints(F.col("input")))
     name = F.concat(F.lower(F.substring("family", 1, 1)), F.substring("family", 2, 100))
     parts = []
@@ -42,7 +42,11 @@ def verdicts(rows: DataFrame, wordlists: DataFrame) -> DataFrame:
             own = detectors.with_target(own, "text")
         if family == "bip39Canonical":
             own = detectors.with_mnemonic(own, "text", wordlists)
-        parts.append(own.withColumn("found", _detector(family, F.col("text"))).select(*rows.columns, "found"))
+        found = own.withColumn("found", _detector(family, F.col("text")))
+        # only a clear mnemonic has a language
+        more = {"language": F.when(F.col("found.tag").isNull(), F.col("mnemonic.language")).otherwise("")} if family == "bip39Canonical" else None
+        claims = metrics.agrees(F.col("attribution"), F.col("text"), family, more)
+        parts.append(found.select(*rows.columns, "found", claims.alias("same_figures")))
     both = reduce(DataFrame.unionByName, parts)
     same = F.col("tag").eqNullSafe(F.col("found.tag"))
     return both.withColumn("same_tag", same).withColumn("same_positions", F.array_sort("positions") == F.array_sort("found.positions"))

@@ -7,11 +7,12 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec, confusables, domains
+from ..functions import casing, confusables, domains, identifiers, layout
 from ..intermediate import shared_folder
-from ..operators import chains, emoji, ordering, ranges
+from ..operators import chains, emoji, lookalikes, metrics, ordering, property_names, ranges
 from ..streaming import utf8_chunks
-from .text_queries import Query, broken_utf8, injected, injected_sql, read
+from ..tables import curated, icu
+from .text_queries import Query, broken_utf8, injected, injected_sql, over_documents, read
 
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -160,6 +161,157 @@ FROM d WHERE t <> ''
 """
 
 
+#: Spellings of property names and what they name, put into documents as words; the last ones name none.
+_PROPERTY_WORDS = {"Line_Break": "lb", "line-break": "lb", "GRAPHEMEclusterBREAK": "GCB", "sc": "sc", "Script": "sc", "white_space": "WSpace", "NFC_QC": "NFC_QC", "No_Such_Name": None, "scripts": None}
+
+
+def property_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that name a Unicode property, loosely spelt, by property."""
+    docs = read(spark, sf_dir, "documents").select(injected(F.col("text"), F.col("doc_id"), [f" \u00a7{w}\u00a7 " for w in _PROPERTY_WORDS]).alias("t"))
+    words = docs.select(F.explode(F.regexp_extract_all("t", F.lit("\u00a7([A-Za-z_-]+)\u00a7"), F.lit(1))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = property_names.resolved(words, "word", icu.property_aliases(spark))
+    return found.groupBy("property").agg(F.sum("n").alias("n"))
+
+
+PROPERTY_WORD_SQL = f"""
+SELECT property, count(*) AS n FROM documents JOIN (VALUES {", ".join(f"({i}, {'NULL' if p is None else repr(p)})" for i, p in enumerate(_PROPERTY_WORDS.values()))}) AS v(turn, property)
+ON doc_id % {len(_PROPERTY_WORDS)} = turn WHERE text IS NOT NULL GROUP BY property
+"""
+
+#: Numerals and their values, put into documents.
+_NUMERALS = {"\u4e00\u4e8c\u5341": 13, "\u767e": 100, "\u58f9": 1, "\u00bd": 0.5, "\u2167": 8, "\u0663": 3, "x": 0}
+
+
+def numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many numerals beyond ASCII each document has, and the sum of their values."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", injected(F.col("text"), F.col("doc_id"), list(_NUMERALS)).alias("t"))
+    counts = ranges.codepoint_counts(docs.withColumn("t", F.regexp_replace("t", r"[\x00-\x{B1}\x{B4}-\x{B8}\x{BA}\x{BB}\x{BF}-\x{FF}]", "")), "doc_id", "t")
+    # values are looked up once for each character of the whole table
+    values = counts.select("cp").distinct().withColumn("v", icu.numeric_value(F.col("cp"))).where("v is not null")
+    return counts.join(values, "cp").groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("total"))
+
+
+NUMERAL_SQL = f"""
+SELECT doc_id, n::BIGINT AS n, total::DOUBLE AS total FROM documents JOIN (VALUES {", ".join(f"({i}, {len(t)}, {v})" for i, (t, v) in enumerate(_NUMERALS.items()) if v)}) AS v(turn, n, total)
+ON doc_id % {len(_NUMERALS)} = turn WHERE text IS NOT NULL
+"""
+
+#: Texts for case mapping by language: what is put in, and it in lower, title and upper case.
+_TURKISH = {"I\u0307": ("i", "I\u0307", "I\u0307"), "I\u0301\u0307": ("i\u0301\u0307", "I\u0301\u0307", "I\u0301\u0307"), "i": ("i", "\u0130", "\u0130"), "\u0130": ("i", "\u0130", "\u0130"), "I": ("\u0131", "I", "I"), "I\u0323\u0307": ("i\u0323", "I\u0323\u0307", "I\u0323\u0307")}
+_LITHUANIAN = {"I\u0301": ("i\u0307\u0301", "I\u0301", "I\u0301"), "j\u0307": ("j\u0307", "J", "J"), "\u012e\u0323\u0300": ("\u012f\u0307\u0323\u0300", "\u012e\u0323\u0300", "\u012e\u0323\u0300"), "\u00cc": ("i\u0307\u0300", "\u00cc", "\u00cc"), "Jx": ("jx", "JX", "JX"), "\u012f\u0323\u0307": ("\u012f\u0323\u0307", "\u012e\u0323", "\u012e\u0323")}
+
+
+def _cases(locale: str, texts: dict[str, tuple[str, str, str]]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^B-HK-Zb-hk-z]", "").alias("text"))
+        docs = docs.select("doc_id", injected(F.col("text"), F.col("doc_id"), list(texts)).alias("t"))
+        return docs.select("doc_id", *[F.sha2(f(F.col("t"), locale), 256).alias(n) for n, f in (("lowered", casing.lower), ("titled", casing.title), ("uppered", casing.upper))])
+
+    return run
+
+
+def _cases_sql(texts: dict[str, tuple[str, str, str]]) -> str:
+    spelt = lambda t: " || ".join(f"chr({ord(c)})" for c in t) or "''"
+    pick = lambda i: "CASE doc_id % " + str(len(texts)) + " " + " ".join(f"WHEN {k} THEN {spelt(v[i])}" for k, v in enumerate(texts.values())) + " END"
+    side = lambda f, i, n: f"sha256({f}(substr(t, 1, 10)) || {pick(i)} || {f}(substr(t, 11))) AS {n}"
+    return f"SELECT doc_id, {side('lower', 0, 'lowered')}, {side('upper', 1, 'titled')}, {side('upper', 2, 'uppered')} FROM (SELECT doc_id, regexp_replace(text, '[^B-HK-Zb-hk-z]', '', 'g') AS t FROM documents)"
+
+
+def figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of several families over all documents, with controls, marks and wide letters put in."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", injected(F.col("text"), F.col("doc_id"), list(_FIGURES)).alias("t"))
+    out = metrics.measured(docs, "t", ("bidiControlBalance", "streamSafeViolation", "widthClassConfusion", "zeroWidthPayload", "hashInputStability"))
+    f = F.col("figures")
+    return out.select(
+        "doc_id", f["bidiControlBalance"]["emb_open"].alias("emb_open"), f["bidiControlBalance"]["max_depth"].alias("max_depth"), f["streamSafeViolation"]["max_run"].alias("max_run"),
+        f["streamSafeViolation"]["overruns"].alias("overruns"), f["widthClassConfusion"]["fw_fold"].alias("fw_fold"), f["zeroWidthPayload"]["zwsp_count"].alias("zwsp_count"),
+        f["hashInputStability"]["stableSize"].alias("stable_size"),
+    )
+
+
+#: What is put in, and its embeddings, depth, longest run of marks, overruns, wide letters, zero-width spaces and lost characters in NFC.
+_FIGURES = {
+    "\u202a\u202b\u2066": (2, 3, 0, 0, 0, 0, 0), "\u202e\u202c\u202e": (2, 1, 0, 0, 0, 0, 0), "\u0327" * 31 + "x": (0, 0, 31, 1, 0, 0, 0), "\u0327" * 30 + "x" + "\u0327" * 32 + "x": (0, 0, 32, 1, 0, 0, 0),
+    "\uff21\uff22": (0, 0, 0, 0, 2, 0, 0), "\u200b\u200bx\u200b": (0, 0, 0, 0, 0, 3, 0), "": (0, 0, 0, 0, 0, 0, 0),
+}
+FIGURES_SQL = f"""
+WITH d AS (SELECT doc_id, {injected_sql(list(_FIGURES))} AS t FROM documents), v(turn, emb_open, max_depth, max_run, overruns, fw_fold, zwsp_count) AS (
+  VALUES {", ".join(str((i, *v[:6])) for i, v in enumerate(_FIGURES.values()))})
+SELECT doc_id, emb_open, max_depth, max_run, overruns, fw_fold, zwsp_count, length(regexp_replace(nfc_normalize(t), '[ \t\n\r]+$', ''))::INT AS stable_size
+FROM d JOIN v ON doc_id % {len(_FIGURES)} = turn WHERE t IS NOT NULL
+"""
+
+
+def imitated_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers under a nation's name with Cyrillic letters in it, and the nation that it imitates."""
+    names = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    spoofed = F.when(F.col("c_custkey") % 3 > 0, F.translate("n_name", "AEO", "\u0410\u0415\u041e")).otherwise(F.col("n_name"))
+    customers = read(spark, sf_dir, "customer").join(names, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", spoofed.alias("written"))
+    # each spelling is resolved once, not each customer
+    spellings = lookalikes.confusable_with(customers.select("written").distinct(), "written", names.select("n_name"), "n_name")
+    return customers.join(spellings, "written").select("c_custkey", "imitated")
+
+
+NATION_SQL = "SELECT c_custkey, n_name AS imitated FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 > 0 AND regexp_matches(n_name, '[AEO]')"
+
+
+def used_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranges of the script table that all documents' characters fall in, and how often."""
+    counts = ranges.codepoint_counts(read(spark, sf_dir, "documents").select(F.lit(0).alias("all"), "text"), "all", "text")
+    return ranges.range_join(counts, ranges.script_ranges(spark), "cp").groupBy("lo", "hi", "value").agg(F.sum("n").alias("n"))
+
+
+#: The ranges of one script below U+0100, and the one that starts there and goes on.
+RANGE_SQL = r"""
+WITH r(lo, hi, value) AS (VALUES (0, 64, 'Zyyy'), (65, 90, 'Latn'), (91, 96, 'Zyyy'), (97, 122, 'Latn'), (123, 169, 'Zyyy'), (170, 170, 'Latn'), (171, 185, 'Zyyy'), (186, 186, 'Latn'),
+  (187, 191, 'Zyyy'), (192, 214, 'Latn'), (215, 215, 'Zyyy'), (216, 246, 'Latn'), (247, 247, 'Zyyy'), (248, 696, 'Latn'))
+SELECT lo, hi, value, sum(len(regexp_extract_all(text, '[' || printf('\x{%x}-\x{%x}', lo, hi) || ']')))::BIGINT AS n FROM documents, r GROUP BY ALL HAVING sum(len(regexp_extract_all(text, '[' || printf('\x{%x}-\x{%x}', lo, hi) || ']'))) > 0
+"""
+_CATEGORIES = ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Me", "Nd", "Nl", "No", "Pc", "Pd", "Ps", "Pe", "Pi", "Pf", "Po", "Sm", "Sc", "Sk", "So", "Zs", "Zl", "Zp", "Cc", "Cf")
+
+
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of all documents by general category, looked up once each."""
+    docs = read(spark, sf_dir, "documents").select(F.lit(0).alias("all"), injected(F.col("text"), F.col("doc_id"), _SCRIPTS).alias("t"))
+    counts = ranges.codepoint_counts(docs, "all", "t")
+    named = counts.withColumn("value", icu.value_name("General_Category", icu.property_value(F.col("cp"), "General_Category")))
+    return named.groupBy("value").agg(F.sum("n").alias("n"))
+
+
+CATEGORY_SQL = f"""
+WITH d AS (SELECT {injected_sql(_SCRIPTS)} AS t FROM documents), c(value, re) AS (VALUES {", ".join(f"('{c}', '\\p{{{c}}}')" for c in _CATEGORIES)})
+SELECT value, sum(len(regexp_extract_all(t, re)))::BIGINT AS n FROM d, c GROUP BY value HAVING sum(len(regexp_extract_all(t, re))) > 0
+"""
+
+
+def favoured_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold each entry of the curated list of favoured words, one put into each in turn."""
+    docs = read(spark, sf_dir, "documents").select(injected(F.col("text"), F.col("doc_id"), [f" {w} " for w in curated.FAVOURED]).alias("t"))
+    held = docs.select(F.explode(F.filter(F.array(*map(F.lit, curated.FAVOURED)), lambda w: F.col("t").contains(w))).alias("entry"))
+    return held.groupBy("entry").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ENTRIES = ", ".join("(" + repr(w) + ")" for w in curated.FAVOURED)
+FAVOURED_SQL = f"""
+WITH d AS (SELECT {injected_sql([f" {w} " for w in curated.FAVOURED])} AS t FROM documents) SELECT entry, count(*) AS n FROM d JOIN (VALUES {_ENTRIES}) AS v(entry) ON contains(t, entry) GROUP BY entry
+"""
+
+#: What is put in, by the identifier types that it brings.
+_TYPED = {"\u0430": ["Recommended"], "\u200d": ["Default_Ignorable"], "\u16a0": ["Exclusion"], "\uff21": ["Not_NFKC"], "\u2028": ["Not_XID"], "\u0149": ["Deprecated"], "\u00ad": ["Default_Ignorable"], "": []}
+_LATIN_TYPES = r"list_filter([CASE WHEN regexp_matches(text, '[0-9A-Za-z_\xC0-\xD6\xD8-\xF6\xF8-\xFF]') THEN 'Recommended' END, CASE WHEN regexp_matches(text, '['':.\x2D\xB7]') THEN 'Inclusion' END, CASE WHEN regexp_matches(text, '[\x00-\x26\x28-\x2C\x2F;-@\[-^`{-\x9F]') THEN 'Not_XID' END], lambda x: x IS NOT NULL)"
+TYPE_SQL = f"""
+SELECT doc_id, array_to_string(list_sort(list_distinct({_LATIN_TYPES} || CASE doc_id % {len(_TYPED)} {" ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(_TYPED.values()) if v)} ELSE CAST([] AS VARCHAR[]) END)), ',') AS value FROM documents
+"""
+
+
+#: What is put in, and the columns that it takes.
+_WIDTHS = {"\u6f22\u5b57": 4, "e\u0301": 1, "\U0001f468\u200d\U0001f469\u200d\U0001f467": 2, "\U0001f1e9\U0001f1ea": 2, "\u2603\ufe0f": 2, "\u200b": 1, "\uff71": 1, "": 0}
+_WIDTH_SQL = (
+    f"(length(regexp_replace(t, '[\\x00-\\x1F\\x7F-\\x{{9F}}]', '', 'g')) + len(regexp_extract_all(t, '[\u00a9\u00ae]')) + CASE doc_id % {len(_WIDTHS)} "
+    + " ".join(f"WHEN {i} THEN {w - len(t)}" for i, (t, w) in enumerate(_WIDTHS.items())) + " END)::INT"
+)
+
+
 def all_entries() -> dict[str, tuple[Query, str | None]]:
     return {
         "utf8_pieces": (utf8_pieces, UTF8_VERDICT_SQL),
@@ -169,4 +321,15 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "rgi_emoji": (rgi_emoji, EMOJI_SQL),
         "words_out_of_order": (words_out_of_order, ORDER_SQL),
         "confusable_chains": (confusable_chains, CHAIN_SQL),
+        "property_words": (property_words, PROPERTY_WORD_SQL),
+        "numerals": (numerals, NUMERAL_SQL),
+        "case_turkish": (_cases("turkish", _TURKISH), _cases_sql(_TURKISH)),
+        "case_lithuanian": (_cases("lithuanian", _LITHUANIAN), _cases_sql(_LITHUANIAN)),
+        "figures": (figures, FIGURES_SQL),
+        "cluster_width": over_documents(layout.display_width_clusters, _WIDTH_SQL, list(_WIDTHS)),
+        "identifier_types": (over_documents(lambda s: F.array_join(F.array_sort(identifiers.identifier_types(s)), ","), None, list(_TYPED))[0], TYPE_SQL),
+        "imitated_nations": (imitated_nations, NATION_SQL),
+        "used_ranges": (used_ranges, RANGE_SQL),
+        "category_counts": (category_counts, CATEGORY_SQL),
+        "favoured_words": (favoured_words, FAVOURED_SQL),
     }

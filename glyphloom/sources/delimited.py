@@ -36,6 +36,19 @@ def property_rows(lines: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def tabbed_rows(lines: DataFrame, column: str = "value") -> DataFrame:
+    """``lines`` with ``cp, field, entry`` of rows such as ``U+4E00<tab>kName<tab>1``; notes and other rows are skipped."""
+    parts = F.split(F.col(column), "\t")
+    good = lines.where(F.col(column).rlike("^U\\+[0-9A-F]{4,6}\t[^\t]+\t"))
+    return good.withColumns({"cp": F.conv(F.substring(parts[0], 3, 6), 16, 10).cast("int"), "field": parts[1], "entry": F.trim(parts[2])})
+
+
+def read_tabbed(spark: SparkSession, path: str) -> DataFrame:
+    """``cp, field, entry`` of tab-separated files; of several rows of one code point and field the first counts, by file name and then place in it."""
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    return tabbed_rows(lines).groupBy("cp", "field").agg(F.min_by("entry", F.struct("file", "at")).alias("entry"))
+
+
 def read_properties(spark: SparkSession, path: str) -> DataFrame:
     return property_rows(spark.read.text(path))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,6 +114,43 @@ def simple_upper(cp: Column) -> Column:
     return F.when(cp.isNotNull(), _static(UCHAR, "toUpperCase", cp.cast("int")).cast("int"))
 
 
+def simple_lower(cp: Column) -> Column:
+    return F.when(cp.isNotNull(), _static(UCHAR, "toLowerCase", cp.cast("int")).cast("int"))
+
+
+def simple_title(cp: Column) -> Column:
+    return F.when(cp.isNotNull(), _static(UCHAR, "toTitleCase", cp.cast("int")).cast("int"))
+
+
+def numeric_value(cp: Column) -> Column:
+    """The numeric value of a code point, ideographs among them; null for one without any."""
+    value = _static(UCHAR, "getUnicodeNumericValue", cp.cast("int")).cast("double")
+    return F.when(value != -123456789.0, value)  # ICU's sign for none
+
+
+def property_aliases(spark: SparkSession) -> DataFrame:
+    """``(short, alias)``: every name of every property, by its short name (its long one where it has none).
+
+    Numbers of properties come in ranges by kind; a name is looked up until there is none.
+    """
+    name = SparkSession.active()._jvm.com.ibm.icu.lang.UCharacter.getPropertyName
+    rows = []
+    for first, last in ((0, 0x80), (0x1000, 0x1030), (0x2000, 0x2001), (0x3000, 0x3001), (0x4000, 0x4010), (0x7000, 0x7002)):
+        for number in range(first, last):
+            found: list[str] = []
+            for choice in range(16):
+                try:
+                    alias = name(number, choice)
+                except IllegalArgumentException:  # numbers and names that are not there
+                    if choice > 1:
+                        break
+                    continue
+                if alias:
+                    found.append(alias)
+            rows += [(found[0], alias) for alias in dict.fromkeys(found)]
+    return spark.createDataFrame(rows, "short string, alias string").distinct()
+
+
 def value_name(name: str, number: Column, short: bool = True) -> Column:
     """The short (or long) name of a property's value."""
     choice = F.lit(0 if short else 1)

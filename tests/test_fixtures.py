@@ -29,7 +29,9 @@ def test_own_rows(spark, tmp_path):
 @pytest.mark.skipif("GLYPHLOOM_FIXTURES" not in os.environ, reason="no folder of fixture files is named")
 def test_named_files(spark):
     lists = delimited.read_word_lists(spark, os.environ["GLYPHLOOM_WORDLISTS"])
-    found = fixtures.verdicts(delimited.read_fixtures(spark, os.environ["GLYPHLOOM_FIXTURES"]), lists).select("family", "line", "tag", "found", "same_tag", "same_positions").collect()
+    found = fixtures.verdicts(delimited.read_fixtures(spark, os.environ["GLYPHLOOM_FIXTURES"]), lists).select("family", "line", "tag", "found", "same_tag", "same_positions", "same_figures", "attribution").collect()
     wrong = [(r["family"], r["line"], r["tag"], r["found"]["tag"]) for r in found if not (r["same_tag"] and r["same_positions"])]
+    claims = [(r["family"], r["line"], r["attribution"]) for r in found if not r["same_figures"]]
     print(len(found), "rows of", len({r["family"] for r in found}), "families;", len(wrong), "differ:", wrong)
     assert not wrong
+    assert not claims
