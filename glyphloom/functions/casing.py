@@ -80,7 +80,8 @@ def _rest(s: Column, case: str) -> Column:
     if case == "upper":
         return F.upper(s)
     if case == "lower":
-        return F.lower(F.replace(s, F.lit(DOTTED_I), F.lit("i̇")))
+        # what sigma becomes is settled; Java would look at its neighbours again
+        return F.lower(F.translate(F.replace(s, F.lit(DOTTED_I), F.lit("i̇")), "Σ", "σ"))
     changing = icu.regex("[:CWT:]")
     return F.when(~s.rlike(changing), s).otherwise(F.array_join(F.transform(chars(s), lambda c: F.when(c.rlike(changing), title_character(c)).otherwise(c)), ""))
 

@@ -7,13 +7,14 @@ are a regular expression over those.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..tables import icu
-from .codec import chars
+from .codec import chars, let
 
 
 @lru_cache(maxsize=1)
@@ -99,13 +100,17 @@ def _class_letters(s: Column, prop: str, letters: dict[str, str]) -> Column:
     return F.translate(out, source, "".join(m[-1] for _, m in marks) + "P.")
 
 
-def _word_pattern() -> str:
+def _word_pattern(hebrew: bool) -> str:
+    """One word segment; ``hebrew`` for letters with Hebrew ones among them, whose single quotes end a run and belong to it."""
     x = "[xz]*+"
     # loops over groups are possessive: Java runs those in a loop, and all others one call deeper for each turn;
     # what may follow a group starts with other letters, so nothing is lost by not going back
-    letters = f"(?:A++{x}(?:[mqs]{x}(?=[AH]))?+|H++{x}(?:d{x}(?=H)|[mqs]{x}(?=[AH])|s{x})?+|N++{x}(?:[nqs]{x}(?=N))?+)++"
-    kana = f"(?:K++{x})++"
-    run = f"(?:(?:E{x})*+(?:{letters}|{kana})(?:(?:E{x})++(?:{letters}|{kana}))*+(?:E{x})*+|(?:E{x})++)"
+    letter = f"A++{x}(?:[mqs]{x}(?=[AH]))?+|N++{x}(?:[nqs]{x}(?=N))?+"
+    if hebrew:
+        letter += f"|H++{x}(?!s{x}(?![AH]))(?:d{x}(?=H)|[mqs]{x}(?=[AH]))?+"
+    letters, kana, low = f"(?:{letter})++", f"(?:K++{x})++", f"(?:E{x})++"
+    quoted = f"(?:(?:{letters}|{kana}){low}|{low})*+(?:{letters})?+H++{x}s{x}|" if hebrew else ""
+    run = f"(?:{quoted}(?:{low})?+(?:{letters}|{kana})(?:{low}(?:{letters}|{kana}))*+(?:{low})?+|{low})"
     pictured = f"(?:(?<=z)P{x})*+"
     return f"(?:rl|[rlb]|R{x}R{x}{pictured}|{run}{pictured}|w++{x}{pictured}|[^rlb]{x}{pictured})"
 
@@ -144,7 +149,11 @@ def _cut(s: Column, classes: Column, pattern: str) -> Column:
 
 def words(s: Column) -> Column:
     """Segments between word boundaries, white space and punctuation included."""
-    return _cut(s, class_letters(s, "WB", WORD_CLASS), _word_pattern())
+    return _by_letters(s, lambda c, pattern: _cut(s, c, pattern))
+
+
+def _by_letters(s: Column, f: Callable[[Column, str], Column]) -> Column:
+    return let(class_letters(s, "WB", WORD_CLASS), lambda c: F.when(c.contains("H"), f(c, _word_pattern(True))).otherwise(f(c, _word_pattern(False))))
 
 
 def sentences(s: Column) -> Column:
@@ -153,7 +162,7 @@ def sentences(s: Column) -> Column:
 
 def word_count(s: Column) -> Column:
     """Segments between word boundaries, counted without cutting the text."""
-    return F.size(F.filter(_runs(class_letters(s, "WB", WORD_CLASS), _word_pattern()), lambda r: r != ""))
+    return _by_letters(s, lambda c, pattern: F.regexp_count(c, F.lit(pattern)))
 
 
 def sentence_count(s: Column) -> Column:

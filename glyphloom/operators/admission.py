@@ -82,9 +82,11 @@ def run_all(
     return base.select(*df.columns, let(verdicts, finish).alias("verdicts"))
 
 
-def hazards(df: DataFrame, column: str, families: tuple[str, ...] | None = None) -> DataFrame:
-    """One row per hazard found: ``df``'s columns with ``family, layer, tag, positions``."""
-    found = run_all(df, column, families)
+def hazards(
+    df: DataFrame, column: str, families: tuple[str, ...] | None = None, wordlists: DataFrame | None = None, context: dict[str, str] | None = None, tolerance: int = 0
+) -> DataFrame:
+    """One row per hazard found: ``df``'s columns with ``family, layer, tag, positions``; the rest as for ``run_all``."""
+    found = run_all(df, column, families, wordlists, context, tolerance)
     fired = F.filter("verdicts", lambda v: v["tag"].isNotNull())
     return found.select(*df.columns, F.explode(fired).alias("v")).select(*df.columns, "v.*")
 
@@ -108,19 +110,40 @@ def severity_name(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, SEVERITIES)), rank.cast("int") + 1)
 
 
-def composite(verdicts: Column, severities: dict[str, str] | None = None) -> Column:
-    """``(kind, n_sites, severity)`` of a row: clear, hazard or compound, and the greatest severity of its sites.
+def sites(verdicts: Column, severities: dict[str, str] | None = None) -> Column:
+    """The hazards of a row as ``(family, tag, severity, positions, first, last)``, in the order of families.
 
-    A site is moderate unless ``severities`` says otherwise for its family.
+    A site is moderate unless ``severities`` names its ``family`` or, before that, its ``family/tag``.
+    ``first`` and ``last`` are the ends of its positions, 0 where it has none.
     """
-    ranks = F.create_map(*[F.lit(x) for n in detectors.FAMILIES for x in (n, SEVERITIES.index((severities or {}).get(n, "moderate")))])
-    sites = F.filter(verdicts, lambda v: v["tag"].isNotNull())
-    n = F.size(sites)
+    named = [x for key, level in (severities or {}).items() for x in (F.lit(key), F.lit(SEVERITIES.index(level)))]
+    table = F.create_map(*named) if named else None
+
+    def site(v: Column) -> Column:
+        rank = F.lit(SEVERITIES.index("moderate"))
+        if table is not None:
+            rank = F.coalesce(F.try_element_at(table, F.concat(v["family"], F.lit("/"), v["tag"])), F.try_element_at(table, v["family"]), rank)
+        ends = lambda f: F.coalesce(f(v["positions"]), F.lit(0))
+        return F.struct(
+            v["family"].alias("family"), v["tag"].alias("tag"), severity_name(rank).alias("severity"), v["positions"].alias("positions"), ends(F.array_min).alias("first"), ends(F.array_max).alias("last")
+        )
+
+    return F.transform(F.filter(verdicts, lambda v: v["tag"].isNotNull()), site)
+
+
+def composite(verdicts: Column, severities: dict[str, str] | None = None) -> Column:
+    """``(kind, n_sites, severity)`` of a row: clear, hazard or compound, and the greatest severity of its sites."""
+    return let(sites(verdicts, severities), _rolled_up)
+
+
+def _rolled_up(found: Column) -> Column:
+    n = F.size(found)
     kind = F.when(n == 0, "clear").when(n == 1, "hazard").otherwise("compound")
-    worst = F.coalesce(F.array_max(F.transform(sites, lambda v: F.element_at(ranks, v["family"]))), F.lit(0))
-    return F.struct(kind.alias("kind"), n.alias("n_sites"), severity_name(worst).alias("severity"))
+    order = F.array(*map(F.lit, SEVERITIES))
+    worst = F.array_max(F.transform(found, lambda s: F.array_position(order, s["severity"]).cast("int") - 1))
+    return F.struct(kind.alias("kind"), n.alias("n_sites"), severity_name(F.coalesce(worst, F.lit(0))).alias("severity"))
 
 
-def hazard_rollup(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Hazards counted by layer and family, with subtotals."""
-    return hazards(df, column).rollup(*by, "layer", "family").agg(F.count(F.lit(1)).alias("n"))
+def hazard_rollup(df: DataFrame, column: str, by: tuple[str, ...] = (), wordlists: DataFrame | None = None, context: dict[str, str] | None = None) -> DataFrame:
+    """Hazards counted by layer and family, with subtotals; word lists and context as for ``run_all``."""
+    return hazards(df, column, wordlists=wordlists, context=context).rollup(*by, "layer", "family").agg(F.count(F.lit(1)).alias("n"))

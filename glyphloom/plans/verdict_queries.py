@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..intermediate import written
 from ..operators import admission, detectors
 from .text_queries import AT, injected, injected_sql, read
 
@@ -55,10 +56,21 @@ _STRONG = "regexp_matches(substr(text, 1, 10), '[A-Za-zÀ-ÖØ-öø-ÿ]')"
 _HIGH = r"nullif(regexp_extract(text, '[\x{80}-\x{FF}]'), '')"
 
 
+_AT_HIGH = f"(instr(text, {_HIGH}) - 1)"
+_SURROGATE_TAG = (
+    f"CASE WHEN {_HIGH} IS NULL THEN NULL WHEN ord({_HIGH}) >= 245 OR ord({_HIGH}) < 194 THEN 'InvalidStartByte' "
+    f"WHEN {_AT_HIGH} + 1 = length(text) THEN 'Truncated' ELSE 'InvalidContinuation' END"
+)
+_MIXED_TAG = r"CASE WHEN regexp_matches(text, '[^''\-.0-9:A-Z_a-zÀ-ÖØ-öø-ÿ]') THEN 'RestrictedStatusCp' END"
+_FILENAME_TAG = "CASE WHEN length(text) - length(replace(text, '.', '')) >= 3 THEN 'MultipleExtensions' END"
+_LOCALE_TAG = "CASE WHEN contains(text, 'I') THEN 'TurkishCaseDivergence' WHEN regexp_matches(text, '[ÌÍ]') THEN 'LithuanianCaseDivergence' END"
+_EXPANSION_TAG = "CASE WHEN contains(text, 'ß') THEN 'UpperExpansion' END"
+
+
 def _surrogate() -> tuple[Query, str]:
     """Latin letters read as bytes: 0xF5 and up start nothing; others lack a continuation."""
-    at = f"(instr(text, {_HIGH}) - 1)"
-    tag = f"CASE WHEN {_HIGH} IS NULL THEN NULL WHEN ord({_HIGH}) >= 245 OR ord({_HIGH}) < 194 THEN 'InvalidStartByte' WHEN {at} + 1 = length(text) THEN 'Truncated' ELSE 'InvalidContinuation' END"
+    at = _AT_HIGH
+    tag = _SURROGATE_TAG
     where = f"CASE WHEN {_HIGH} IS NULL THEN '' WHEN ord({_HIGH}) >= 245 OR ord({_HIGH}) < 194 THEN {at}::VARCHAR ELSE ({at} + 1)::VARCHAR END"
     return by_text("surrogateReassembly", tag, where)
 
@@ -78,15 +90,16 @@ def _crypto_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 def run_all_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hazards of all families over all documents, by language and family."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return admission.hazards(docs, "text").groupBy("lang", "family", "tag").agg(F.count(F.lit(1)).alias("n"))
+    return admission.hazards(docs, "text", wordlists=written_lists(spark, sf_dir)).groupBy("lang", "family", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hazard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return admission.hazard_rollup(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return admission.hazard_rollup(docs, "text", wordlists=written_lists(spark, sf_dir))
 
 
 def admissible_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = admission.run_all(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    docs = admission.run_all(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", wordlists=written_lists(spark, sf_dir))
     levels = [admission.admissible(F.col("verdicts"), level).alias(level) for level in admission.REJECTION]
     state = admission.composite(F.col("verdicts"))
     return docs.select("doc_id", *levels, state["kind"].alias("kind"), state["n_sites"].alias("n_sites"), state["severity"].alias("severity"))
@@ -107,14 +120,25 @@ SELECT doc_id, CASE WHEN doc_id % 2 = 1 AND contains(source, 'c') THEN source EN
 #: Words of a list, as many as mnemonic lists have.
 LIST_WORDS = 2048
 _LETTERS = "[^a-zß-öø-ÿ]+"
+#: Shares of a vocabulary that are ranked apart first.
+SHARES = 64
 
 
 def language_lists(docs: DataFrame) -> DataFrame:
     """``(lang, word)``: the most frequent words of each language's texts, ties by word."""
     words = docs.where("lang is not null").select("lang", F.explode(F.split("t", " ")).alias("word")).where("word != ''")
     counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.encode("word", "UTF-8")))
-    return counts.withColumn("rank", place).where(F.col("rank") <= LIST_WORDS).select("lang", "word")
+    # the most frequent words of all are among those of each share, so no task sorts a language's whole vocabulary
+    place = lambda *share: F.row_number().over(Window.partitionBy("lang", *share).orderBy(F.desc("n"), F.encode("word", "UTF-8")))
+    shares = counts.withColumn("share", F.pmod(F.xxhash64("word"), F.lit(SHARES)))
+    leading = shares.withColumn("rank", place("share")).where(F.col("rank") <= LIST_WORDS)
+    return leading.withColumn("rank", place()).where(F.col("rank") <= LIST_WORDS).select("lang", "word")
+
+
+def written_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of all documents' languages, written once."""
+    t = F.trim(F.regexp_replace(F.lower("text"), _LETTERS, " "))
+    return written(language_lists(read(spark, sf_dir, "documents").select("lang", t.alias("t"))), "word-lists")
 
 
 def mnemonics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +167,48 @@ SELECT doc_id, CASE WHEN mark <> '' THEN 'NonNFKD' WHEN pos IS NOT NULL THEN 'Wo
 """
 
 
+#: The characters below U+0100 that have a confusable prototype.
+_LOOKALIKES = '["%01I`m|\u00a0\u00a2\u00a5\u00af\u00b4\u00b5\u00b8\u00c6\u00d0\u00d7\u00d8\u00e6\u00f0\u00f8]'
+_BIDI_TRIGGERS = ["\u202e", "\u2066", ""]
+CONFUSABLE_BIDI_SQL = f"""
+WITH d AS (SELECT doc_id, doc_id % 3 AS turn, {K} AS k, {injected_sql(_BIDI_TRIGGERS)} AS t FROM documents),
+f AS (SELECT doc_id, turn, k, CASE WHEN turn < 2 AND regexp_matches(t, '{_LOOKALIKES}') THEN length(regexp_extract(t, '^[^{_LOOKALIKES[1:]}*')) END AS place FROM d)
+SELECT doc_id, CASE WHEN place IS NOT NULL THEN CASE turn WHEN 0 THEN 'ConfusableInOverride' ELSE 'ConfusableInIsolate' END END AS tag,
+       CASE WHEN place IS NULL THEN '' ELSE place || ',' || k END AS positions FROM f
+"""
+#: Line ends are line feeds alone here, and the texts are in NFC, so the last rule breaks nowhere.
+SIGNING_SQL = r"""
+WITH d AS (SELECT doc_id, text AS t, doc_id % 7 AS rule, length(regexp_extract(text, '[ \t\n\r]+$')) AS tail FROM documents),
+p AS (SELECT *, CASE rule WHEN 0 THEN CASE WHEN regexp_matches(t, '[ \t]+(\r?\n|\z)') THEN length(regexp_extract(t, '(?s)^(.*?)[ \t]+(?:\r?\n|\z)', 1)) END
+  WHEN 1 THEN nullif(strpos(t, chr(10)), 0) - 1 WHEN 2 THEN nullif(strpos(t, chr(10)), 0) - 1
+  WHEN 3 THEN CASE WHEN regexp_matches(t, '[\x00-\x1F]') THEN length(regexp_extract(t, '^[^\x00-\x1F]*')) END
+  WHEN 4 THEN CASE WHEN regexp_matches(t, '[^A-Za-z0-9_-]') THEN length(regexp_extract(t, '^[A-Za-z0-9_-]*')) END
+  WHEN 5 THEN CASE WHEN regexp_matches(t, '[ \t]{2}') THEN length(regexp_extract(t, '(?s)^(.*?)[ \t]{2}', 1)) + 1 END END AS place FROM d)
+SELECT doc_id, CASE WHEN place IS NOT NULL THEN 'SignedMessageRule' WHEN tail > 0 THEN 'TrailingWhitespace' END AS tag,
+       CASE WHEN place IS NOT NULL THEN place::VARCHAR WHEN tail > 0 THEN (length(t) - tail)::VARCHAR ELSE '' END AS positions FROM p
+"""
+
+#: Hazards of texts in Latin letters without controls, selectors or emoji: what each family says of them; the others say nothing.
+_PLAIN = {
+    ("covert", "surrogateReassembly"): _SURROGATE_TAG, ("identity", "mixedScriptAdmissibility"): _MIXED_TAG, ("display", "filenameDisguise"): _FILENAME_TAG,
+    ("form", "localeCaseInversion"): _LOCALE_TAG, ("form", "caseExpansionMismatch"): _EXPANSION_TAG,
+    ("crypto", "bip39Canonical"): r"CASE WHEN regexp_matches(text, '[ \x{3000}]$') THEN 'TrailingWhitespace' WHEN regexp_matches(text, '[A-Z]') THEN 'MixedCase' WHEN regexp_matches(text, '^[ \x{3000}]|[ \x{3000}]{2}') THEN 'WhitespaceAnomaly' END",
+    ("crypto", "hashInputStability"): r"CASE WHEN regexp_matches(text, '[ \t\n\r]$') THEN 'TrailingWhitespace' END",
+}
+_HAZARDS = "h AS (" + " UNION ALL ".join(f"SELECT doc_id, lang, '{layer}' AS layer, '{family}' AS family, {tag} AS tag FROM documents" for (layer, family), tag in _PLAIN.items()) + "), f AS (SELECT * FROM h WHERE tag IS NOT NULL)"
+RUN_ALL_SQL = f"WITH {_HAZARDS} SELECT lang, family, tag, count(*) AS n FROM f GROUP BY ALL"
+ROLLUP_SQL = f"WITH {_HAZARDS} SELECT layer, family, count(*) AS n FROM f GROUP BY ROLLUP (layer, family)"
+ADMISSIBLE_SQL = f"""
+WITH {_HAZARDS}, n AS (
+  SELECT doc_id, count(*) AS n, count(*) FILTER (layer <> 'crypto') AS plain, count(*) FILTER (family = 'surrogateReassembly') AS least FROM f GROUP BY doc_id
+)
+SELECT doc_id, coalesce(plain, 0) = 0 AS restrictive, coalesce(plain, 0) = 0 AS moderate, coalesce(least, 0) = 0 AS minimal,
+       CASE coalesce(n, 0) WHEN 0 THEN 'clear' WHEN 1 THEN 'hazard' ELSE 'compound' END AS kind, coalesce(n, 0)::INT AS n_sites,
+       CASE WHEN coalesce(n, 0) = 0 THEN 'informational' ELSE 'moderate' END AS severity
+FROM documents LEFT JOIN n USING (doc_id)
+"""
+
+
 def all_entries() -> dict[str, tuple[Query, str | None]]:
     none = ("", None, "")
     rtl = f"CASE WHEN {_STRONG} THEN 'MixedOverflow' ELSE 'FieldTakeover' END"
@@ -168,7 +234,7 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "homoglyphs": by_trigger("homoglyphConfusable", [("\U0001d400", "MathAlpha", _at(0)), ("Ａ", "WidthClass", _at(0)), ("é", "DecompositionSwap", _at(0)), none]),
         "mixed_scripts": by_text(
             "mixedScriptAdmissibility",
-            r"CASE WHEN regexp_matches(text, '[^''\-.0-9:A-Z_a-zÀ-ÖØ-öø-ÿ]') THEN 'RestrictedStatusCp' END",
+            _MIXED_TAG,
             _every(r"[^''\-.0-9:A-Z_a-zÀ-ÖØ-öø-ÿ]"),
         ),
         "emoji_zwj": by_trigger("emojiZwjIntegrity", [("‍‍", "DoubleZWJ", _at(0)), ("‍", "NonEmojiInjection", _at(0)), none]),
@@ -179,7 +245,7 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         ),
         "filename_disguise": by_text(
             "filenameDisguise",
-            "CASE WHEN length(text) - length(replace(text, '.', '')) >= 3 THEN 'MultipleExtensions' END",
+            _FILENAME_TAG,
             f"CASE WHEN length(text) - length(replace(text, '.', '')) >= 3 THEN {_every('[.]')} ELSE '' END",
         ),
         "rtl_injection": by_trigger("rtlInjection", [("‮", "RloInLTRField", _at(0)), ("א" * 5, rtl, _at(0)), ("א", rtl_one, _at(0)), none]),
@@ -191,12 +257,12 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "stream_safe_violation": by_trigger("streamSafeViolation", [("́" * 31, "StreamSafeOverrun", _at(0)), ("́" * 30, None, ""), none]),
         "locale_case": by_text(
             "localeCaseInversion",
-            "CASE WHEN contains(text, 'I') THEN 'TurkishCaseDivergence' WHEN regexp_matches(text, '[ÌÍ]') THEN 'LithuanianCaseDivergence' END",
+            _LOCALE_TAG,
             "CASE WHEN contains(text, 'I') THEN (instr(text, 'I') - 1)::VARCHAR WHEN regexp_matches(text, '[ÌÍ]') THEN (instr(text, regexp_extract(text, '[ÌÍ]')) - 1)::VARCHAR ELSE '' END",
         ),
         "case_expansion": by_text(
             "caseExpansionMismatch",
-            "CASE WHEN contains(text, 'ß') THEN 'UpperExpansion' END",
+            _EXPANSION_TAG,
             "CASE WHEN contains(text, 'ß') THEN (instr(text, 'ß') - 1)::VARCHAR ELSE '' END",
         ),
         "width_class": by_trigger("widthClassConfusion", [("Ａ", "FullwidthFold", _at(0)), ("ｱ", "HalfwidthFold", _at(0)), none]),
@@ -205,17 +271,17 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "covert_display": by_trigger(
             "covertDisplayCompound", [("‮\U000e0101", "BidiPlusUnregisteredVs", _at(0, 1)), ("‮\U000e0041", "BidiPlusTagBlock", _at(0, 1)), ("‮", None, ""), none]
         ),
-        "confusable_bidi": (over_documents(detectors.confusable_bidi_compound, ["‮", "⁦", ""]), None),
+        "confusable_bidi": (over_documents(detectors.confusable_bidi_compound, _BIDI_TRIGGERS), CONFUSABLE_BIDI_SQL),
         "admissibility_drift": by_text("admissibilityFormDrift", "CAST(NULL AS VARCHAR)", "''"),
         "bip39": (mnemonics, MNEMONIC_SQL),
         "hash_stability": by_trigger("hashInputStability", [("é", "NormalizationDrift", _at(0)), none]),
-        "signing_rules": (_crypto_context, None),
+        "signing_rules": (_crypto_context, SIGNING_SQL),
         "watermarks": by_trigger(
             "aiWatermarkDetectability",
             [(" " * 3, "Adversarial", _at(0, 1, 2)), ("​" * 3, "Gpt5ZwspModulo", _at(0, 1, 2)), (" ", "NnbspBoundary", _at(0)), none],
         ),
         "imitated_names": (imitated_in_documents, IMITATED_SQL),
-        "run_all_counts": (run_all_counts, None),
-        "hazard_rollup": (hazard_rollup, None),
-        "admissible_by_level": (admissible_by_level, None),
+        "run_all_counts": (run_all_counts, RUN_ALL_SQL),
+        "hazard_rollup": (hazard_rollup, ROLLUP_SQL),
+        "admissible_by_level": (admissible_by_level, ADMISSIBLE_SQL),
     }
