@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import icu
@@ -51,14 +51,35 @@ def condition_pattern(source: str, condition: str) -> tuple[str, str]:
     return f"{before}{source}{after}", "$1"
 
 
-def _mapped(s: Column, locale: str, case: str) -> Column:
+Rule = tuple[str, str, str, str, str, str]
+
+
+def read_rules(lines: DataFrame, column: str = "value") -> tuple[Rule, ...]:
+    """The conditional rules of lines such as ``0049; 0131; 0049; 0049; tr Not_Before_Dot; # note``, in the file's order.
+
+    The file has some dozen of them. Rules without a condition are left to the plain mappings, and ``az`` counts as ``tr``.
+    """
+    parts = F.transform(F.split(F.substring_index(F.col(column), "#", 1), ";"), lambda p: F.trim(p))
+    rows = lines.select(parts.alias("p"), F.monotonically_increasing_id().alias("at")).where("size(p) >= 6 and p[4] != ''").orderBy("at").limit(1_000)
+    spelt = lambda t: "".join(chr(int(x, 16)) for x in t.split())
+    found: list[Rule] = []
+    for row in rows.collect():
+        words = row["p"][4].replace("az", "tr").split()
+        language, condition = next((w for w in words if w.islower()), ""), next((w for w in words if not w.islower()), "")
+        rule = (*map(spelt, row["p"][:4]), language, condition)
+        if rule not in found:
+            found.append(rule)
+    return tuple(found)
+
+
+def _mapped(s: Column, locale: str, case: str, rules: tuple[Rule, ...] = RULES) -> Column:
     """``s`` with the rules of a language applied, each to the text as it was, and all else by ``case``.
 
     A rule's result is held by a private code point until the rest is mapped. Rules that look at a letter which
     another rule maps come first: a dot after I before I itself.
     """
     column = {"lower": 1, "title": 2, "upper": 3}[case]
-    chosen = [r for r in RULES if r[4] in ("", LANGUAGES[locale]) and r[column] != r[0]]
+    chosen = [r for r in rules if r[4] in ("", LANGUAGES[locale]) and r[column] != r[0]]
     order = ("After_I", "After_Soft_Dotted", "Final_Sigma", "More_Above", "Not_Before_Dot", "")
     out, held = s, []
     # a dot that goes is only marked, so that the I before it still sees it
@@ -101,19 +122,19 @@ def title_character(c: Column) -> Column:
     return F.when((F.length(full) > 1) & (single == c), spelt).otherwise(single)
 
 
-def upper(s: Column, locale: str = "default") -> Column:
+def upper(s: Column, locale: str = "default", rules: tuple[Rule, ...] = RULES) -> Column:
     """Full upper case; a letter may become several. ``locale`` is default, turkish, azeri or lithuanian."""
-    return F.upper(s) if locale == "default" else _mapped(s, locale, "upper")
+    return F.upper(s) if locale == "default" else _mapped(s, locale, "upper", rules)
 
 
-def lower(s: Column, locale: str = "default") -> Column:
+def lower(s: Column, locale: str = "default", rules: tuple[Rule, ...] = RULES) -> Column:
     """Full lower case, with a sigma at a word's end. ``locale`` is default, turkish, azeri or lithuanian."""
-    return _mapped(s, locale, "lower")
+    return _mapped(s, locale, "lower", rules)
 
 
-def title(s: Column, locale: str = "default") -> Column:
+def title(s: Column, locale: str = "default", rules: tuple[Rule, ...] = RULES) -> Column:
     """Each character in title case (not each word's first): what a caller takes the first character of."""
-    return _mapped(s, locale, "title")
+    return _mapped(s, locale, "title", rules)
 
 
 def holds(s: Column, source: str, condition: str) -> Column:

@@ -198,3 +198,15 @@ def utf8_blob(data: Column, max_bytes: int) -> Column:
 def ascii_identifier(s: Column, max_bytes: int | None = None) -> Column:
     ok = s.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z")
     return ok if max_bytes is None else ok & (F.octet_length(s) <= max_bytes)
+
+
+def nfc_bytes(data: Column) -> Column:
+    """UTF-8 bytes in NFC; null where they are no UTF-8."""
+    from .normalize import nfc
+
+    return F.encode(nfc(F.try_validate_utf8(data.cast("string"))), "UTF-8")
+
+
+def is_nfc_bytes(data: Column) -> Column:
+    """Whether bytes are UTF-8 in NFC."""
+    return F.when(data.isNotNull(), F.coalesce(nfc_bytes(data) == data, F.lit(False)))

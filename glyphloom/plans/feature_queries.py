@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import casing, confusables, domains, identifiers, layout
+from ..functions import casing, codec, confusables, domains, identifiers, layout
 from ..intermediate import shared_folder
 from ..operators import chains, emoji, lookalikes, metrics, ordering, property_names, ranges
 from ..streaming import utf8_chunks
@@ -312,6 +312,53 @@ _WIDTH_SQL = (
 )
 
 
+def nfc_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of all documents in NFC, with a mark put in or broken in three of four; null for those that are no UTF-8."""
+    made = F.when(F.col("doc_id") % 2 == 0, F.encode(injected(F.col("text"), F.col("doc_id"), _MARKED), "UTF-8")).otherwise(broken_utf8())
+    rows = read(spark, sf_dir, "documents").select("doc_id", made.alias("data"))
+    return rows.select("doc_id", F.sha2(codec.nfc_bytes(F.col("data")), 256).alias("digest"), codec.is_nfc_bytes(F.col("data")).alias("is_nfc"))
+
+
+_MARKED = ["e\u0301", "x", "o\u0308", "x"]
+NFC_BYTES_SQL = f"""
+SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN sha256(nfc_normalize(t)) END AS digest, CASE WHEN t IS NOT NULL THEN doc_id % 2 = 0 AND nfc_normalize(t) = t END AS is_nfc
+FROM (SELECT doc_id, {injected_sql(_MARKED)} AS t FROM documents)
+"""
+
+
+def brackets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brackets, mirrored characters and their counterparts in all documents: how often each occurs and what it pairs with."""
+    docs = read(spark, sf_dir, "documents").select(F.lit(0).alias("all"), injected(F.col("text"), F.col("doc_id"), ["([{", "\u300c\u300d", "<\u00ab>", ""]).alias("t"))
+    counts = ranges.codepoint_counts(docs, "all", "t").groupBy("cp").agg(F.sum("n").alias("n"))
+    paired = counts.select("cp", icu.paired_bracket(F.col("cp")).alias("bracket"), icu.mirror(F.col("cp")).alias("mirror"), "n")
+    return paired.where("bracket != cp or mirror != cp")
+
+
+#: Brackets and mirrored characters in the documents and in what is put in, with their counterparts.
+BRACKET_SQL = f"""
+WITH d AS (SELECT {injected_sql(["([{", "\u300c\u300d", "<\u00ab>", ""])} AS t FROM documents), v(cp, bracket, mirror) AS (
+  VALUES (40, 41, 41), (41, 40, 40), (91, 93, 93), (93, 91, 91), (123, 125, 125), (125, 123, 123), (60, 60, 62), (62, 62, 60), (171, 171, 187), (187, 187, 171), (12300, 12301, 12301), (12301, 12300, 12300))
+SELECT cp, bracket, mirror, sum(length(t) - length(replace(t, chr(cp), '')))::BIGINT AS n FROM d, v GROUP BY ALL HAVING sum(length(t) - length(replace(t, chr(cp), ''))) > 0
+"""
+
+#: Spellings of scripts' names, put into documents, and the short names.
+_SCRIPT_WORDS = {"Latin": "Latn", "latn": "Latn", "qaac": "Copt", "Old-Italic": "Ital", "GREEK": "Grek", "Latinate": None}
+
+
+def script_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that name a script, loosely spelt, by script."""
+    docs = read(spark, sf_dir, "documents").select(injected(F.col("text"), F.col("doc_id"), [f" \u00a7{w}\u00a7 " for w in _SCRIPT_WORDS]).alias("t"))
+    words = docs.select(F.explode(F.regexp_extract_all("t", F.lit("\u00a7([A-Za-z_-]+)\u00a7"), F.lit(1))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = property_names.resolved(words, "word", icu.value_aliases(spark, "Script"))
+    return found.groupBy("property").agg(F.sum("n").alias("n")).withColumnRenamed("property", "script")
+
+
+SCRIPT_WORD_SQL = f"""
+SELECT script, count(*) AS n FROM documents JOIN (VALUES {", ".join(f"({i}, {'NULL' if p is None else repr(p)})" for i, p in enumerate(_SCRIPT_WORDS.values()))}) AS v(turn, script)
+ON doc_id % {len(_SCRIPT_WORDS)} = turn WHERE text IS NOT NULL GROUP BY script
+"""
+
+
 def all_entries() -> dict[str, tuple[Query, str | None]]:
     return {
         "utf8_pieces": (utf8_pieces, UTF8_VERDICT_SQL),
@@ -322,14 +369,17 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "words_out_of_order": (words_out_of_order, ORDER_SQL),
         "confusable_chains": (confusable_chains, CHAIN_SQL),
         "property_words": (property_words, PROPERTY_WORD_SQL),
+        "nfc_bytes": (nfc_of_bytes, NFC_BYTES_SQL),
+        "brackets": (brackets, BRACKET_SQL),
+        "script_words": (script_words, SCRIPT_WORD_SQL),
         "numerals": (numerals, NUMERAL_SQL),
         "case_turkish": (_cases("turkish", _TURKISH), _cases_sql(_TURKISH)),
         "case_lithuanian": (_cases("lithuanian", _LITHUANIAN), _cases_sql(_LITHUANIAN)),
         "figures": (figures, FIGURES_SQL),
         "cluster_width": over_documents(layout.display_width_clusters, _WIDTH_SQL, list(_WIDTHS)),
         "identifier_types": (over_documents(lambda s: F.array_join(F.array_sort(identifiers.identifier_types(s)), ","), None, list(_TYPED))[0], TYPE_SQL),
-        "imitated_nations": (imitated_nations, NATION_SQL),
-        "used_ranges": (used_ranges, RANGE_SQL),
-        "category_counts": (category_counts, CATEGORY_SQL),
-        "favoured_words": (favoured_words, FAVOURED_SQL),
+        "imitated_targets": (imitated_nations, NATION_SQL),
+        "script_ranges": (used_ranges, RANGE_SQL),
+        "general_categories": (category_counts, CATEGORY_SQL),
+        "vocabulary": (favoured_words, FAVOURED_SQL),
     }

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import casing, codec, collation, confusables, domains, identifiers, layout, normalize, segments
 from ..operators import lookalikes
 from ..sources.delimited import property_rows
-from ..tables import curated, icu
+from ..tables import icu
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -190,35 +190,12 @@ def lookalike_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 LOOKALIKE_SQL = "SELECT DISTINCT c_name, 2::BIGINT AS n_names FROM customer WHERE regexp_matches(c_name, '[aeo]')"
 
 
-def imitated_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Protected names that spoofed spellings of the part brands' places imitate."""
-    names = spark.createDataFrame([(n,) for n in curated.TARGETS], "name string")
-    spoofed = names.select(F.translate("name", "aeo", "аео").alias("written"))
-    return lookalikes.confusable_with(spoofed, "written", names, "name").select("imitated")
-
-
 def collated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents grouped by their collation at primary strength."""
     words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-zÀ-ÿ]+)"), F.lit(1))).alias("word"))
     return collation.groups(words, "word", strength="primary").agg(F.count(F.lit(1)).alias("n"), F.min("word").alias("first"))
 
 
-def script_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return icu.range_table(spark, "Script")
-
-
-def property_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code points of each general category."""
-    return icu.property_table(spark, "General_Category").groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curated lists as one table."""
-    rows = [("target", i, t) for i, t in enumerate(curated.TARGETS)] + [("glitch", i, t) for i, t in enumerate(curated.GLITCH_TOKENS)]
-    rows += [("favoured", i, t) for i, t in enumerate(curated.FAVOURED)] + [("scheme", i, t[0]) for i, t in enumerate(curated.WATERMARK_SCHEMES)]
-    return spark.createDataFrame(rows, "list string, rank int, entry string")
-
-
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delimited rows made of the nations and regions, read as a property file is."""
     lines = read(spark, sf_dir, "nation").select(F.concat(F.lpad(F.hex("n_nationkey"), 4, "0"), F.lit(" ; "), "n_name", F.lit(" # x")).alias("value"))
@@ -254,9 +231,9 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "utf16_length": d(lambda s: F.length(codec.utf16(s)), r"(2 * length(t) + 2 * len(regexp_extract_all(t, '[\x{10000}-\x{10FFFF}]')))::INT", _ODD),
         "utf32_hex": d(lambda s: sha(F.hex(codec.utf32(s))), "sha256(array_to_string([format('{:08X}', ord(c)) for c in string_split(t, '')], ''))"),
         "utf32_round_trip": d(lambda s: codec.decode_utf32(codec.utf32(s)) == s, "t = t", _CONTROLS),
-        "noncharacters": d(lambda s: count(codec.noncharacters(s)), "CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 1 END", _ODD),
+        "noncharacters": d(lambda s: count(codec.noncharacters(s)), "len(regexp_extract_all(t, '[" + "".join(f"\\x{{{p:X}FFFE}}\\x{{{p:X}FFFF}}" for p in range(17)) + r"\x{FDD0}-\x{FDEF}]'))::INT", _ODD),
         "first_forbidden": d(_forbidden, _forbidden_sql(), _FORBIDDEN),
-        "printable": d(lambda s: codec.printable(F.encode(s, "UTF-8")), r"(NOT regexp_matches(t, '[\x00-\x08\x0B-\x1F\x7F]') AND doc_id % 4 = 3)", _CONTROLS),
+        "printable": d(lambda s: codec.printable(F.encode(s, "UTF-8")), r"NOT regexp_matches(t, '[\x00-\x08\x0B-\x1F\x7F\x{202A}-\x{202E}\x{2066}-\x{2069}]')", _CONTROLS),
         "utf8_blob": d(lambda s: codec.utf8_blob(F.encode(s, "UTF-8"), 4096), "strlen(t) <= 4096"),
         "nfc": d(lambda s: sha(normalize.nfc(s)), "sha256(nfc_normalize(t))", _MARKS),
         "is_nfc": d(lambda s: normalize.is_form(s, "NFC"), "t = nfc_normalize(t)", _MARKS),
@@ -275,8 +252,8 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "word_segments": d(segments.word_count, None),
         "sentence_segments": d(segments.sentence_count, None),
         "display_width": d(layout.display_width, r"length(regexp_replace(t, '[\x00-\x1F\x7F-\x{9F}]', '', 'g'))::INT"),
-        "unbalanced_bidi": d(layout.unbalanced_bidi, "doc_id % 4 IN (0, 2)", _CONTROLS),
-        "trojan_safe": d(layout.safe_for_code, "doc_id % 4 = 3", _CONTROLS),
+        "unbalanced_bidi": d(layout.unbalanced_bidi, r"(len(regexp_extract_all(t, '[\x{202A}\x{202B}\x{202D}\x{202E}]')) <> len(regexp_extract_all(t, '\x{202C}')) OR len(regexp_extract_all(t, '[\x{2066}-\x{2068}]')) <> len(regexp_extract_all(t, '\x{2069}')))", _CONTROLS),
+        "trojan_safe": d(layout.safe_for_code, r"NOT regexp_matches(t, '[\x{202A}-\x{202E}\x{2066}-\x{2069}]')", _CONTROLS),
         "mixed_numbers": d(identifiers.mixed_numbers, f"(regexp_matches(t, '[0-9]') AND regexp_matches(t, '[{chr(0x660)}-{chr(0x669)}]'))", _DIGITS),
         "restriction_level": d(identifiers.restriction_level, r"CASE WHEN regexp_full_match(t, '[\x00-\x7F]*') THEN 'ASCIIOnly' ELSE 'SingleScript' END"),
         "scripts": d(
@@ -294,10 +271,6 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "idna_round_trip": (idna_round_trip, IDNA_SQL),
         "customer_identifiers": (customer_identifiers, CUSTOMER_SQL),
         "lookalike_customers": (lookalike_customers, LOOKALIKE_SQL),
-        "imitated_targets": (imitated_targets, None),
         "collated_words": (collated_names, None),
-        "script_ranges": (script_ranges, None),
-        "general_categories": (property_digest, None),
-        "vocabulary": (vocabulary, None),
         "property_rows": (event_properties, PROPERTY_SQL),
     }

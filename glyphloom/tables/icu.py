@@ -128,6 +128,35 @@ def numeric_value(cp: Column) -> Column:
     return F.when(value != -123456789.0, value)  # ICU's sign for none
 
 
+def mirror(cp: Column) -> Column:
+    """The code point whose glyph mirrors this one's, itself if there is none."""
+    return F.when(cp.isNotNull(), _static(UCHAR, "getMirror", cp.cast("int")).cast("int"))
+
+
+def paired_bracket(cp: Column) -> Column:
+    """The bracket that closes or opens what this one opens or closes, itself if it is none."""
+    return F.when(cp.isNotNull(), _static(UCHAR, "getBidiPairedBracket", cp.cast("int")).cast("int"))
+
+
+def value_aliases(spark: SparkSession, name: str) -> DataFrame:
+    """``(short, alias)``: every name of every value of a property, by its short name."""
+    jvm = SparkSession.active()._jvm.com.ibm.icu.lang.UCharacter
+    number, rows = PROPERTY[name], []
+    for value in range(jvm.getIntPropertyMinValue(number), jvm.getIntPropertyMaxValue(number) + 1):
+        found: list[str] = []
+        for choice in range(16):
+            try:
+                alias = jvm.getPropertyValueName(number, value, choice)
+            except IllegalArgumentException:
+                if choice > 1:
+                    break
+                continue
+            if alias:
+                found.append(alias)
+        rows += [(found[0], alias) for alias in dict.fromkeys(found)]
+    return spark.createDataFrame(rows, "short string, alias string").distinct()
+
+
 def property_aliases(spark: SparkSession) -> DataFrame:
     """``(short, alias)``: every name of every property, by its short name (its long one where it has none).
 

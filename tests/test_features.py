@@ -251,3 +251,19 @@ def test_figures_of_texts(spark):
     assert values(spark, lambda s: metrics.figures(s, "caseExpansionMismatch"), ["aßΐİ"])[0].asDict() == {"upper_exp": 2, "lower_exp": 1, "max_exp": 3}
     assert values(spark, lambda s: metrics.as_attribution(metrics.figures(s, "tagBlockPayload"), "tagBlockPayload"), ["ab"]) == [{"tag_count": "0", "total_cps": "2"}]
     assert values(spark, lambda s: metrics.agrees(F.create_map(F.lit("total_cps"), F.lit("2")), s, "tagBlockPayload"), ["ab", "abc"]) == [True, False]
+
+
+def test_case_rules_from_lines(spark):
+    """Lines as in the public file, with conditions of two languages and rows without any."""
+    lines = ["# note", "00DF; 00DF; 0053 0073; 0053 0053; # no condition", "0049; 0069 0307; 0049; 0049; lt More_Above; # I", "0307; ; 0307; 0307; tr After_I; # dot", "0307; ; 0307; 0307; az After_I; # dot", "0130; 0069; 0130; 0130; tr; # I dot", "03A3; 03C2; 03A3; 03A3; Final_Sigma; # sigma"]
+    rules = casing.read_rules(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1))
+    assert rules == (("I", "i\u0307", "I", "I", "lt", "More_Above"), ("\u0307", "", "\u0307", "\u0307", "tr", "After_I"), ("\u0130", "i", "\u0130", "\u0130", "tr", ""), ("Σ", "ς", "Σ", "Σ", "", "Final_Sigma"))
+    assert set(rules) <= set(casing.RULES)
+    assert values(spark, lambda s: casing.lower(s, "azeri", rules), ["I\u0307\u0130ΑΣ"]) == ["iiας"]
+
+
+def test_values_of_properties(spark):
+    names = {(r["short"], r["alias"]) for r in icu.value_aliases(spark, "Script").collect()}
+    assert {("Latn", "Latn"), ("Latn", "Latin"), ("Copt", "Qaac")} <= names
+    assert values(spark, lambda s: icu.numeric_value(F.ascii(s)), ["四", "½", "a"]) == [4.0, 0.5, None]
+    assert values(spark, lambda s: icu.paired_bracket(F.ascii(s)), ["(", "a"]) == [41, 97]
