@@ -9,7 +9,6 @@ goes to the language whose tree codes it in the fewest bits.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,10 +29,14 @@ UNKNOWN = "und"
 #: Bytes scored at once.
 CHUNK = 1 << 19
 
-_LETTER = re.compile(r"[^\W\d_]")
 _PAD = b" " * ORDER
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a character of Unicode's category L; number signs that look like letters are none."""
+    return any(map(str.isalpha, text))
+
+
 def grams(data: np.ndarray, n: int) -> np.ndarray:
     """Each run of ``n`` bytes as one number, one for every byte past the first ORDER."""
     wide = data.astype(np.uint64)
@@ -166,7 +169,7 @@ def score_texts(model: Model | None, texts: list[str | None]) -> tuple[list[str]
 
     pending = 0
     for i, text in enumerate(texts):
-        if not text or not _LETTER.search(text):
+        if not text or not has_letter(text):
             continue
         data = _PAD + text.encode("utf-8", "surrogatepass")
         for low in range(ORDER, len(data), CHUNK):  # a slice carries the bytes before it as context
@@ -193,21 +196,23 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     * A text that is null or has no letter is ``und`` with score 0, and so is every text
       when nothing could be learned. Texts are scored whole, long ones slice by slice.
     * Repeated rows each have a result; an empty table gives an empty result.
+    * Columns of ``docs`` may have any names; those named like one of the three results are replaced by it.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
-    work = docs.select(F.col(text_col).alias("_scored"), *keep)
+    results = ("lang_pred", "score", "bits_per_byte")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in results]
+    work = docs.select(F.col(text_col).alias("_scored"), *[F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, score, bits = score_texts(shared.value, batch.column(0).to_pylist())
             added = [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], names=[*keep, "lang_pred", "score", "bits_per_byte"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *added], names=[*batch.schema.names[1:], *results])
 
     ship(spark)
     schema = work.drop("_scored").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
-    return work.mapInArrow(run, schema)
+    return work.mapInArrow(run, schema).toDF(*keep, *results)
 
 
 #: A text that its best language codes in more bits a byte than this is no prose of it.

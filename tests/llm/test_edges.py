@@ -41,3 +41,13 @@ def test_mix_language_and_benchmark(spark, docs):
     assert known.columns == docs.columns and known.where("text is null or text = ''").count() == 0
     clean = decontamination.drop_contaminated(docs, spark.createDataFrame([(1, WORDS)], "item_id long, text string"))
     assert clean.columns == docs.columns and {d for d, _ in kept(clean)} == {5}
+
+
+def test_number_signs_are_no_letters_and_columns_may_clash(spark):
+    rows = [(i, t, 0.5, "x", "y") for i, t in enumerate(["½ ²", "①②", "Ⅷ", "12 — !", "١٢", "aⅧ"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, _scored string, _kept0 string")
+    model = language_id.train(spark.createDataFrame([(1, "some words of a text", "en"), (2, "einige Wörter", "de")], "doc_id long, text string, lang string"))
+    found = language_id.predict(docs, model)
+    assert found.columns == ["doc_id", "text", "_scored", "_kept0", "lang_pred", "score", "bits_per_byte"]
+    got = {r["doc_id"]: r for r in found.collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in range(5)) and got[5]["lang_pred"] != "und" and got[0]["_kept0"] == "y"
