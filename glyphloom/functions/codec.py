@@ -106,8 +106,9 @@ def decode_utf16(data: Column, little: bool = False) -> Column:
     return F.decode(data, "UTF-16LE" if little else "UTF-16BE")
 
 
-def decode_utf32(data: Column) -> Column:
-    return F.decode(data, "UTF-32")
+def decode_utf32(data: Column, little: bool = False) -> Column:
+    turned = F.unhex(F.regexp_replace(F.hex(data), "(..)(..)(..)(..)", "$4$3$2$1")) if little else data
+    return F.decode(turned, "UTF-32")
 
 
 def bom_kind(data: Column) -> Column:
@@ -182,6 +183,13 @@ def has_forbidden_control(s: Column) -> Column:
     return s.rlike(r"[\x00-\x08\x0B-\x1F\x7F]")
 
 
+def first_control(s: Column) -> Column:
+    """``(offset, byte)`` of the first control byte, offsets in UTF-8; nulls without one."""
+    before = before_first(s, r"[\x00-\x08\x0B-\x1F\x7F]")
+    at = F.when(has_forbidden_control(s), F.struct(F.octet_length(before).alias("offset"), F.ascii(F.substring(s, F.length(before) + 1, F.lit(1))).alias("byte")))
+    return at
+
+
 def printable(data: Column, max_bytes: int | None = None) -> Column:
     """Valid UTF-8 in NFC without controls or forbidden characters, within a size."""
     from .normalize import is_form

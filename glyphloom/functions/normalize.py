@@ -82,3 +82,20 @@ def hangul_parts(cp: Column) -> Column:
     two = F.array(lead, vowel).cast("array<int>")
     parts = F.when(tail == 0, two).otherwise(F.array_append(two, (tail + T_BASE).cast("int")))
     return F.when(cp.between(HANGUL_BASE, HANGUL_BASE + HANGUL_COUNT - 1), parts)
+
+
+def hangul_composed(cps: Column) -> Column:
+    """Code points with jamo composed to syllables: a lead and a vowel, and a tail after these."""
+    lead = lambda c: c.between(L_BASE, L_BASE + HANGUL_COUNT // (V_COUNT * T_COUNT) - 1)
+    vowel = lambda c: c.between(V_BASE, V_BASE + V_COUNT - 1)
+    tail = lambda c: c.between(T_BASE + 1, T_BASE + T_COUNT - 1)
+    at = lambda i: F.coalesce(F.get(cps, i), F.lit(-1))
+
+    def one(c: Column, i: Column) -> Column:
+        base = (c - L_BASE) * (V_COUNT * T_COUNT) + (at(i + 1) - V_BASE) * T_COUNT + HANGUL_BASE
+        starts = lead(c) & vowel(at(i + 1))
+        whole = F.when(tail(at(i + 2)), base + at(i + 2) - T_BASE).otherwise(base)
+        taken = (vowel(c) & lead(at(i - 1))) | (tail(c) & vowel(at(i - 1)) & lead(at(i - 2)))
+        return F.when(starts, whole).when(~taken, c)
+
+    return F.array_compact(F.transform(cps, one)).cast("array<int>")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import feature_queries, text_queries, verdict_queries
+from . import feature_queries, property_queries, text_queries, verdict_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +17,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _entries() -> dict[str, tuple[Query, str | None]]:
-    found = {f"fn_{name}": entry for name, entry in (text_queries.all_entries() | feature_queries.all_entries()).items()}
+    found = {f"fn_{name}": entry for name, entry in (text_queries.all_entries() | feature_queries.all_entries() | property_queries.all_entries()).items()}
     return found | {f"detect_{name}": entry for name, entry in verdict_queries.all_entries().items()}
 
 

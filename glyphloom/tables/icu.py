@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 UCHAR = "com.ibm.icu.lang.UCharacter"
 #: Property numbers of ICU's public UProperty interface.
 PROPERTY = {
-    "Bidi_Class": 0x1000, "Canonical_Combining_Class": 0x1002, "East_Asian_Width": 0x1004, "General_Category": 0x1005,
+    "Bidi_Class": 0x1000, "Canonical_Combining_Class": 0x1002, "Decomposition_Type": 0x1003, "East_Asian_Width": 0x1004, "General_Category": 0x1005,
     "Joining_Type": 0x1007, "Line_Break": 0x1008, "Script": 0x100A, "Grapheme_Cluster_Break": 0x1012, "Sentence_Break": 0x1013,
     "Word_Break": 0x1014, "Indic_Conjunct_Break": 0x101A, "Vertical_Orientation": 0x1018,
 }

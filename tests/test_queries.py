@@ -15,7 +15,7 @@ from glyphloom.streaming import monitor
 SF = "/root/testdata/sf0.001"
 ORACLES = registry.oracle_sql()
 #: Compiling the script classes takes these half a minute each; the driver compares them.
-SLOW = {"detect_homoglyphs", "detect_imitated_names", "detect_source_display"}
+SLOW = {"detect_homoglyphs", "detect_imitated_names", "detect_source_display", "detect_run_all_counts", "detect_hazard_rollup"}
 
 
 @pytest.fixture(scope="module")
