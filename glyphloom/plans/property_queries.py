@@ -71,7 +71,7 @@ _WORD_CLASSES = {
 
 _QUICK = ["é", "é", "Ａ", "̧́", "x̧́", ""]
 #: Latin letters that come apart, or a compatibility character that does.
-_APART, _COMPAT = r"[\xC0-\xC5\xC7-\xCF\xD1-\xD6\xD9-\xDD\xE0-\xE5\xE7-\xEF\xF1-\xF6\xF9-\xFD\xFF]", r"[\xA0\xA8\xAA\xAF\xB2-\xB5\xB8-\xBA\xBC-\xBE\x{FF21}]"
+APART, COMPAT = r"[\xC0-\xC5\xC7-\xCF\xD1-\xD6\xD9-\xDD\xE0-\xE5\xE7-\xEF\xF1-\xF6\xF9-\xFD\xFF]", r"[\xA0\xA8\xAA\xAF\xB2-\xB5\xB8-\xBA\xBC-\xBE\x{FF21}]"
 
 
 def _quick(s: Column) -> Column:
@@ -79,8 +79,8 @@ def _quick(s: Column) -> Column:
 
 
 #: A mark that may join the letter before it counts as a failure of the composed forms, and marks out of order of every form.
-_QUICK_SQL = f"""CASE WHEN t IS NULL THEN '' ELSE concat_ws(',', (doc_id % 6 NOT IN (0, 3, 4))::VARCHAR, (NOT regexp_matches(t, '{_APART}') AND doc_id % 6 <> 3)::VARCHAR,
-  (doc_id % 6 NOT IN (0, 3, 4) AND NOT regexp_matches(t, '{_COMPAT}'))::VARCHAR, (NOT regexp_matches(t, '{_APART}|{_COMPAT}') AND doc_id % 6 <> 3)::VARCHAR) END"""
+_QUICK_SQL = f"""CASE WHEN t IS NULL THEN '' ELSE concat_ws(',', (doc_id % 6 NOT IN (0, 3, 4))::VARCHAR, (NOT regexp_matches(t, '{APART}') AND doc_id % 6 <> 3)::VARCHAR,
+  (doc_id % 6 NOT IN (0, 3, 4) AND NOT regexp_matches(t, '{COMPAT}'))::VARCHAR, (NOT regexp_matches(t, '{APART}|{COMPAT}') AND doc_id % 6 <> 3)::VARCHAR) END"""
 
 _CLASSES = ["́", "̧", "ְ", "〪", "x", "्"]
 _CLASS_SUMS = (230, 202, 10, 218, 0, 9)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ..intermediate import written
 from ..operators import admission, detectors
+from .property_queries import APART as _APART
+from .property_queries import COMPAT as _COMPAT
 from .text_queries import AT, injected, injected_sql, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,14 +190,21 @@ SELECT doc_id, CASE WHEN place IS NOT NULL THEN 'SignedMessageRule' WHEN tail >
        CASE WHEN place IS NOT NULL THEN place::VARCHAR WHEN tail > 0 THEN (length(t) - tail)::VARCHAR ELSE '' END AS positions FROM p
 """
 
+#: The words of a text, and the frequent words of each language in SQL.
+_SPACED = "list_filter(string_split(lower(text), ' '), lambda x: x <> '')"
+_LISTS = f"""whole AS (SELECT lang, trim(regexp_replace(lower(text), '{_LETTERS}', ' ', 'g')) AS t FROM documents),
+counts AS (SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(string_split(t, ' ')) AS w FROM whole WHERE lang IS NOT NULL) WHERE w <> '' GROUP BY ALL),
+lists AS (SELECT lang, w FROM counts QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) <= {LIST_WORDS})"""
 #: Hazards of texts in Latin letters without controls, selectors or emoji: what each family says of them; the others say nothing.
 _PLAIN = {
     ("covert", "surrogateReassembly"): _SURROGATE_TAG, ("identity", "mixedScriptAdmissibility"): _MIXED_TAG, ("display", "filenameDisguise"): _FILENAME_TAG,
     ("form", "localeCaseInversion"): _LOCALE_TAG, ("form", "caseExpansionMismatch"): _EXPANSION_TAG,
-    ("crypto", "bip39Canonical"): r"CASE WHEN regexp_matches(text, '[ \x{3000}]$') THEN 'TrailingWhitespace' WHEN regexp_matches(text, '[A-Z]') THEN 'MixedCase' WHEN regexp_matches(text, '^[ \x{3000}]|[ \x{3000}]{2}') THEN 'WhitespaceAnomaly' END",
+    ("crypto", "bip39Canonical"): r"CASE WHEN regexp_matches(text, '[ \x{3000}]$') THEN 'TrailingWhitespace' WHEN regexp_matches(text, '[A-Z]') THEN 'MixedCase' WHEN regexp_matches(text, '^[ \x{3000}]|[ \x{3000}]{2}') THEN 'WhitespaceAnomaly' "
+    + rf"WHEN regexp_matches(text, '{_APART}|{_COMPAT}') THEN 'NonNFKD' WHEN NOT list_has_all((SELECT coalesce(list(w), []) FROM lists), {_SPACED}) THEN 'WordlistMismatch' "
+    + f"WHEN len({_SPACED}) > 0 AND len(list_filter((SELECT coalesce(list(ws), []) FROM (SELECT list(w) AS ws FROM lists GROUP BY lang)), lambda ws: list_has_all(ws, {_SPACED}))) = 0 THEN 'LanguageAmbiguous' END",
     ("crypto", "hashInputStability"): r"CASE WHEN regexp_matches(text, '[ \t\n\r]$') THEN 'TrailingWhitespace' END",
 }
-_HAZARDS = "h AS (" + " UNION ALL ".join(f"SELECT doc_id, lang, '{layer}' AS layer, '{family}' AS family, {tag} AS tag FROM documents" for (layer, family), tag in _PLAIN.items()) + "), f AS (SELECT * FROM h WHERE tag IS NOT NULL)"
+_HAZARDS = f"{_LISTS}, h AS (" + " UNION ALL ".join(f"SELECT doc_id, lang, '{layer}' AS layer, '{family}' AS family, {tag} AS tag FROM documents" for (layer, family), tag in _PLAIN.items()) + "), f AS (SELECT * FROM h WHERE tag IS NOT NULL)"
 RUN_ALL_SQL = f"WITH {_HAZARDS} SELECT lang, family, tag, count(*) AS n FROM f GROUP BY ALL"
 ROLLUP_SQL = f"WITH {_HAZARDS} SELECT layer, family, count(*) AS n FROM f GROUP BY ROLLUP (layer, family)"
 ADMISSIBLE_SQL = f"""
