@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import casing, codec, confusables, domains, identifiers, layout
+from ..functions import casing, codec, confusables, domains, identifiers, layout, strict
 from ..intermediate import shared_folder
 from ..operators import chains, emoji, lookalikes, metrics, ordering, property_names, ranges
 from ..streaming import utf8_chunks
@@ -359,6 +359,53 @@ ON doc_id % {len(_SCRIPT_WORDS)} = turn WHERE text IS NOT NULL GROUP BY script
 """
 
 
+def _told(found: Column) -> Column:
+    r = found["reason"]
+    return F.concat_ws(":", found["status"], r["kind"], *[r[f].cast("string") for f in ("offset", "byte", "cp", "category", "actual", "limit")])
+
+
+#: What is put into documents for strict parses, and the reason that it is, with K for its byte offset.
+_STRICT = {
+    "\u202e": "forbiddenCodepoint:K:8238:bidi_override", "\u034f": "defaultIgnorable:K:847", "\x07": "nonPrintableAsciiByte:K:7", "x\u0301\u0327": "notNfcNormalized:K1", "": "",
+    "\ufeff\x01": "nonPrintableAsciiByte:K3:1",
+}
+
+
+def strict_printable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict parses of all documents' bytes as text to be shown of 20,000 bytes at most, broken ones among them."""
+    made = F.when(F.col("doc_id") % 7 == 6, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("ED A0 80".replace(" ", "")))))
+    made = made.otherwise(F.encode(injected(F.col("text"), F.col("doc_id"), list(_STRICT)), "UTF-8"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", made.alias("data"))
+    return rows.select("doc_id", _told(strict.printable_result(F.col("data"), 20_000)).alias("value"))
+
+
+STRICT_SQL = f"""
+WITH d AS (SELECT doc_id, doc_id % 7 = 6 AS broken, doc_id % {len(_STRICT)} AS turn, text, {injected_sql(list(_STRICT))} AS t, strlen(substr(text, 1, least(10, length(text)))) AS k FROM documents),
+v(turn, why) AS (VALUES {", ".join(f"({i}, {w!r})" for i, w in enumerate(_STRICT.values()))}),
+r AS (SELECT doc_id, CASE WHEN broken THEN strlen(text) + 3 ELSE strlen(t) END AS size, CASE WHEN broken THEN 'utf8Surrogate:' || (strlen(text) + 2) || ':55296'
+  ELSE replace(replace(replace(why, 'K1', (k + 1)::VARCHAR), 'K3', (k + 3)::VARCHAR), 'K', k::VARCHAR) END AS why, text FROM d JOIN v USING (turn))
+SELECT doc_id, CASE WHEN text IS NULL THEN '' WHEN size > 20000 THEN 'rejected:sizeExceeded:' || size || ':20000' WHEN why = '' THEN 'ok' ELSE 'rejected:' || why END AS value FROM r
+"""
+
+
+def strict_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strict parses of all customers' names as identifiers and as printable ASCII, some with something put in."""
+    n = F.encode(F.concat(F.element_at(F.array(*map(F.lit, _NAMED)), (F.col("c_custkey") % len(_NAMED) + 1).cast("int")), F.when(F.col("c_custkey") % 2 == 0, F.translate("c_name", "#", "_")).otherwise(F.col("c_name"))), "UTF-8")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", n.alias("n"))
+    return rows.select("c_custkey", _told(strict.identifier_result(F.col("n"), 19)).alias("identifier"), _told(strict.ascii_result(F.col("n"))).alias("plain"))
+
+
+_NAMED = ["", "9", "\u00e9", "\x7f", "_"]
+#: A name has 18 bytes with its number sign after the eighth.
+NAMES_SQL = """
+WITH n AS (SELECT c_custkey, c_custkey % 5 AS k, c_custkey % 2 = 0 AS even, strlen(c_name) + CASE c_custkey % 5 WHEN 0 THEN 0 WHEN 2 THEN 2 ELSE 1 END AS size FROM customer)
+SELECT c_custkey, CASE WHEN size > 19 THEN 'rejected:sizeExceeded:' || size || ':19' WHEN k = 1 THEN 'rejected:nonIdentifierStartByte:0:57' WHEN k = 3 THEN 'rejected:nonIdentifierStartByte:0:127'
+  WHEN even THEN 'ok' ELSE 'rejected:nonIdentifierContinueByte:' || (8 + (k = 4)::INT) || ':35' END AS identifier,
+  CASE k WHEN 2 THEN 'rejected:nonAsciiByte:0:195' WHEN 3 THEN 'rejected:nonPrintableAsciiByte:0:127' ELSE 'ok' END AS plain
+FROM n
+"""
+
+
 def all_entries() -> dict[str, tuple[Query, str | None]]:
     return {
         "utf8_pieces": (utf8_pieces, UTF8_VERDICT_SQL),
@@ -369,6 +416,8 @@ def all_entries() -> dict[str, tuple[Query, str | None]]:
         "words_out_of_order": (words_out_of_order, ORDER_SQL),
         "confusable_chains": (confusable_chains, CHAIN_SQL),
         "property_words": (property_words, PROPERTY_WORD_SQL),
+        "strict_printable": (strict_printable, STRICT_SQL),
+        "strict_names": (strict_names, NAMES_SQL),
         "nfc_bytes": (nfc_of_bytes, NFC_BYTES_SQL),
         "brackets": (brackets, BRACKET_SQL),
         "script_words": (script_words, SCRIPT_WORD_SQL),

@@ -267,3 +267,17 @@ def test_values_of_properties(spark):
     assert {("Latn", "Latn"), ("Latn", "Latin"), ("Copt", "Qaac")} <= names
     assert values(spark, lambda s: icu.numeric_value(F.ascii(s)), ["四", "½", "a"]) == [4.0, 0.5, None]
     assert values(spark, lambda s: icu.paired_bracket(F.ascii(s)), ["(", "a"]) == [41, 97]
+
+
+def test_strict_parses(spark):
+    from glyphloom.functions import strict
+
+    data = [b"", b"a_1", b"1a", b"a-", "é".encode(), b"\xed\xa0\x80", "é".encode(), "a‮".encode(), b"\x07", None, b"x" * 30]
+    told = lambda f: [None if r is None else (r["reason"]["kind"], r["reason"]["offset"]) if r["reason"] else r["status"] for r in values(spark, f, data, "binary")]
+    assert told(lambda d: strict.identifier_result(d, 20)) == [
+        ("identifierEmpty", None), "ok", ("nonIdentifierStartByte", 0), ("nonIdentifierContinueByte", 1), ("nonIdentifierStartByte", 0), ("nonIdentifierStartByte", 0),
+        ("nonIdentifierContinueByte", 1), ("nonIdentifierContinueByte", 1), ("nonIdentifierStartByte", 0), None, ("sizeExceeded", None),
+    ]
+    assert told(lambda d: strict.printable_result(d, 20)) == ["ok", "ok", "ok", "ok", "ok", ("utf8Surrogate", 2), ("notNfcNormalized", 0), ("forbiddenCodepoint", 1), ("nonPrintableAsciiByte", 0), None, ("sizeExceeded", None)]
+    assert told(strict.ascii_result)[4:9] == [("nonAsciiByte", 0), ("nonAsciiByte", 0), ("nonAsciiByte", 1), ("nonAsciiByte", 1), ("nonPrintableAsciiByte", 0)]
+    assert told(lambda d: strict.in_container(strict.blob_result(d, 20), F.lit(100)))[5:6] == [("utf8Surrogate", 102)]
