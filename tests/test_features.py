@@ -281,3 +281,16 @@ def test_strict_parses(spark):
     assert told(lambda d: strict.printable_result(d, 20)) == ["ok", "ok", "ok", "ok", "ok", ("utf8Surrogate", 2), ("notNfcNormalized", 0), ("forbiddenCodepoint", 1), ("nonPrintableAsciiByte", 0), None, ("sizeExceeded", None)]
     assert told(strict.ascii_result)[4:9] == [("nonAsciiByte", 0), ("nonAsciiByte", 0), ("nonAsciiByte", 1), ("nonAsciiByte", 1), ("nonPrintableAsciiByte", 0)]
     assert told(lambda d: strict.in_container(strict.blob_result(d, 20), F.lit(100)))[5:6] == [("utf8Surrogate", 102)]
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from glyphloom import intermediate
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: folder), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda _: None))
+    assert intermediate.shared_folder(session("local[8]", None)).startswith("file:///")
+    assert intermediate.shared_folder(session("spark://x:7077", "hdfs://x/y")) == "hdfs://x/y"
+    for master in ("spark://x:7077", "yarn", "local-cluster[3,2,3000]"):
+        with pytest.raises(ValueError):
+            intermediate.shared_folder(session(master, None))
