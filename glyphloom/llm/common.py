@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..intermediate import shared_folder
+
 #: The six ASCII white-space characters that separate words.
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SPACE = r"[\x20\x09-\x0D]"
@@ -19,15 +20,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``.
+    """The folder all executors share, from ``spark.checkpoint.dir``; a cluster that names none raises.
 
-    A session without one (tests on one machine) gets a temporary folder.
+    A session on one machine without one (tests) gets a temporary folder.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="glyphloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return shared_folder(spark)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

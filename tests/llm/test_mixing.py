@@ -41,12 +41,12 @@ def test_targets_by_water_filling_and_words_by_count(spark, seed):
     docs, at = [], 0
     for name in names:
         for _ in range(rng.choice([1, 3, 40])):
-            docs.append((at, rng.choice([None, "", " ".join(["w"] * rng.randrange(1, 400)), "x\\ty\\x0bz  "]), name, 5))
+            docs.append((at, rng.choice([None, "", " ".join(["w"] * rng.randrange(1, 400)), "x\ty\x0bz  "]), name, 5))
             at += 1
     docs += docs[:2]  # repeated rows
     table = spark.createDataFrame(docs, "doc_id long, text string, source string, target int")
     found = mixing.mix(table.drop("target")).collect()
-    size = lambda t: len(re.findall(r"[^\\x20\\x09-\\x0D]+", t or ""))
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = {}
     for name in sorted({d[2] for d in docs}, key=lambda s: (s is None, (s or "").encode())):
         sizes[name] = sum(size(t) for _, t, s, _ in docs if s == name)
