@@ -29,3 +29,8 @@ def test_little_endian_by_turning(spark):
     back = column(spark, lambda s: codec.decode_utf32(codec.utf32(s, little=True), little=True), texts)
     assert back == ["", "aé漢😀", "ab", "ab﻿", None]
     assert "regexp_replace" not in plan(spark, lambda s: codec.utf32(s, little=True))
+
+
+def test_forbidden_characters_look_once(spark):
+    assert plan(spark, codec.first_forbidden).count("regexp_extract(") < 3
+    assert column(spark, codec.first_forbidden, ["ab͏"])[0].asDict() == {"offset": 2, "cp": 0x34F, "kind": "default_ignorable"}
