@@ -34,3 +34,29 @@ def test_little_endian_by_turning(spark):
 def test_forbidden_characters_look_once(spark):
     assert plan(spark, codec.first_forbidden).count("regexp_extract(") < 3
     assert column(spark, codec.first_forbidden, ["ab͏"])[0].asDict() == {"offset": 2, "cp": 0x34F, "kind": "default_ignorable"}
+
+
+@pytest.mark.parametrize("cls", [r"[é\n]", r"\x{200D}", r"[^a-z]", "[:é]"])
+def test_positions_over_blocks(spark, cls):
+    plain = re.compile(cls.replace(r"\x{200D}", "‍"))
+    assert column(spark, lambda s: codec.positions(s, cls)) == [None if t is None else [m.start() for m in plain.finditer(t)] for t in TEXTS]
+
+
+def test_positions_split_no_text_into_characters(spark):
+    assert "split(" not in plan(spark, lambda s: codec.positions(s, "[é]"))
+
+
+def test_scripts_of_latin_letters(spark):
+    letters = [chr(c) for c in range(0x100)]
+    sets = identifiers.script_classes()
+    wanted = [sorted(n for n, c in sets.items() if n == "Latn" and (t.isalpha() and t != "µ")) for t in letters]
+    found = column(spark, lambda s: F.array_sort(identifiers.scripts(s)), letters)
+    assert [f for t, f in zip(letters, found) if t.isalpha()] == [w for t, w in zip(letters, wanted) if t.isalpha()]
+    assert not any(icu.ranges(f"[[:scx={n}:]&[:sc=Latn:]&[\\u0000-\\u00FF]]") for n in sets if n != "Latn")
+    assert column(spark, identifiers.scripts, ["éж", None, "1"]) == [["Cyrl", "Latn"], None, []]
+
+
+def test_watermarks_at_even_steps_look_once(spark):
+    found = column(spark, detectors.ai_watermark, ["a b c d", " a bc ", "plain"])
+    assert [(v["tag"], v["positions"]) for v in found] == [("Adversarial", [1, 3, 5]), ("NnbspBoundary", [0, 2, 5]), (None, [])]
+    assert plan(spark, detectors.ai_watermark).count("regexp_extract_all") < 40
