@@ -60,3 +60,17 @@ def test_watermarks_at_even_steps_look_once(spark):
     found = column(spark, detectors.ai_watermark, ["a b c d", " a bc ", "plain"])
     assert [(v["tag"], v["positions"]) for v in found] == [("Adversarial", [1, 3, 5]), ("NnbspBoundary", [0, 2, 5]), (None, [])]
     assert plan(spark, detectors.ai_watermark).count("regexp_extract_all") < 40
+
+
+@pytest.mark.parametrize("locale", ["turkish", "lithuanian"])
+def test_case_rules_name_the_text_once_each(spark, locale):
+    # each rule named the text of the one before it three times
+    assert all(plan(spark, lambda s: f(s, locale)).count("regexp_replace") < 20 for f in (casing.lower, casing.title, casing.upper))
+
+
+def test_title_of_characters_apart(spark):
+    texts = ["straße ﬃx ǆ ǅ ა", "ß" * 300 + "ж", chr(0x10F200) + "ßa", "plain é", "ᾳΐŉ", "", None]
+    one = lambda c: F.when(c.rlike(icu.regex("[:CWT:]")), casing.title_character(c)).otherwise(c)
+    slow = lambda s: F.array_join(F.transform(codec.chars(s), one), "")
+    assert column(spark, casing.title, texts) == column(spark, slow, texts)
+    assert column(spark, casing.title, texts)[0] == "STRASsE FfiX ǅ ǅ ა"
