@@ -74,3 +74,18 @@ def test_title_of_characters_apart(spark):
     slow = lambda s: F.array_join(F.transform(codec.chars(s), one), "")
     assert column(spark, casing.title, texts) == column(spark, slow, texts)
     assert column(spark, casing.title, texts)[0] == "STRASsE FfiX ǅ ǅ ა"
+
+
+def test_orientation_by_runs(spark):
+    upright = icu.regex("[[:vo=U:][:vo=Tu:]]")
+    slow = lambda s: F.transform(codec.chars(s), lambda c: F.when(c.rlike(upright), "Upright").otherwise("Rotated"))
+    texts = [*TEXTS, "漢字ab©漢"]
+    assert column(spark, layout.orientation, texts) == column(spark, slow, texts)
+
+
+@pytest.mark.parametrize("ambiguous", [False, True])
+def test_cluster_widths_by_runs(spark, ambiguous):
+    texts = [*TEXTS, "abc©é漢éx", "é", "­漢a", "👨‍👩‍👧ab®️", "a\r\n漢"]
+    slow = lambda s: F.aggregate(segments.graphemes(s), F.lit(0), lambda n, c: n + layout.cluster_width(c, ambiguous))
+    assert column(spark, lambda s: layout.display_width_clusters(s, ambiguous), texts) == column(spark, slow, texts)
+    assert column(spark, lambda s: F.size(segments.pieces(s)), ["x" * 1000 + "漢"]) == [3]
