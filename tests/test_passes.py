@@ -89,3 +89,8 @@ def test_cluster_widths_by_runs(spark, ambiguous):
     slow = lambda s: F.aggregate(segments.graphemes(s), F.lit(0), lambda n, c: n + layout.cluster_width(c, ambiguous))
     assert column(spark, lambda s: layout.display_width_clusters(s, ambiguous), texts) == column(spark, slow, texts)
     assert column(spark, lambda s: F.size(segments.pieces(s)), ["x" * 1000 + "漢"]) == [3]
+
+
+def test_spellings_are_counted_before_they_are_collated(spark):
+    found = text_queries.collated_names(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
