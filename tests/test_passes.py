@@ -22,20 +22,6 @@ def plan(spark, f):
     return spark.range(1).select(F.lit("x").alias("t")).select(f(F.col("t")).alias("v"))._jdf.queryExecution().analyzed().toString()
 
 
-def test_little_endian_by_turning(spark):
-    texts = ["", "aé漢😀", "﻿ab", "ab﻿", None]
-    little = lambda t: None if t is None else t.encode("utf-32-le")
-    assert [None if v is None else bytes(v) for v in column(spark, lambda s: codec.utf32(s, little=True), texts)] == [little(t) for t in texts]
-    back = column(spark, lambda s: codec.decode_utf32(codec.utf32(s, little=True), little=True), texts)
-    assert back == ["", "aé漢😀", "ab", "ab﻿", None]
-    assert "regexp_replace" not in plan(spark, lambda s: codec.utf32(s, little=True))
-
-
-def test_forbidden_characters_look_once(spark):
-    assert plan(spark, codec.first_forbidden).count("regexp_extract(") < 3
-    assert column(spark, codec.first_forbidden, ["ab͏"])[0].asDict() == {"offset": 2, "cp": 0x34F, "kind": "default_ignorable"}
-
-
 @pytest.mark.parametrize("cls", [r"[é\n]", r"\x{200D}", r"[^a-z]", "[:é]"])
 def test_positions_over_blocks(spark, cls):
     plain = re.compile(cls.replace(r"\x{200D}", "‍"))
@@ -56,12 +42,6 @@ def test_scripts_of_latin_letters(spark):
     assert column(spark, identifiers.scripts, ["éж", None, "1"]) == [["Cyrl", "Latn"], None, []]
 
 
-def test_watermarks_at_even_steps_look_once(spark):
-    found = column(spark, detectors.ai_watermark, ["a b c d", " a bc ", "plain"])
-    assert [(v["tag"], v["positions"]) for v in found] == [("Adversarial", [1, 3, 5]), ("NnbspBoundary", [0, 2, 5]), (None, [])]
-    assert plan(spark, detectors.ai_watermark).count("regexp_extract_all") < 40
-
-
 @pytest.mark.parametrize("locale", ["turkish", "lithuanian"])
 def test_case_rules_name_the_text_once_each(spark, locale):
     # each rule named the text of the one before it three times
@@ -91,6 +71,31 @@ def test_cluster_widths_by_runs(spark, ambiguous):
     assert column(spark, lambda s: F.size(segments.pieces(s)), ["x" * 1000 + "漢"]) == [3]
 
 
+def test_little_endian_by_turning(spark):
+    texts = ["", "aé漢😀", "﻿ab", "ab﻿", None]
+    little = lambda t: None if t is None else t.encode("utf-32-le")
+    assert [None if v is None else bytes(v) for v in column(spark, lambda s: codec.utf32(s, little=True), texts)] == [little(t) for t in texts]
+    back = column(spark, lambda s: codec.decode_utf32(codec.utf32(s, little=True), little=True), texts)
+    assert back == ["", "aé漢😀", "ab", "ab﻿", None]
+    assert "regexp_replace" not in plan(spark, lambda s: codec.utf32(s, little=True))
+
+
+def test_forbidden_characters_look_once(spark):
+    assert plan(spark, codec.first_forbidden).count("regexp_extract(") < 3
+    assert column(spark, codec.first_forbidden, ["ab͏"])[0].asDict() == {"offset": 2, "cp": 0x34F, "kind": "default_ignorable"}
+
+
+def test_watermarks_at_even_steps_look_once(spark):
+    found = column(spark, detectors.ai_watermark, ["a b c d", " a bc ", "plain"])
+    assert [(v["tag"], v["positions"]) for v in found] == [("Adversarial", [1, 3, 5]), ("NnbspBoundary", [0, 2, 5]), (None, [])]
+    assert plan(spark, detectors.ai_watermark).count("regexp_extract_all") < 40
+
+
 def test_spellings_are_counted_before_they_are_collated(spark):
     found = text_queries.collated_names(spark, "/root/testdata/sf0.001")
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_word_lists_are_written_once(spark):
+    text = verdict_queries.mnemonics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in text
