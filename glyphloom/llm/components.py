@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: The rounds needed grow with the logarithm of the longest path.
 MAX_ROUNDS = 60
@@ -20,12 +20,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction. ``edges`` has ``u > v`` (small star) or both directions (large)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
     joined = edges.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
+    if large:  # no more rows than edges; what repeats goes with the small star
+        return joined.where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+    out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
+        least.select("u", F.col("m").alias("v"))
+    )
     return out.where("u != v").distinct()
 
 
@@ -38,8 +37,11 @@ def components(edges: DataFrame) -> DataFrame:
         return down.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(MAX_ROUNDS):
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both, large=True)
+        # in one execution both sides of the small star's join would make the large one
+        large = written(_star(both, large=True), "edges")
+        discard(down)
         down = written(_star(large, large=False), "edges")
+        discard(large)
         # a graph of stars is a fixed point: no centre hangs on another node
         state = down.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (state["n"], state["x"]) == before:

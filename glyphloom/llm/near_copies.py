@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import join_groups, written
+from .common import discard, join_groups, written
 from .components import components
 from .simhash import _LOWER, _WORD, BITS, RADIUS, SEED, links
 
@@ -264,11 +264,13 @@ def _open_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     # all buckets that sets of two components share hold two components, so the first is among these rows
     first = F.col("key") == F.element_at(F.array_intersect("x.bands", "y.bands"), 1)
     met = rows.join(others, "key").where((F.col("comp") != F.col("its")) & once & _may_link("x", "y", similarity) & first)
-    return met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct()
+    pairs = written(met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct(), "near-pairs")
+    discard(rows)
+    return pairs
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose whole shingle sets are similar enough; ``texts(id, text)`` are those of the nodes' ids."""
+    """The pairs whose whole shingle sets are similar enough, written; ``texts(id, text)`` are those of the nodes' ids."""
     needed = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
     needed = written(needed.join(nodes, "sig").select("sig", "id"), "near-needed")
     few = needed.count() <= FEW_SETS
@@ -287,7 +289,10 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
         both = both.join(sets.withColumnsRenamed({"sig": "b", "grams": "gb"}), "b")
     shared = F.size(F.array_intersect("ga", "gb"))
     # shared / (na + nb - shared) >= similarity
-    return both.where(shared * (1 + similarity) >= (F.size("ga") + F.size("gb")) * similarity - 1e-9).select("a", "b")
+    linked = both.where(shared * (1 + similarity) >= (F.size("ga") + F.size("gb")) * similarity - 1e-9).select("a", "b")
+    linked = written(linked, "near-edges")
+    discard(needed, sets)
+    return linked
 
 
 def _with_component(nodes: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -297,8 +302,10 @@ def _with_component(nodes: DataFrame, grouped: DataFrame) -> DataFrame:
 
 
 def _joined(grouped: DataFrame, edges: DataFrame) -> DataFrame:
-    """The components after further edges; those found stand for all edges before."""
-    return components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").unionByName(edges))
+    """The components after further edges; those found stand for all edges before and are deleted."""
+    found = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").unionByName(edges))
+    discard(grouped)
+    return found
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
@@ -312,26 +319,35 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = written(_marks(docs, id_col, text_col, width), "shingle-marks")
     nodes = marked.groupBy("sig").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in (*_NODE, "bands")])
     nodes = written(nodes.where("id is not null"), "near-nodes")
-    first = _star_pairs(nodes, similarity).unionByName(_close_pairs(nodes)).distinct()
-    edges = written(_verified(written(first, "near-pairs"), nodes, texts, width, similarity), "near-edges")
+    first = written(_star_pairs(nodes, similarity).unionByName(_close_pairs(nodes)).distinct(), "near-pairs")
+    edges = _verified(first, nodes, texts, width, similarity)
     grouped = components(edges)
+    discard(first, edges)
     for turn in count():
         comp = written(_with_component(nodes, grouped), "near-nodes")
         pairs = written(_retry_pairs(comp, similarity, turn), "near-pairs")
         tried = pairs.count()
-        more = written(_verified(pairs, nodes, texts, width, similarity), "near-edges") if tried else pairs
-        linked = more.count() if tried else 0
-        if linked:
-            grouped = _joined(grouped, more)
+        linked = 0
+        if tried:
+            more = _verified(pairs, nodes, texts, width, similarity)
+            linked = more.count()
+            if linked:
+                grouped = _joined(grouped, more)
+            discard(more)
+        discard(pairs)
         if linked <= tried * TURN_GAIN:
             break
+        discard(comp)
     if linked:
+        discard(comp)
         comp = written(_with_component(nodes, grouped), "near-nodes")
-    pairs = written(_open_pairs(comp, similarity), "near-pairs")
+    pairs = _open_pairs(comp, similarity)
     if not pairs.isEmpty():
-        more = written(_verified(pairs, nodes, texts, width, similarity), "near-edges")
+        more = _verified(pairs, nodes, texts, width, similarity)
         if not more.isEmpty():
             grouped = _joined(grouped, more)
+        discard(more)
+    discard(comp, pairs)
     labels = _with_component(nodes, grouped).select("sig", "id", "comp")
     least = labels.groupBy("comp").agg(F.min("id").alias("component_id"))
     labels = labels.join(least, "comp").select(F.col("sig").alias("_sig"), "component_id")

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from glyphloom.llm import near_copies
+from glyphloom.llm import common, near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -108,3 +108,28 @@ def test_turns_link_a_group_whose_members_are_not_all_alike(spark):
     exact = components(len(texts), pairs)
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(docs).collect()}
     assert sum(got[d] != exact[d] for d in got) <= 2
+
+
+def _leftovers(spark):
+    """Shuffle files, and folders of intermediate tables by label."""
+    import re
+    from collections import Counter
+    from pathlib import Path
+
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shuffles = sum(1 for d in local for f in Path(d).rglob("shuffle_*"))
+    shared = Path(common.shared_dir(spark).removeprefix("file:"))
+    return shuffles, Counter(re.sub(r"-[0-9a-f]{32}$", "", p.name) for p in shared.iterdir())
+
+
+def test_turns_leave_no_shuffles_and_no_tables_behind(spark):
+    """Each turn's tables and shuffle files go when it ends: on many partitions they outgrew the input."""
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(planted(bases=20))], SCHEMA)
+    shuffles, tables = _leftovers(spark)
+    found = near_copies.near_copies(docs)
+    after, left = _leftovers(spark)
+    left -= tables
+    assert after <= shuffles + 12  # of jobs that count and look, not of those that write
+    assert not left.keys() & {"near-pairs", "near-needed", "near-sets", "near-buckets", "near-edges"}, left
+    assert left["near-nodes"] == 1 and left["edges"] <= 2
+    assert found.count() == 80
