@@ -104,3 +104,34 @@ def test_pieces_of_streams_with_restarts(spark, cases, wanted, tmp_path):
             ok = True  # a stream stops counting bytes at the fault
         wrong += [] if ok else [(k, found[k], wanted[k])]
     assert wrong == []
+
+
+class _Calls:
+    """A value or map of state that keeps a list of what is asked of it."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("get", "getValue"):
+                return self.held.get(args)
+            if name in ("exists", "containsKey"):
+                return args in self.held
+            if name in ("update", "updateValue"):
+                self.held[args[:-1]] = args[-1]
+            return None
+
+        return call
+
+
+def test_a_whole_document_costs_one_read_and_one_write_of_state():
+    """The time of a stream goes with the calls to its state; pieces that have not to wait need none of their own."""
+    calls = []
+    decoder = utf8_chunks._Decoder()
+    decoder.place, decoder.early = _Calls(calls), _Calls(calls)
+    piece = {"n": 2, "head": b"", "after": b"a", "kind": None, "offset": None, "byte": None, "cp": None, "tail": b""}
+    rows = [utf8_chunks.Row(seq=i, last=i == 4, **piece) for i in (3, 0, 1, 4, 2, 0)]
+    found = list(decoder.handleInputRows((7,), iter(rows), None))
+    assert [(r["key"], r["status"], r["n_bytes"]) for r in found] == [(7, "ok", 10)] and calls == ["get", "update"]
