@@ -6,6 +6,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from glyphloom.functions import casing, domains, identifiers, layout
 from glyphloom.operators import chains, emoji, metrics, ordering, property_names, ranges
 from glyphloom.sources import delimited
@@ -294,3 +295,16 @@ def test_a_cluster_has_to_name_its_shared_folder():
     for master in ("spark://x:7077", "yarn", "local-cluster[3,2,3000]"):
         with pytest.raises(ValueError):
             intermediate.shared_folder(session(master, None))
+
+
+def test_idna_round_trip_takes_three_python_workers_a_task(spark):
+    """Each step of Python in a chain keeps a worker for each running task: mapping is left to Spark's expressions."""
+    plan = queries()["fn_idna_round_trip"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") <= 3  # seven before
+
+
+def test_idna_maps_each_character_once(spark):
+    """Longer mappings, single ones and dropped characters side by side; what is mapped is not mapped again."""
+    df = spark.createDataFrame([("ẞﬁ­Ä‍ς",), ("ß\U0001d400",), (None,), ("",)], "s string")
+    got = df.select(domains.idna_map(F.col("s")).alias("m"), domains.idna_map(F.col("s"), True).alias("t")).collect()
+    assert [tuple(r) for r in got] == [("ßfiä‍ς", "ßfiäσ"), ("ßa", "ssa"), (None, None), ("", "")]
