@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import written
+from .common import by_shuffle, written
 from .components import components
 
 BITS = 64
@@ -173,7 +173,7 @@ def _stars(stored: DataFrame, radius: int) -> DataFrame:
     """Pairs of a fingerprint and the first that shares a partition value: one pair a member."""
     first = stored.groupBy("k", "key").agg(F.min(F.struct("a", "fa")).alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("first.fa"))) <= radius
-    met = stored.join(first, ["k", "key"]).where(near & (F.col("a") != F.col("first.a")))
+    met = stored.join(by_shuffle(first), ["k", "key"]).where(near & (F.col("a") != F.col("first.a")))
     return met.select(F.col("first.a").alias("a"), F.col("a").alias("b")).distinct()
 
 
@@ -204,7 +204,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     probed = probed.select("b", "fb", "cb", F.col("x.k").alias("pk"), F.col("x.key").alias("pkey"))
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
     match = (F.col("k") == F.col("pk")) & (F.col("key") == F.col("pkey")) & (F.col("fa") < F.col("fb")) & (F.col("ca") != F.col("cb")) & near
-    return stored.join(probed, match).select("a", "b").distinct().unionByName(stars)
+    return stored.join(by_shuffle(probed), match).select("a", "b").distinct().unionByName(stars)
 
 
 def near_duplicates(
