@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .common import discard, join_groups, written
+from .common import by_shuffle, discard, join_groups, written
 from .components import components
 from .simhash import _LOWER, _WORD, BITS, RADIUS, SEED, links
 
@@ -211,7 +211,7 @@ def _star_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs of a node and the least of its buckets' first members: one pair a node, however large its buckets."""
     rows = nodes.select("sig", F.explode("bands").alias("key"))
     first = rows.groupBy("key").agg(F.min("sig").alias("a"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
-    met = rows.join(first, "key").where("a != sig").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a"))
+    met = rows.join(by_shuffle(first), "key").where("a != sig").groupBy(F.col("sig").alias("b")).agg(F.min("a").alias("a"))
     return _screened(met, nodes, similarity)
 
 
@@ -242,7 +242,7 @@ def _retry_pairs(nodes: DataFrame, similarity: float, turn: int) -> DataFrame:
     held = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), drawn)
     largest = F.max_by(F.struct("comp", "a"), F.struct("c", "comp")).alias("main")
     mixed = held.groupBy("key").agg(largest, F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    met = rows.join(mixed, "key").where(F.col("comp") != F.col("main.comp")).select("main.a", F.col("sig").alias("b")).distinct()
+    met = rows.join(by_shuffle(mixed), "key").where(F.col("comp") != F.col("main.comp")).select("main.a", F.col("sig").alias("b")).distinct()
     side = lambda name: nodes.select(F.col("sig").alias(name), F.struct(*_NODE).alias("x" + name))
     both = met.join(side("a"), "a").join(side("b"), "b").where(_may_link("xa", "xb", similarity))
     apart = _distance("xa.s0", "xb.s0") + _distance("xa.s1", "xb.s1")
@@ -257,13 +257,13 @@ def _open_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     rows = _buckets(nodes)
     held = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = held.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1").drop("comps")
-    rows = rows.join(mixed, "key").join(nodes.select("sig", F.struct(*_NODE, "bands").alias("x")), "sig")
+    rows = rows.join(by_shuffle(mixed), "key").join(nodes.select("sig", F.struct(*_NODE, "bands").alias("x")), "sig")
     rows = written(rows, "near-buckets")
     others = rows.where("comp != main").select("key", F.col("sig").alias("other"), F.col("x").alias("y"), F.col("comp").alias("its"))
     once = (F.col("comp") == F.col("main")) | (F.col("sig") < F.col("other"))
     # all buckets that sets of two components share hold two components, so the first is among these rows
     first = F.col("key") == F.element_at(F.array_intersect("x.bands", "y.bands"), 1)
-    met = rows.join(others, "key").where((F.col("comp") != F.col("its")) & once & _may_link("x", "y", similarity) & first)
+    met = rows.join(by_shuffle(others), "key").where((F.col("comp") != F.col("its")) & once & _may_link("x", "y", similarity) & first)
     pairs = written(met.select(F.least("sig", "other").alias("a"), F.greatest("sig", "other").alias("b")).distinct(), "near-pairs")
     discard(rows)
     return pairs
