@@ -14,7 +14,7 @@ def rows_of(spark, folder, name):
     return sorted(map(tuple, __spark_entry__.queries()[name](spark, str(folder)).collect()), key=str), sorted(want, key=str)
 
 
-@pytest.mark.parametrize("name", ["detect_skin_tones"])
+@pytest.mark.parametrize("name", ["detect_skin_tones", "fn_codepoints"])
 def test_empty_texts_as_in_sql(spark, tmp_path, name):
     got, want = rows_of(spark, tmp_path, name)
     assert got == want
